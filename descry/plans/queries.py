@@ -71,13 +71,13 @@ def ad_local_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {SCALED.strip()},
- p as (select q.id, -(list_distance(q.x, t.x) * list_distance(q.x, t.x)) / 2 as e from z q, z t where t.id % 5 <> 0),
+ p as (select q.id, -(list_distance(q.x, t.x) * list_distance(q.x, t.x)) / 128 as e from z q, z t where t.id % 5 <> 0),
  m as (select id, max(e) as m from p group by id),
  v as (select id, any_value(m) + ln(sum(exp(e - m))) as value from p join m using (id) group by id),
  c as (select value as cutoff from (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from v where id % 5 <> 0) where k = floor(n * 0.050000000000000044)::bigint)
  select id, case when id % 5 = 0 then 'test' else 'train' end as set, round(value, 4) as value, value > cutoff as inside from v, c""")
 def ad_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(domain.density(*own.train_test(spark, sf_dir))[0].select("id", "set", "value", "inside"), 4, "value")
+    return rounded(domain.density(*own.train_test(spark, sf_dir), h=8.0)[0].select("id", "set", "value", "inside"), 4, "value")
 
 
 @query()
