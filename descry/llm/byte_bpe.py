@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,8 +101,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             block, bucket, payload = [], [], []
             for k, b, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "payload")), strict=True):
-                if b < 0:
-                    continue
                 ids = []
                 for w in unpack_words(data):
                     if (x := known.get(w)) is None:
@@ -140,8 +139,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             out.append(pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[take]))], names=["id", "ids"]))
         return pa.Table.from_batches(out)
 
+    def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.greater_equal(batch.column("bucket"), 0)).select(["block", "bucket", "payload"])
+
+    # Both uses of `dealt` read one shuffle: no column is cut off and no filter is pushed below it,
+    # which is why the rows with words are picked in a task function.
     dealt = blocks(rows, pre_tokens, ["id"], "text", block_bytes).repartition(shuffle_partitions(spark), "block")
-    answers = dealt.select("block", "bucket", "payload").repartition(shuffle_partitions(spark), "bucket").mapInArrow(encode_words, "block long, bucket int, payload binary")
+    answer = "block long, bucket int, payload binary"
+    answers = dealt.mapInArrow(word_rows, answer).repartition(shuffle_partitions(spark), "bucket").mapInArrow(encode_words, answer)
     schema = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassemble, schema)
     return out.withColumnRenamed("id", id_col)
