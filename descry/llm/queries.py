@@ -57,4 +57,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op3_byte_bpe, op4_token_counts, op5_language_id, op6_decontaminate, op7_language_model, op8_quality_rules, op9_simhash, op10_line_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: White space at both ends off, A-Z in lower case.
+_KEY = """translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+_LINE_DEDUP = f"""with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+ x as (select r, doc_id, p, ls[p] as l from d, unnest(range(1, len(ls) + 1)) t(p)),
+ k as (select *, {_KEY} as k from x),
+ f as (select k from k where k <> '' group by k having count(distinct r) >= 10),
+ m as (select r, doc_id, p, l, k in (select k from f) as gone from k)
+ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(l, chr(10) order by p) filter (not gone), '')) as kept_sha256 from m group by r, doc_id"""
+
+
+def _quality_sql() -> str:
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
+    rules = " and ".join(f"coalesce(({a} / nullif({b}, 0)) {how} {bound}, true)" for _, v, how, bound in quality_rules.RULES for a, b in [v.split(" / ")])
+    return rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+ w as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+ g as (select r, i, array_to_string(ws[i:i + 7], ' ') as g from w, unnest(range(1, len(ws) - 6)) t(i)),
+ b as (select r, i from (select r, i, count(*) over (partition by r, g) as n from g) where n > 1),
+ n as (select r, count(distinct i + j) as n from b, range(8) q(j) group by r),
+ m as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+  len(ls) as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n.n, 0)::bigint as n_repeat_words, len(list_filter(ws, lambda x: lower(x) in ({stops}))) as n_stop_words from w left join n using (r)),
+ f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {rules} as kept from f"""
+
+
+#: The others need byte-pair merges, trained models, 64-bit hashes with a seed, or closures.
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": _LINE_DEDUP, "op8_quality_rules": _quality_sql()}

@@ -1,0 +1,278 @@
+import base64
+from collections import Counter
+import math
+import zlib
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from descry.llm import byte_bpe, components, decontaminate, language_id, language_model, licenses, line_dedup, quality_rules, secrets, simhash, token_counts
+from descry.llm._shared import pack, pack_words, unpack, unpack_words
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="session")
+def encoding():
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def pairs(df, *cols):
+    """Rows as a multiset of (doc_id, ...)."""
+    return Counter(tuple(r[c] for c in ("doc_id", *cols)) for r in df.collect())
+
+
+def test_packing():
+    a, b = np.array([0, 5, 2**32 - 1]), np.array([], np.int64)
+    x, y = unpack(pack(a, b))
+    assert x.tolist() == a.tolist() and y.tolist() == []
+    for words in ([], [b""], [b"a\n", b"", b"\x00\xff"]):
+        assert unpack_words(pack_words(words)) == words
+
+
+def test_secrets(docs, rows, none):
+    out = secrets.scan(docs)
+    assert pairs(out, "n_assign", "n_access", "n_hex", "base_sha256") == Counter((i, *brute.secrets(t)) for i, t, _ in rows)
+    spans = {r["doc_id"]: r["spans"] for r in out.collect()}
+    assert "guess:12:28" in spans[405] and spans[400] == "" and not spans[405].endswith("guess:87:96")
+    assert secrets.scan(none).count() == 0
+
+
+def test_guess_cost_orders_values():
+    cost = secrets.guess_cost
+    assert cost("") == 0 and cost("password") < 2 and cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 6
+    assert cost("abcabcabcabc") < cost("abcdhejkqwzx") and cost("summer2019") < 6
+    assert cost("9f8A_x2Qm-7kLz0w") > 15 and cost("zq" * 5000) < 30
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="pasword19ab=:\"' kK-_AKIA0fFſK", max_size=60))
+def test_base_spans_as_brute_force(text):
+    base = secrets.base_spans(text)
+    assert (*[sum(k == i for _, k, _ in base) for i in range(3)], brute.sha(secrets.spell(base))) == brute.secrets(text)
+
+
+def test_licenses(docs, rows, none):
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect() if r["doc_id"] is not None}
+    assert got[408]["licenses"] == "apache-2.0-line,mit-line" and got[400]["n_licenses"] == 0
+    assert sum(r["n_licenses"] for r in got.values()) == 2
+    assert licenses.scan(none).count() == 0
+
+
+def test_license_near_copy(spark):
+    words = licenses.TEMPLATES["mit"].split()
+    near = " ".join(w if i % 40 else "Other" for i, w in enumerate(words))
+    far = " ".join(w if i % 6 else "Other" for i, w in enumerate(words))
+    df = spark.createDataFrame([(1, "Some text before. " + near + " And after it."), (2, far)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
+    assert got == {1: "mit", 2: ""}
+
+
+def test_byte_bpe(docs, rows, none, encoding):
+    ids = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_bytes=2000)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in ids.collect()) == Counter((i, tuple(encoding.encode_ordinary(t or ""))) for i, t, _ in rows)
+    back = byte_bpe.decode(ids, RANKS)
+    assert Counter((r["doc_id"], bytes(r["decoded"])) for r in back.collect()) == Counter((i, (t or "").encode()) for i, t, _ in rows)
+    digest = byte_bpe.decode(ids, RANKS, digest=True)
+    assert pairs(digest, "decoded_sha256") == Counter((i, brute.sha(t or "")) for i, t, _ in rows)
+    assert byte_bpe.decode(byte_bpe.encode(none, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=90))
+def test_encode_word(encoding, piece):
+    ranks = byte_bpe_ranks()
+    assert byte_bpe.encode_word(piece, ranks) == encoding._encode_single_piece(piece) if piece else True
+
+
+_ranks = {}
+
+
+def byte_bpe_ranks():
+    if not _ranks:
+        _ranks.update(byte_bpe.read_ranks(RANKS))
+    return _ranks
+
+
+def test_encode_long_word(encoding):
+    for piece in (b"a" * 5000, b"abcdefgh" * 300, bytes(range(256)) * 4):
+        assert byte_bpe.encode_word(piece, byte_bpe_ranks()) == encoding._encode_single_piece(piece)
+
+
+def test_token_counts(docs, rows, none):
+    t = Tokenizer.from_file(WORD)
+    want = Counter((i, len((x or "").encode()), (n := len(t.encode(x or "", add_special_tokens=False).ids)), n > 20) for i, x, _ in rows)
+    assert pairs(token_counts.count_tokens(docs, WORD, limit=20), "n_bytes", "n_tokens", "over_limit") == want
+    assert token_counts.count_tokens(none, WORD).count() == 0
+
+
+@pytest.fixture(scope="session")
+def counter():
+    with open(WORD, encoding="utf-8") as f:
+        bpe = token_counts.WordBpe(f.read())
+    return token_counts.Counter(bpe, bpe.alone()), Tokenizer.from_file(WORD)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text(alphabet="aB'sS Σİ́\x1c <|endoftext|>1²", max_size=40)))
+def test_token_counter(counter, text):
+    mine, library = counter
+    assert mine(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_language_id(docs, rows, none):
+    got = {r["doc_id"]: r for r in language_id.predict(docs).collect()}
+    assert got[400]["lang_pred"] == got[401]["lang_pred"] == got[403]["lang_pred"] == "und" and got[None]["held_out"] is False
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items() if i is not None)
+    long = [(i, lang) for i, t, lang in rows if i is not None and i < 40 and len(t.split()) > 15]
+    assert sum(got[i]["lang_pred"] == lang for i, lang in long) >= 0.9 * len(long)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert language_id.predict(none).count() == 0
+    assert {r["lang_pred"] for r in language_id.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+ITEMS = [(1, "Alpha beta gamma, delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi."), (2, "short item here"), (10, "alpha"), (3, None), (4, "!!!"), (2, "short item here"), (None, "stone cloud river the of and")]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_decontaminate(spark, docs, rows, none, most):
+    bench = spark.createDataFrame(ITEMS, "item_id int, text string").withColumn("id", F.lit(1))
+    out = decontaminate.decontaminate(docs, bench, most_bytes=most)
+    want = brute.contamination([t for _, t, _ in rows], ITEMS)
+    cols = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    if most:
+        assert pairs(out, *cols) == Counter((i, *w) for (i, _, _), w in zip(rows, want, strict=True))
+    else:
+        assert set(pairs(out, *cols)) == {(i, *w) for (i, _, _), w in zip(rows, want, strict=True)}
+    assert decontaminate.decontaminate(none, bench, most_bytes=most).count() == 0
+    assert {r["n_hit"] for r in decontaminate.decontaminate(docs, bench.filter("false"), most_bytes=most).collect()} == {0}
+
+
+def test_language_model(docs, rows, none):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [[*brute.WS.findall((t or "").translate(lower)), None] for _, t, _ in rows]
+    out_of = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows]
+    c = Counter(w for ws, h in zip(tokens, out_of, strict=True) if not h for w in ws)
+    n, v = sum(c.values()), len(c)
+    base = [sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws) for ws in tokens]
+    got = language_model.score(docs, vocabulary=30, block_bytes=3000)
+    want = Counter((i, h, len(ws), sum(c[w] > 0 for w in ws), n, round(b, 6)) for (i, _, _), h, ws, b in zip(rows, out_of, tokens, base, strict=True))
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got.collect()) == want
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got.collect())
+    assert language_model.score(none).count() == 0
+
+
+def test_model_is_a_distribution_and_its_gradient_is_right():
+    rng = np.random.default_rng(0)
+    lm = language_model.GatedLM(20, np.arange(20.0), hidden=4)
+    lm.p = {k: v.astype("f8") + (rng.normal(0, 0.3, v.shape) if k not in ("bo",) else 0) for k, v in lm.p.items()}
+    h = rng.normal(0, 1, (1, 4))
+    total = sum(np.exp(lm.outputs(h, np.array([t]))[0][0]) for t in range(20))
+    assert abs(total - 1) < 1e-6
+    hs = rng.normal(0, 1, (3, 4))
+    target = np.array([0, 7, 19])
+    grads = {"out": np.zeros_like(lm.p["out"]), "bo": np.zeros_like(lm.p["bo"])}
+    _, d = lm.outputs(hs, target, grads)
+    for i, j in ((0, 0), (1, 2), (2, 3)):
+        e = np.zeros_like(hs)
+        e[i, j] = 1e-5
+        slope = -(lm.outputs(hs + e, target)[0].sum() - lm.outputs(hs - e, target)[0].sum()) / 2e-5
+        assert abs(slope - d[i, j]) < 1e-4
+
+
+def test_training_helps_and_lanes_do_not_change_scores():
+    rng = np.random.default_rng(1)
+    docs = [np.array([*([2, 3, 4] * 5 if rng.random() < 0.5 else [5, 6, 7] * 5), 0]) for _ in range(300)]
+    tokens, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    lm = language_model.GatedLM(8, np.bincount(tokens, minlength=8).astype(float))
+    before = language_model.log10_probs(lm, tokens, sizes).mean()
+    for _ in range(4):
+        language_model.train(lm, tokens, sizes, 0.1, 16)
+    after = language_model.log10_probs(lm, tokens, sizes)
+    assert after.mean() > before + 0.2
+    assert np.allclose(after, language_model.log10_probs(lm, tokens, sizes, n_lanes=3), atol=1e-4)
+
+
+def test_quality_rules(docs, rows, none):
+    out = quality_rules.judge(docs)
+    assert pairs(out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == Counter((i, *brute.quality(t)) for i, t, _ in rows)
+    assert not out.filter("kept and base_failed").count() and set(docs.columns) <= set(out.columns)
+    assert quality_rules.judge(none).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\t\x0b#", max_size=120), min_size=1, max_size=8))
+def test_quality_measures(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute.quality(t)
+
+
+def test_simhash(docs, rows, none):
+    got = simhash.near_duplicates(docs).collect()
+    want = brute.simhash([(i, t) for i, t, _ in rows if i is not None])
+    assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got if r["doc_id"] is not None} == {(i, *w) for i, w in want.items()}
+    assert len(got) == len(rows)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_links_of_large_and_small_postings(spark, most):
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps = {0, (1 << 64) - 1}
+    for s in seeds.tolist():
+        x = s
+        for _ in range(60):
+            x ^= 1 << int(rng.integers(0, 64))
+            fps.add(x)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    roots = {r["node"]: r["root"] for r in components.components(simhash.links(df, most), "a", "b").collect()}
+    parent = {f: f for f in signed}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 2:
+                parent[root(signed[i])] = root(signed[j])
+    groups = {}
+    for s in signed:
+        groups.setdefault(root(s), set()).add(s)
+    want = {s: min(g) for g in groups.values() for s in g if len(g) > 1}
+    assert roots == want
+
+
+def test_line_dedup(docs, rows, none):
+    out = line_dedup.dedup_lines(docs, min_docs=10, keep_first=False)
+    seen = {}  # rows equal in id and text are one document
+    for i, t, _ in rows:
+        seen.setdefault((i, t or ""), None)
+    want = brute.line_dedup([t for _, t in seen])
+    by = dict(zip(seen, want, strict=True))
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()) == Counter((i, *by[i, t or ""]) for i, t, _ in rows)
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_line_dedup_keeps_first(spark):
+    text = [(1, "a\nb\na"), (2, " A \nc"), (3, "\n\nb")]
+    df = spark.createDataFrame(text, "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(df, min_docs=2).collect()}
+    assert got == {1: "a\nb", 2: "c", 3: "\n"}
