@@ -41,10 +41,10 @@ def blocks(docs: DataFrame, words_of: Callable[[list], Iterator[list]], keys: li
     key_fields = [T.StructField(k, T.ArrayType(docs.schema[k].dataType)) for k in keys]
 
     def close(block: int, ids: list[list], counts: list[int], numbers: list[np.ndarray], words: dict) -> Iterator[pa.RecordBatch]:
-        seq = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
+        seq = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
         order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
         names = list(words)
         ranked = [w.encode() if isinstance(w := names[i], str) else w for i in order.tolist()]
         bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in ranked), np.int64, len(ranked))
@@ -73,7 +73,7 @@ def blocks(docs: DataFrame, words_of: Callable[[list], Iterator[list]], keys: li
                 for col, out in zip(columns, ids, strict=True):
                     out.append(col[i])
                 counts.append(len(found))
-                numbers.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                numbers.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 held += len(texts[i] or "")
                 if held >= block_bytes:
                     yield from close(block, ids, counts, numbers, words)

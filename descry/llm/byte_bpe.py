@@ -78,9 +78,11 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest: bool = False) -> DataFrame:
     """id and ids (array<int>) of each row's whole text; special strings are ordinary text.
 
+    digest: the ids are also decoded where they are reassembled, and only n_tokens, ids_sha256 (of
+    the decimal ids joined by one space) and decoded_sha256 are returned in place of the ids.
     ranks_path: a file of base64 tokens and ranks, read on the driver and sent to the tasks; a
     vocabulary file has a fixed size.
     """
@@ -136,7 +138,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             ends = np.cumsum(n)
             take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[s] - (ends - n), n)
             offsets = np.concatenate([[0], ends])[doc_ends[a : z + 1] - doc_ends[a]]
-            out.append(pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[take]))], names=["id", "ids"]))
+            batch = pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[take]))], names=["id", "ids"])
+            out.append(_decoded(batch, sent.value, digest=True) if digest else batch)
         return pa.Table.from_batches(out)
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,38 +151,51 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     dealt = blocks(rows, pre_tokens, ["id"], "text", block_bytes).repartition(shuffle_partitions(spark), "block")
     answer = "block long, bucket int, payload binary"
     answers = dealt.mapInArrow(word_rows, answer).repartition(shuffle_partitions(spark), "bucket").mapInArrow(encode_words, answer)
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("id", id_type), *(DIGESTS if digest else [T.StructField("ids", T.ArrayType(T.IntegerType()))])])
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassemble, schema)
     return out.withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", id_col: str = "doc_id", digest: bool = False) -> DataFrame:
-    """id and the text's bytes as `decoded`, from the ids; an id outside the table is an error.
+#: The token-byte table of this worker, kept from one block or task to the next.
+_tables: dict[int, tuple[list, list]] = {}
 
-    digest: instead n_tokens, ids_sha256 (of the decimal ids joined by one space) and
-    decoded_sha256. Null ids: no tokens.
-    """
+
+def _table(data: bytes) -> tuple[list, list]:
+    """Each id's bytes and its decimal digits; None where there is no such id."""
+    key = hash(data)
+    if key not in _tables:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, data.splitlines()) if a}
+        _tables.clear()
+        _tables[key] = [ranks.get(i) for i in range(max(ranks) + 1)], [str(i) for i in range(max(ranks) + 1)]
+    return _tables[key]
+
+
+def _decoded(batch: pa.RecordBatch, data: bytes, digest: bool) -> pa.RecordBatch:
+    """Decodes a batch of (id, ids) by the token-byte table."""
+    token, decimal = _table(data)
+    n, spelled, text = [], [], []
+    for cell in batch.column(1):
+        ids = cell.values.to_numpy(zero_copy_only=False).tolist() if cell.is_valid else []
+        raw = b"".join(map(token.__getitem__, ids))
+        n.append(len(ids))
+        spelled.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest() if digest else None)
+        text.append(hashlib.sha256(raw).hexdigest() if digest else raw)
+    if digest:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spelled, pa.string()), pa.array(text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary())], names=["id", "decoded"])
+
+
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
+    """id and the text's bytes as `decoded`, from the ids; an id outside the table is an error. Null ids: no tokens."""
     with open(ranks_path, "rb") as f:
         sent = encoded.sparkSession.sparkContext.broadcast(f.read())
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    id_type = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, sent.value.splitlines()) if a}
-        token = [ranks.get(i) for i in range(max(ranks) + 1)]
-        decimal = [str(i) for i in range(len(token))]
         for batch in batches:
-            n, spelled, text = [], [], []
-            for cell in batch.column(1):
-                ids = cell.values.to_numpy(zero_copy_only=False).tolist() if cell.is_valid else []
-                raw = b"".join(map(token.__getitem__, ids))
-                n.append(len(ids))
-                spelled.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest() if digest else None)
-                text.append(hashlib.sha256(raw).hexdigest() if digest else raw)
-            if digest:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spelled, pa.string()), pa.array(text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary())], names=["id", "decoded"])
-
-    own = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest else [T.StructField("decoded", T.BinaryType())]
-    return rows.mapInArrow(run, T.StructType([T.StructField("id", id_type), *own])).withColumnRenamed("id", id_col)
+            yield _decoded(batch, sent.value, digest=False)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("decoded", T.BinaryType())])).withColumnRenamed("id", id_col)

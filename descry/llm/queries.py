@@ -22,8 +22,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks, digest=True)
+    return byte_bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
