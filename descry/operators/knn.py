@@ -68,15 +68,16 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclid
         blocks = -(-size["n"] // block_rows)
         q_blocks = -(-query.count() // block_rows)
         dealt = lambda d, n: F.pmod(F.xxhash64("id"), F.lit(n))
-        t_rows = train.select(dealt(train, blocks).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), "id", "features")
+        t_rows = train.select(dealt(train, blocks).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.col("id").alias("t_id"), F.col("features").alias("t_features"))
         q_rows = query.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("tb"), dealt(query, q_blocks).alias("qb"), "id", "features")
 
         def pair(q: pa.Table, t: pa.Table) -> pa.Table:
             if not q.num_rows or not t.num_rows:
                 return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", "neighbour_id", "distance"])
-            t = t.sort_by("id")
-            q_id, t_id = q.column("id").to_numpy(), t.column("id").to_numpy()
-            r, c, d = _nearest(q_id, _matrix(q.column("features"), q.num_rows), t_id, _matrix(t.column("features"), t.num_rows), k, cosine)
+            q_id, t_id = q.column("id").to_numpy(), t.column("t_id").to_numpy()
+            by = np.argsort(t_id, kind="stable")
+            t_id, t_rows = t_id[by], _matrix(t.column("t_features"), t.num_rows)[by]
+            r, c, d = _nearest(q_id, _matrix(q.column("features"), q.num_rows), t_id, t_rows, k, cosine)
             return pa.table([pa.array(q_id[r]), pa.array(t_id[c]), pa.array(d)], names=["id", "neighbour_id", "distance"])
 
         near = q_rows.groupBy("tb", "qb").cogroup(t_rows.groupBy("tb", "qb")).applyInArrow(pair, schema)
