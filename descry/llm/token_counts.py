@@ -14,6 +14,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,14 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 #: Words whose counts a task remembers at once.
 REMEMBERED = 500_000
 #: Up to so many symbols a plain scan for the next pair is faster than a heap.
 SHORT = 32
-#: Capitals that the library's Unicode version has and Python's has not, and sigma, which is
-#: lower-cased as a single character, without the form it has at a word's end.
-LOWER_TOO = (("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
+#: Sigma is lower-cased as a single character, without the form it has at a word's end.
+SIGMA = ("\u03a3", "\u03c3")
 CONTROLS = regex.compile("[\x1c-\x1f]")
 #: The counter of this worker, kept from one task to the next.
 _kept: dict[int, Counter] = {}
@@ -84,7 +85,7 @@ class WordBpe:
     """What counting needs of a tokenizer file: its merges, patterns and special strings."""
 
     def __init__(self, spec: str):
-        j = json.loads(spec)
+        self.spec, j = spec, json.loads(spec)
         self.suffix = j["model"]["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in j["model"]["merges"]]
         self.ranks = {m: i for i, m in enumerate(merges)}
@@ -93,6 +94,7 @@ class WordBpe:
         self.special = [t["content"] for t in j["added_tokens"]]
         self.vocabulary = list(j["model"]["vocab"])
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
+        self.bytes = {c: b for b, c in enumerate(byte_alphabet())}
 
     def symbols(self, word: str) -> list[str]:
         s = list(word.encode().decode("latin-1").translate(self.letters))
@@ -101,8 +103,7 @@ class WordBpe:
 
     def alone(self) -> frozenset[str]:
         """Words that the merges prove to be one token each."""
-        back = {c: b for b, c in enumerate(byte_alphabet())}
-        out = set()
+        back, out = self.bytes, set()
         for v in self.vocabulary:
             if not v.endswith(self.suffix) or len(v) == len(self.suffix):
                 continue
@@ -154,15 +155,27 @@ class Counter:
     """Counts the tokens of one text after another, as the library does."""
 
     def __init__(self, bpe: WordBpe, alone: frozenset[str]):
-        self.words = _ByWord(_Counts(bpe, alone), bpe.pattern)
+        self.bpe, self.counts = bpe, _Counts(bpe, alone)
+        self.words = _ByWord(self.counts, bpe.pattern)
         self.parts = regex.compile("|".join(map(regex.escape, sorted(bpe.special, key=len, reverse=True)))) if bpe.special else None
         self.special = bpe.special
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_str(self.bpe.spec)
+
+    def unassigned(self, text: str) -> int:
+        """For a text with code points that Python's Unicode version has not: the library's tables say
+        what is a letter, a capital or a composition."""
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        words = (bytes(map(self.bpe.bytes.__getitem__, piece)).decode() for piece, _ in pieces)
+        return sum(map(self.counts.__getitem__, words))
+
     def plain(self, text: str) -> int:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            for a, b in LOWER_TOO:
-                text = text.replace(a, b)
+            if "Cn" in map(unicodedata.category, set(text)):
+                return self.unassigned(text)
+            text = unicodedata.normalize("NFC", text).replace(*SIGMA)
         text = text.lower()
         # str.split() also parts at four control characters that the pattern takes for symbols.
         parts = [text] if CONTROLS.search(text) else text.split()

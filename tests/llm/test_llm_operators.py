@@ -131,6 +131,14 @@ def test_token_counter(counter, text):
     assert mine(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_token_counter_unassigned(counter):
+    """Code points that are letters, digits or capitals in one Unicode version and nothing in another."""
+    mine, library = counter
+    for c in map(chr, (0x558, 0x88F, 0x1DF1F, 0xA7CB, 0xA7DC, 0xA7CE, 0x10940, 0x187F8, 0x1E6C0, 0x32808, 0x3D000, 0x16EA0, 0x16D67, 0x113C5)):
+        for text in (f"\u00c2{c}", f"a{c}b", f"!{c}?", f"1{c} {c}{c}\u0301", f"<|endoftext|>{c}A\u030a"):
+            assert mine(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_language_id(docs, rows, none):
     got = {r["doc_id"]: r for r in language_id.predict(docs).collect()}
     assert got[400]["lang_pred"] == got[401]["lang_pred"] == got[403]["lang_pred"] == "und" and got[None]["held_out"] is False
