@@ -264,11 +264,11 @@ def missing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select l_orderkey as id, l_linenumber as line, c1.n_name as public_source, c2.n_name as original_source from lineitem
- left join supplier on l_suppkey = s_suppkey left join nation c1 on s_nationkey = c1.n_nationkey left join nation c2 on l_partkey % 30 = c2.n_nationkey where l_quantity > 48""")
+ left join supplier on l_suppkey = s_suppkey left join nation c1 on s_nationkey = c1.n_nationkey left join nation c2 on l_partkey % 30 = c2.n_nationkey""")
 def sources_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     a, b = n.select(F.col("n_nationkey").alias("ka"), F.col("n_name").alias("public_source")), n.select(F.col("n_nationkey").alias("kb"), F.col("n_name").alias("original_source"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     out = rows.join(a, F.col("s_nationkey") == F.col("ka"), "left").join(b, F.col("l_partkey") % 30 == F.col("kb"), "left")
     return out.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "public_source", "original_source")
 
@@ -298,10 +298,9 @@ def top_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.top_k(rows, "key", 3, F.desc("value"), F.asc("id"))
 
 
-@query("select l_shipdate as ship_date, l_orderkey as id, l_linenumber as line, cast(row_number() over w as int) as nth, count(*) over (partition by l_orderkey, l_returnflag) as n_of from lineitem where l_orderkey % 3 = 0 window w as (partition by l_orderkey, l_returnflag order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)")
+@query("select l_shipdate as ship_date, l_orderkey as id, l_linenumber as line, cast(row_number() over w as int) as nth, count(*) over (partition by l_orderkey, l_returnflag) as n_of from lineitem window w as (partition by l_orderkey, l_returnflag order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)")
 def occurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0")
-    rows = rows.withColumn("__o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("__o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
     return order.occurrence(rows, "l_orderkey", "l_returnflag", order="__o").select(F.col("l_shipdate").alias("ship_date"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "nth", "n_of")
 
 

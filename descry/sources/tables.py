@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -130,3 +132,13 @@ def drop_meaningless(df: DataFrame) -> DataFrame:
     """Without the columns that have no meaningful value; one pass over the data."""
     found = df.agg(*[F.coalesce(F.bool_or(is_meaningful(df, c)), F.lit(False)).alias(c) for c in df.columns]).first()
     return df.select(*[c for c in df.columns if found[c]])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder's path where all executors can read and write: under spark.checkpoint.dir, in local mode under a folder of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="spark-descry-", dir="/tmp")
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
