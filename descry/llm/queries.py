@@ -80,5 +80,17 @@ def _quality_sql() -> str:
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {rules} as kept from f"""
 
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+#: Windows are compared as text: words hold no space.
+_DECONTAMINATE = f"""with d as (select row_number() over () as r, doc_id, {_WORDS} as ws from documents),
+ b as (select item_id, ws, least(len(ws), 13) as k from (select item_id, {_WORDS} as ws from benchmark) where len(ws) > 0),
+ bw as (select distinct item_id, k, array_to_string(ws[i:i + k - 1], ' ') as g from b, unnest(range(1, len(ws) - k + 2)) t(i)),
+ dw as (select r, i, k, array_to_string(ws[i:i + k - 1], ' ') as g from d, (select distinct k from bw), unnest(range(1, len(ws) - k + 2)) t(i)),
+ m as (select distinct r, i, k, item_id from dw join bw using (k, g)),
+ h as (select r, count(distinct p) as n_hit from (select distinct r, i, k from m), unnest(range(i, i + k)) t(p) group by r),
+ n as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from m group by r)
+ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+ coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated from d left join h using (r) left join n using (r)"""
+
 #: The others need byte-pair merges, trained models, 64-bit hashes with a seed, or closures.
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": _LINE_DEDUP, "op8_quality_rules": _quality_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": _LINE_DEDUP, "op6_decontaminate": _DECONTAMINATE, "op8_quality_rules": _quality_sql()}
