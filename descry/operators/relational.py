@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descry.functions.scalars import first_part
+from descry.operators.order import keep_last
 
 
 def assemble(points: DataFrame, datasets: DataFrame, values: DataFrame, splits: DataFrame | None, dataset: str, splitting: int | None = None) -> DataFrame:
@@ -52,6 +53,32 @@ def missing_records(rows: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return rows.select(key).distinct().join(records.select(key), key, "left_anti")
 
 
+def inner_distinct(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Inner join without repeated rows."""
+    return a.join(b, key).dropDuplicates()
+
+
+def record_join(core: DataFrame, needed: Sequence[tuple[DataFrame, str]], optional: Sequence[tuple[DataFrame, str]]) -> DataFrame:
+    """Records with their dimensions: a record without a needed one goes, an optional one may be missing."""
+    return metadata(reduce(lambda d, x: d.join(x[0], x[1]), needed, core), *optional)
+
+
+def parameters_of(records: DataFrame, parameters: DataFrame, names: DataFrame, units: DataFrame, key: str = "record_id") -> DataFrame:
+    """Parameters of these records only, with their name (needed) and their unit (optional)."""
+    return record_join(only_in(parameters, records, key), [(names, "name_id")], [(units, "unit_id")])
+
+
+def split_predictions(predictions: DataFrame, points: DataFrame, splits: DataFrame, models: DataFrame, split_num: int) -> DataFrame:
+    """Predictions of one part of a split, with their model and data point."""
+    part_ids = splits.filter(F.col("split_num") == split_num)
+    return predictions.join(models, "model_id").join(points, "point_id").join(part_ids.select("point_id"), "point_id", "left_semi")
+
+
+def unknown_to(rows: DataFrame, external: DataFrame, key: str, seq: str, known: str) -> DataFrame:
+    """Rows with an external tool's last values, where the tool has no experimental value of its own."""
+    return rows.join(keep_last(external, key, seq), key, "left").filter(F.col(known).isNull())
+
+
 def lookup_ids(wanted: Sequence[str], table: DataFrame, name: str, key: str) -> dict[str, object]:
     """Name to id; a missing name is an error."""
     got = {r[name]: r[key] for r in table.filter(F.col(name).isin(*wanted)).select(name, key).collect()}

@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +106,33 @@ def evolve(df: DataFrame, generations: int = 20, population: int = 100, penalty:
         children = np.where(rng.random(a.shape) < 0.5, a, b) ^ (rng.random(a.shape) < 1 / p)
         alive = np.vstack([kept, children])
     return scored[0]["features"]
+
+
+def ward_clusters(x: np.ndarray, threshold: float) -> list[int]:
+    """Cluster of each row of x: Ward's merges (Lance-Williams) up to a height of threshold; clusters are numbered by first member."""
+    n = len(x)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    size, label = np.ones(n), np.arange(n)
+    while n > 1:
+        i, j = sorted(np.unravel_index(d.argmin(), d.shape))
+        if not np.sqrt(d[i, j]) <= threshold:
+            break
+        with np.errstate(invalid="ignore"):
+            d[i] = d[:, i] = ((size + size[i]) * d[i] + (size + size[j]) * d[j] - size * d[i, j]) / (size + size[i] + size[j])
+        d[j] = d[:, j] = d[i, i] = np.inf
+        size[i] += size[j]
+        label[label == j] = i
+        d[i, np.isnan(d[i])] = np.inf
+    order = {v: k for k, v in enumerate(dict.fromkeys(label.tolist()))}
+    return [order[v] for v in label.tolist()]
+
+
+def uncorrelated(df: DataFrame, threshold: float) -> list[int]:
+    """The first feature of each Ward cluster of the rank correlations; the ranks are computed on the cluster, the
+    small matrix is clustered on the driver."""
+    if df.isEmpty():
+        return []
+    r = Correlation.corr(df.select(array_to_vector("features").alias("x")), "x", "spearman").first()[0].toArray()
+    labels = ward_clusters(np.nan_to_num(r), threshold)
+    return [labels.index(c) for c in range(max(labels) + 1)]

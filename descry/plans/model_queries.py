@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.operators import models, records, select, split, stats
+from descry.operators import models, records, relational, select, split, stats
 from descry.plans import stand_ins as own
 from descry.plans.queries import query, rounded
 from descry.plans.stand_ins import PREDICTIONS_SQL, table
@@ -123,6 +123,46 @@ def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(chosen)), "step int, idx int")
 
 
+@query()
+def uncorrelated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = select.uncorrelated(own.instances(spark, sf_dir), 1.5)
+    return spark.createDataFrame([(i,) for i in kept], "idx int")
+
+
+@query("""select l_orderkey as record_id, l_linenumber as line, s_name as name, n_name as unit, l_quantity as value from lineitem
+ join supplier on s_suppkey = l_suppkey left join nation on n_nationkey = l_partkey % 30 where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')""")
+def record_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records_of = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("record_id"))
+    values = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("name_id"), (F.col("l_partkey") % 30).cast("int").alias("unit_id"), F.col("l_quantity").alias("value"))
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("name"))
+    unit = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit_id"), F.col("n_name").alias("unit"))
+    return relational.parameters_of(records_of, values, names, unit).select("record_id", "line", "name", "unit", "value")
+
+
+@query(f"""with p as ({PREDICTIONS_SQL}) select p.id as point_id, line, n_name as model, o_totalprice as property, round(pred, 4) as pred from p join orders on o_orderkey = p.id join nation on n_nationkey = line where p.id % 5 = 0""")
+def predictions_of_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = own.predictions(spark, sf_dir).select(F.col("id").alias("point_id"), "line", F.col("line").alias("model_id"), "pred")
+    points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("point_id"), F.col("o_totalprice").alias("property"))
+    splits = points.select("point_id", F.when(F.col("point_id") % 5 == 0, 1).otherwise(0).alias("split_num"))
+    named = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("model_id"), F.col("n_name").alias("model"))
+    out = relational.split_predictions(p, points, splits, named, 1)
+    return rounded(out.select("point_id", "line", "model", "property", "pred"), 4, "pred")
+
+
+@query("""with x as (select user_id, arg_max(value, event_id) as pred, max(event_id) as event_id, arg_max(event_type, event_id) as kind from events group by user_id)
+ select c_custkey as id, c_acctbal as exp, pred from customer left join x on user_id = c_custkey where kind is null or kind <> 'purchase'""")
+def unknown_to_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("exp"))
+    tool = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", F.col("value").alias("pred"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("known"))
+    return relational.unknown_to(rows, tool, "id", "event_id", "known").select("id", "exp", "pred")
+
+
+@query("select distinct o_custkey as id, o_orderstatus as status, c_mktsegment as segment from orders join customer on c_custkey = o_custkey")
+def inner_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return relational.inner_distinct(rows, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")), "id")
+
+
 @query()
 def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = own.train_test(spark, sf_dir)

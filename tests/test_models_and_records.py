@@ -140,3 +140,20 @@ def test_answer_requests(spark, tmp_path):
     assert first == [(0, 1, 1, 11, False), (0, 1, 1, 11, False), (0, 2, 1, 21, False)]
     assert arrive([(1, 1), (1, 2)]) == [*first, (1, 1, 1, 11, True), (1, 1, 2, 12, False)]
     assert asked == [[(1, 1), (2, 1)], [(1, 2)]]
+
+
+def test_ward_clusters():
+    x = np.array([[0.0], [10.0], [0.1], [10.2], [50.0]])
+    assert select.ward_clusters(x, 1.0) == [0, 1, 0, 1, 2]
+    assert select.ward_clusters(x, 0.01) == [0, 1, 2, 3, 4] and select.ward_clusters(x, 1e9) == [0] * 5
+    # Two pairs merge at sqrt(2 * 2 * 2 / (2 + 2)) times the distance of their means.
+    pairs = np.array([[0.0], [1.0], [10.0], [11.0]])
+    assert select.ward_clusters(pairs, 14.1) == [0, 0, 1, 1] and select.ward_clusters(pairs, 14.2) == [0] * 4
+    assert select.ward_clusters(x[:1], 1.0) == [0]
+
+
+def test_uncorrelated(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 200))
+    df = spark.createDataFrame([([float(u), float(u**3), float(v)],) for u, v in zip(a, b, strict=True)], "features array<double>")
+    assert select.uncorrelated(df, 0.5) == [0, 2] and select.uncorrelated(df.limit(0), 0.5) == []
