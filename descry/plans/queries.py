@@ -342,7 +342,7 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
  t as (select q, r, sim from s where sim >= 0.01),
  c as (select q, step, count(*) filter (sim >= step) as n from t, (select unnest([0.5, 0.4, 0.3, 0.2, 0.1, 0.05, 0.01]) as step) group by q, step),
  p as (select q, max(step) filter (n >= 5 or step = 0.01) as threshold from c group by q)
- select q as query_id, round(any_value(threshold), 3) as threshold, cast(count(*) as int) as n from t join p using (q) where sim >= threshold group by q""")
+ select q as query_id, round(any_value(threshold), 3)::double as threshold, cast(count(*) as int) as n from t join p using (q) where sim >= threshold group by q""")
 def similar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""))
     docs = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), words.alias("words"))
