@@ -1,10 +1,14 @@
 """A gated recurrent language model in numpy, with a class-factored softmax, over word blocks.
 
-Word counts of all training documents are gathered by a shuffle of distinct words. The most frequent
-`vocabulary` words are spelled out by the model, in classes by frequency; all others go through one
-more output, "rare", and then by their smoothed share of the counts, so that probabilities of all
-words add up to one. A minimal gated unit (one gate) reads the words; its state is carried across
-windows to a document's end, in training as in scoring (gradients stop at window edges).
+Word counts of all training documents are gathered by a shuffle of distinct words. Words met
+`least` times or more, so the more the larger the corpus, are spelled out by the model (the most
+frequent `vocabulary` of them: model and sums of models stay in memory). All others, the unseen
+too, are read and predicted as rare classes by frequency and hash: PIECES for each power of two of
+the count; within its class a word goes by its smoothed share of the counts, so that probabilities
+of all words add up to one (unseen words are one word in each piece of the lowest class). Outputs
+are in classes near the square root of their number. A minimal gated unit (one gate) reads the
+words; its state is carried across windows to a document's end, in training as in scoring
+(gradients stop at window edges).
 
 Training covers every training document. A warm start on a bounded number of blocks gives all tasks
 the same model to begin with; then each task goes over its own blocks once and the results are
@@ -18,7 +22,9 @@ Empty training set: base and model score every word by the smoothing alone.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +37,10 @@ from descry.llm._shared import LOWER_SPACE, pack, shuffle_partitions, unpack, un
 from descry.llm.blocks import BLOCK_BYTES, blocks, places
 
 SMOOTH = 0.1
-#: Words the model spells out, in classes of equal size; its state; lanes and steps of a window.
-VOCABULARY, CLASS, HIDDEN, LANES, STEPS = 254, 16, 16, 512, 16
+#: Words the model spells out at most, and their least count; its state; lanes and steps of a window.
+VOCABULARY, LEAST, HIDDEN, LANES, STEPS = 16_384, 50, 16, 512, 16
+#: Rare classes for each power of two of the count; rows of a softmax that stay in the processor's cache.
+PIECES, CACHED = 16, 1024
 #: Blocks of the warm start; partial sums of the averaged models; tokens a task lays out at once.
 WARM_BLOCKS, SUMS, AT_ONCE = 1, 16, 4_000_000
 #: Lanes and rates of the warm start and of the pass over all; windows whose outputs are scored together.
@@ -45,19 +53,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 class GatedLM:
-    """Outputs 0 (end of text), 1 (rare) and the spelled-out words from 2 on, most frequent first."""
+    """Outputs 0 (end of text), the rare classes from 1 on and then the spelled-out words, most frequent first."""
 
     def __init__(self, n_out: int, counts: np.ndarray | None = None, hidden: int = HIDDEN, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.n, self.h = n_out, hidden
-        self.classes = -(-n_out // CLASS)
-        wide = self.classes * CLASS
+        self.each = math.isqrt(n_out - 1) + 1
+        self.classes = -(-n_out // self.each)
+        wide = self.classes * self.each
         normal = lambda *s: rng.normal(0, 0.1, s).astype("f4")
-        self.p = {"x": normal(n_out, 2 * hidden), "f": normal(hidden, hidden), "c": normal(hidden, hidden), "bf": np.zeros(hidden, "f4"), "cls": normal(hidden, self.classes), "bc": np.zeros(self.classes, "f4"), "out": normal(self.classes, hidden, CLASS), "bo": np.full((self.classes, CLASS), -30, "f4")}
+        self.p = {"x": normal(n_out, 2 * hidden), "f": normal(hidden, hidden), "c": normal(hidden, hidden), "bf": np.zeros(hidden, "f4"), "cls": normal(hidden, self.classes), "bc": np.zeros(self.classes, "f4"), "out": normal(self.classes, hidden, self.each), "bo": np.full((self.classes, self.each), -30, "f4")}
         weight = np.zeros(wide)
         weight[:n_out] = 1.0 if counts is None else counts + 1.0
-        by = weight.reshape(self.classes, CLASS)
-        self.p["bo"].reshape(-1)[:n_out] = np.log(weight[:n_out] / np.repeat(by.sum(1), CLASS)[:n_out])
+        by = weight.reshape(self.classes, self.each)
+        self.p["bo"].reshape(-1)[:n_out] = np.log(weight[:n_out] / np.repeat(by.sum(1), self.each)[:n_out])
         self.p["bc"][:] = np.log(by.sum(1) / weight.sum())
         self.g2 = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
 
@@ -93,19 +102,26 @@ class GatedLM:
     def outputs(self, hs: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log-probability of each target; with grads also the gradient by hs of their sum's negative."""
         p = self.p
-        cls, word = target // CLASS, target % CLASS
-        z = hs @ p["cls"] + p["bc"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(1)
-        rows = np.arange(len(target))
-        logp = z[rows, cls] - np.log(total)
-        d_h = None
+        cls, word = target // self.each, target % self.each
+        logp, d_h = np.empty(len(target), hs.dtype), None if grads is None else np.empty_like(hs)
         if grads is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grads["cls"], grads["bc"] = hs.T @ e, e.sum(0)
-            d_h = e @ p["cls"].T
+            grads["cls"], grads["bc"] = np.zeros_like(p["cls"]), np.zeros_like(p["bc"])
+        for a in range(0, len(target), CACHED):
+            part = hs[a : a + CACHED]
+            z = part @ p["cls"]
+            z += p["bc"]
+            z -= z.max(1, keepdims=True)
+            own, rows = cls[a : a + CACHED], np.arange(len(part))
+            at = z[rows, own]
+            np.exp(z, out=z)
+            total = z.sum(1)
+            logp[a : a + CACHED] = at - np.log(total)
+            if grads is not None:
+                z /= total[:, None]
+                z[rows, own] -= 1
+                grads["cls"] += part.T @ z
+                grads["bc"] += z.sum(0)
+                d_h[a : a + CACHED] = z @ p["cls"].T
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for k in range(self.classes):
@@ -113,17 +129,19 @@ class GatedLM:
             if not len(own):
                 continue
             h = hs[own]
-            z = h @ p["out"][k] + p["bo"][k]
+            z = h @ p["out"][k]
+            z += p["bo"][k]
             z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(1)
-            r = np.arange(len(own))
-            logp[own] += z[r, word[own]] - np.log(total)
+            r, w = np.arange(len(own)), word[own]
+            at = z[r, w]
+            np.exp(z, out=z)
+            total = z.sum(1)
+            logp[own] += at - np.log(total)
             if grads is not None:
-                e /= total[:, None]
-                e[r, word[own]] -= 1
-                grads["out"][k], grads["bo"][k] = h.T @ e, e.sum(0)
-                d_h[own] += e @ p["out"][k].T
+                z /= total[:, None]
+                z[r, w] -= 1
+                grads["out"][k], grads["bo"][k] = h.T @ z, z.sum(0)
+                d_h[own] += z @ p["out"][k].T
         return logp, d_h
 
     def learn(self, inp: np.ndarray, fresh: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray, rate: float, full: int) -> np.ndarray:
@@ -243,14 +261,20 @@ def words_of(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield t.encode().translate(LOWER_SPACE).split() if t else []
 
 
+def rare_class(words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """The rare class of each word, were it not spelled out: the power of two of its count, then a piece of its hash."""
+    power = np.maximum(np.frexp(counts.astype("f8"))[1].astype(np.int64) - 1, 0)
+    return power * PIECES + np.fromiter((zlib.crc32(w) >> 8 & PIECES - 1 for w in words), np.int64, len(words))
+
+
 class Gathered:
-    """Counts of all training tokens: N, V, the counts by word (a table) and the spelled-out words."""
+    """Counts of all training tokens: N, V, the counts by word (a table), the spelled-out words, tokens and words of each rare class."""
 
-    def __init__(self, table: DataFrame, n: int, v: int, ends: int, top: list[tuple[bytes, int]]):
-        self.table, self.n, self.v, self.ends, self.top = table, n, v, ends, top
+    def __init__(self, table: DataFrame, n: int, v: int, ends: int, top: list[tuple[bytes, int]], rare_n: np.ndarray, rare_v: np.ndarray):
+        self.table, self.n, self.v, self.ends, self.top, self.rare_n, self.rare_v = table, n, v, ends, top, rare_n, rare_v
 
 
-def gather(dealt: DataFrame, spark, vocabulary: int) -> Gathered:
+def gather(dealt: DataFrame, spark, vocabulary: int, least: int) -> Gathered:
     """dealt: blocks with key columns id and learn (whether a document is learned from)."""
 
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,19 +300,33 @@ def gather(dealt: DataFrame, spark, vocabulary: int) -> Gathered:
                     if n:
                         own[w] = own.get(w, 0) + n
         for b, own in held.items():
-            top = heapq.nsmallest(vocabulary, own.items(), key=lambda x: (-x[1], x[0]))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack_words_counts(own)], pa.binary()), pa.array([sum(own.values())], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([[w for w, _ in top]], pa.list_(pa.binary())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["bucket", "table", "n", "v", "words", "counts"])
+            top = heapq.nsmallest(vocabulary, (x for x in own.items() if x[1] >= least), key=lambda x: (-x[1], x[0]))
+            n = np.fromiter(own.values(), np.int64, len(own))
+            rare = rare_class(list(own), n)
+            rare_n, rare_v = np.zeros(int(rare.max(initial=-1)) + 1, np.int64), np.bincount(rare)
+            np.add.at(rare_n, rare, n)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack_words_counts(own)], pa.binary()), pa.array([int(n.sum())], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([[w for w, _ in top]], pa.list_(pa.binary())), pa.array([[n for _, n in top]], pa.list_(pa.int64())), pa.array([rare_n.tolist()], pa.list_(pa.int64())), pa.array([rare_v.tolist()], pa.list_(pa.int64()))], names=["bucket", "table", "n", "v", "words", "counts", "rare_n", "rare_v"])
 
     counts = dealt.filter("bucket = -1").select("block", "learn", "payload").mapInArrow(per_block, "block long, bucket int, counts binary, ends long")
     counts = written(counts, "block-counts")
     ends = counts.agg(F.coalesce(F.sum("ends"), F.lit(0)).alias("n")).first()["n"]
     words = dealt.filter("bucket >= 0").select("block", "bucket", "payload").join(counts.select("block", "bucket", "counts"), ["block", "bucket"])
-    table = words.repartition(shuffle_partitions(spark), "bucket").mapInArrow(total, "bucket int, table binary, n long, v long, words array<binary>, counts array<long>")
+    table = words.repartition(shuffle_partitions(spark), "bucket").mapInArrow(total, "bucket int, table binary, n long, v long, words array<binary>, counts array<long>, rare_n array<long>, rare_v array<long>")
     table = written(table, "word-counts")
     sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     each = table.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
     top = [(bytes(r["words"]), r["counts"]) for r in each.orderBy(F.desc("counts"), "words").limit(vocabulary).collect()]
-    return Gathered(table.select("bucket", "table"), sums["n"] + ends, sums["v"] + (ends > 0), ends, top)
+    # Of all words by class; those of the spelled-out words are taken off.
+    by_class = table.select(F.posexplode(F.arrays_zip("rare_n", "rare_v")).alias("k", "x")).groupBy("k").agg(F.sum("x.rare_n").alias("n"), F.sum("x.rare_v").alias("v")).collect()
+    size = PIECES * -(-max([PIECES, *(r["k"] + 1 for r in by_class)]) // PIECES)
+    rare_n, rare_v = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for r in by_class:
+        rare_n[r["k"]], rare_v[r["k"]] = r["n"], r["v"]
+    spelled = rare_class([w for w, _ in top], np.array([n for _, n in top], np.int64))
+    np.subtract.at(rare_n, spelled, np.array([n for _, n in top], np.int64))
+    np.subtract.at(rare_v, spelled, 1)
+    used = PIECES * (int(np.flatnonzero(rare_v).max(initial=0)) // PIECES + 1)
+    return Gathered(table.select("bucket", "table"), sums["n"] + ends, sums["v"] + (ends > 0), ends, top, rare_n[:used], rare_v[:used])
 
 
 def pack_words_counts(own: dict[bytes, int]) -> bytes:
@@ -308,7 +346,7 @@ def unpack_words_counts(data: bytes) -> dict[bytes, int]:
 
 def answers(dealt: DataFrame, known: Gathered, spark) -> DataFrame:
     """(block, bucket, payload): each block's words' training counts (two halves) and model outputs."""
-    top = spark.sparkContext.broadcast({w: i + 2 for i, (w, _) in enumerate(known.top)})
+    top = spark.sparkContext.broadcast({w: i + RARE + len(known.rare_n) for i, (w, _) in enumerate(known.top)})
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[int, dict[bytes, int]] = {}
@@ -323,7 +361,8 @@ def answers(dealt: DataFrame, known: Gathered, spark) -> DataFrame:
                 c = np.fromiter((own.get(w, 0) for w in words), np.int64, len(words))
                 out[0].append(block)
                 out[1].append(b)
-                out[2].append(pack(c & 0xFFFFFFFF, c >> 32, np.fromiter((number.get(w, RARE) for w in words), np.int64, len(words))))
+                spelled = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
+                out[2].append(pack(c & 0xFFFFFFFF, c >> 32, np.where(spelled > 0, spelled, RARE + rare_class(words, c))))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["block", "bucket", "payload"])
 
     words = dealt.filter("bucket >= 0").select("block", "bucket", "payload")
@@ -341,14 +380,16 @@ def tokens_of(seq: np.ndarray, counts: np.ndarray, of_word: np.ndarray, end: int
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, block_bytes: int = BLOCK_BYTES, least: int = LEAST) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row's whole text."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), (~held_out(F.col(id_col))).alias("learn"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
     dealt = written(blocks(rows, words_of, ["id", "learn"], "text", block_bytes), "word-blocks")
-    known = gather(dealt, spark, vocabulary)
-    n_rare, v_rare = known.n - known.ends - sum(n for _, n in known.top), known.v - (known.ends > 0) - len(known.top)
+    known = gather(dealt, spark, vocabulary, least)
+    n_rare = len(known.rare_n)
+    #: log10 of what the smoothed counts of a rare class's words, and of one unseen, are divided by.
+    of_rare = np.log10(known.rare_n + SMOOTH * (known.rare_v + 1))
     seqs = dealt.filter("bucket = -1").select("block", "id", "learn", "payload")
 
     def join_answers(block: pa.Table, got: pa.Table) -> pa.Table:
@@ -363,7 +404,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         sizes = counts.astype(np.int64) + 1
         first = np.cumsum(sizes) - sizes
         base = np.add.reduceat(np.log10((all_c + SMOOTH) / (n_all + SMOOTH * (v_all + 1))), first)
-        rare = np.where(out == RARE, np.log10((c + SMOOTH) / (n_rare + SMOOTH * (v_rare + 1))), 0.0)
+        rare = np.where(out < RARE + n_rare, np.log10(c + SMOOTH) - of_rare[np.minimum(out - RARE, n_rare - 1)], 0.0)
         rare_sum = np.add.reduceat(tokens_of_float(seq, counts, rare), first)
         tokens = tokens_of(seq, counts, out, END)
         n_known = np.add.reduceat((all_c > 0).astype(np.int64), first)
@@ -374,8 +415,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     fields = [T.StructField("block", T.LongType()), T.StructField("id", T.ArrayType(id_type)), T.StructField("learn", T.ArrayType(T.BooleanType())), T.StructField("payload", T.BinaryType()), T.StructField("base", T.ArrayType(T.DoubleType())), T.StructField("rare", T.ArrayType(T.DoubleType())), T.StructField("n_known", T.ArrayType(T.LongType()))]
     read = written(seqs.groupBy("block").cogroup(answers(dealt, known, spark).groupBy("block")).applyInArrow(join_answers, T.StructType(fields)), "token-blocks")
 
-    n_out = len(known.top) + 2
-    start = GatedLM(n_out, np.array([known.ends, max(0, n_rare), *(n for _, n in known.top)], np.float64))
+    n_out = RARE + n_rare + len(known.top)
+    start = GatedLM(n_out, np.array([known.ends, *known.rare_n, *(n for _, n in known.top)], np.float64))
     for r in read.select("learn", "payload").orderBy("block").limit(WARM_BLOCKS).toLocalIterator():
         train(start, *learned(bytes(r["payload"]), np.array(r["learn"], bool)), rate=WARM_RATE, n_lanes=WARM_LANES)
     model = mixed(read, start)
