@@ -135,11 +135,12 @@ class Templates:
                     share = len(own & self.units[u][2]) / len(self.units[u][2])
                     if share < CONTAINED:
                         continue
-                    if u in best and a - best[u][0] > size:
+                    # A window that shares no word with the best one, or no text, is of another copy.
+                    if u in best and (a - best[u][1] >= size or text[best[u][1]] != text[a]):
                         yield int(text[best[u][1]]), best[u][1], u, best[u][2]
                         del best[u]
                     last = best.get(u)
-                    best[u] = (a, a, share) if last is None or share > last[2] or text[last[1]] != text[a] else (a, last[1], last[2])
+                    best[u] = (a, a, share) if last is None or share > last[2] else (a, last[1], last[2])
             for u, (_, a, share) in best.items():
                 yield int(text[a]), a, u, share
 

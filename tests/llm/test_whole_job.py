@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from descry.llm import language_model
+from descry.llm import language_model, licenses
 from descry.llm._shared import unpack
 from descry.llm.blocks import blocks
 
@@ -28,3 +28,12 @@ def test_language_model_reads_and_predicts_all_words(spark):
     assert len(few.top) == 5 and few.rare_n.sum() + sum(c for _, c in few.top) + few.ends == few.n
     outputs = {x for r in language_model.answers(dealt, few, spark).collect() for x in unpack(bytes(r["payload"]))[2].tolist()}
     assert len(outputs) > 20 and max(outputs) == language_model.RARE + len(few.rare_n) + 4
+
+
+def test_licenses_in_consecutive_bare_notices(spark):
+    for name, notice in licenses.TEMPLATES.items():
+        texts = [*[notice] * 5, "Words that stand before. " + notice, notice + " And after it.", notice + " " + notice]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+        assert all(name in got[i]["licenses"].split(",") for i in range(len(texts))), name
+        assert sum(x.startswith(name + ":") for x in got[7]["spans"].split(",")) == 2, name
