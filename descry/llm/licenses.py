@@ -2,8 +2,8 @@
 
 Each template is cut into units of at most UNIT words; a text is looked at in overlapping windows of
 each unit's length, at every word. Signatures of 64 minima over 5-word shingles are cut into 32 bands of 2
-rows. A window that contains 0.8 of a unit's shingles has a Jaccard similarity of 2/3 or more with
-it (both are of one length) and shares a band with probability 1 - (1 - (2/3)**2)**32, over
+rows. A text shorter than the unit is one window. A window that contains 0.8 of a unit's shingles has a
+Jaccard similarity of 2/3 or more with it (it is no longer than the unit) and shares a band with probability 1 - (1 - (2/3)**2)**32, over
 0.999999993. A window without any shingle of a template has an empty intersection and is passed
 over before its signature is made. Candidates are verified by exact containment of word shingles.
 A template counts as found if units with 0.8 of its shingles are.
@@ -118,7 +118,18 @@ class Templates:
         hits = hits[text[hits] == text[hits + SHINGLE - 1]] if len(hits) else hits
         if not len(hits):
             return
+        short = np.unique(text[hits])
         for size in self.lengths:
+            for t in short[w.count[short] < size].tolist():
+                a, n = int(w.first[t]), int(w.count[t])
+                near = {u for k in bands(grams[a : a + n - SHINGLE + 1]).tolist() for u in self.index.get(k, ()) if self.units[u][1] == size}
+                if not near:
+                    continue
+                own = shingles(w.joined(a, n).split())
+                for u in near:
+                    share = len(own & self.units[u][2]) / len(self.units[u][2])
+                    if share >= CONTAINED:
+                        yield t, a, u, share
             inside = size - SHINGLE  # a window from a on has the shingles a .. a + inside
             starts = np.unique((hits[:, None] - np.arange(inside + 1)[None, :]).ravel())
             starts = starts[starts >= 0]
@@ -158,16 +169,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             for lo, hi in chunks(texts):
                 w = words_of(texts[lo:hi])
                 for t, a, u, share in index.find(w):
-                    found[lo + t].append((a - int(w.first[t]), u, share))
+                    at = a - int(w.first[t])
+                    found[lo + t].append((at, u, share, min(index.units[u][1], int(w.count[t]) - at)))
             names, spans = [], []
             for f in found:
                 held: dict[str, dict[int, float]] = {}
-                for _, u, share in f:
+                for _, u, share, _ in f:
                     of = held.setdefault(index.units[u][0], {})
                     of[u] = max(of.get(u, 0.0), share)
                 whole = {n for n, us in held.items() if sum(s * len(index.units[u][2]) for u, s in us.items()) >= CONTAINED * index.size[n]}
                 names.append(sorted(whole))
-                spans.append(",".join(f"{index.units[u][0]}:{a}:{index.units[u][1]}:{share:.3f}" for a, u, share in sorted(f) if index.units[u][0] in whole))
+                spans.append(",".join(f"{index.units[u][0]}:{a}:{n}:{share:.3f}" for a, u, share, n in sorted(f) if index.units[u][0] in whole))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, names), pa.int64()), pa.array([",".join(n) for n in names], pa.string()), pa.array(spans, pa.string())], names=["id", "n_licenses", "licenses", "spans"])
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_licenses", T.LongType()), T.StructField("licenses", T.StringType()), T.StructField("spans", T.StringType())])

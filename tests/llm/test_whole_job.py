@@ -37,3 +37,12 @@ def test_licenses_in_consecutive_bare_notices(spark):
         got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
         assert all(name in got[i]["licenses"].split(",") for i in range(len(texts))), name
         assert sum(x.startswith(name + ":") for x in got[7]["spans"].split(",")) == 2, name
+
+
+def test_licenses_in_texts_shorter_than_the_notice(spark):
+    mit, gpl = licenses.TEMPLATES["mit"].split(), licenses.TEMPLATES["gpl-3.0-line"].split()
+    texts = [" ".join(mit[:-10]), " ".join(gpl[1:]), " ".join(mit[:-30]), " ".join(mit[:4])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert [got[i]["licenses"] for i in range(4)] == ["mit", "gpl-3.0-line", "", ""]
+    assert got[0]["spans"] == "mit:0:77:0.880"
