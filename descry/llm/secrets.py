@@ -2,6 +2,9 @@
 
 The programme finds the cheapest way to spell a value as dictionary words, dates, repeats, keyboard
 walks and brute-force spans; costs are logarithms (base 10) of guesses and add up over the segments.
+Dictionary words are the common passwords, then the words of the corpus itself by the number of
+documents that hold them outside of credential values: in lower case, letters only, in LEAST_DOCS
+documents or more, the MOST_WORDS most frequent (20 letters at most each, so some 4 MB are sent).
 A value after a credential name that costs at least `min_log10_guesses` is a finding of kind
 "guess"; one that people or machines would guess sooner (a placeholder, a word with a year) is not.
 
@@ -45,7 +48,9 @@ COMMON = (
     "jordan hunter killer trust no one server prod dev stage data base xxxx insert value string"
 ).split()
 WORD_COST = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(COMMON))}
-LONGEST = max(map(len, WORD_COST))
+LONGEST = 20
+#: Documents that make a word; words sent to the tasks.
+LEAST_DOCS, MOST_WORDS = 5, 50_000
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEXT = {(a, b) for r in ROWS for a, b in [*zip(r, r[1:]), *zip(r[1:], r)]} | {(a, b) for x, y in zip(ROWS, ROWS[1:]) for i, a in enumerate(y) for b in x[i : i + 2]}  # noqa: B905
@@ -63,7 +68,15 @@ def brute_cost(c: str) -> float:
     return math.log10(64)
 
 
-def guess_cost(value: str) -> float:
+def word_costs(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
+    """Guesses (log10) of the common passwords and of the words of docs, by rank."""
+    prose = F.lower(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), f"(?i){CONTEXT.pattern}", " "))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).filter(f"length(w) between 2 and {LONGEST}")
+    ranked = words.groupBy("w").count().filter(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "w").limit(MOST_WORDS)
+    return {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys([*WORD_COST, *(r["w"] for r in ranked.collect())]))}
+
+
+def guess_cost(value: str, word_cost: dict[str, float] = WORD_COST) -> float:
     """log10 of the guesses that the cheapest segmentation of value takes."""
     n = len(value)
     if not n:
@@ -88,7 +101,7 @@ def guess_cost(value: str) -> float:
             best[e] = min(best[e], best[walk] + math.log10(47) + 0.5 * math.log10(e - walk) + 0.3 * (e - walk - 1) + SEGMENT)
         for size in range(2, min(LONGEST, e) + 1):
             a = e - size
-            if (c := WORD_COST.get(low[a:e])) is None and (c := WORD_COST.get(plain[a:e])) is not None:
+            if (c := word_cost.get(low[a:e])) is None and (c := word_cost.get(plain[a:e])) is not None:
                 c += 0.6
             if c is not None:
                 capitals = sum(x.isupper() for x in value[a:e])
@@ -121,12 +134,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, min_log10: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, min_log10: float = MIN_LOG10_GUESSES, word_cost: dict[str, float] = WORD_COST) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the values in credential context that are hard to guess."""
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= min_log10]
+    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], word_cost) >= min_log10]
 
 
 def spell(spans: list[tuple[int, int, int]]) -> str:
@@ -140,6 +153,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lo
     pattern is its whole match; that of a guess is the value.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(word_costs(docs, text_col))
     own = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("n_guess", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +161,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lo
             cols: list[list] = [[] for _ in own]
             for cell in batch.column(1):
                 text = cell.as_py() or ""
-                base, more = base_spans(text), guess_spans(text, min_log10_guesses)
+                base, more = base_spans(text), guess_spans(text, min_log10_guesses, sent.value)
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 for col, x in zip(cols, (*n, hashlib.sha256(spell(base).encode()).hexdigest(), spell(base + more), len(more)), strict=True):
                     col.append(x)

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from descry.llm import language_model, licenses
+from descry.llm import language_model, licenses, secrets
 from descry.llm._shared import unpack
 from descry.llm.blocks import blocks
 
@@ -46,3 +46,10 @@ def test_licenses_in_texts_shorter_than_the_notice(spark):
     got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
     assert [got[i]["licenses"] for i in range(4)] == ["mit", "gpl-3.0-line", "", ""]
     assert got[0]["spans"] == "mit:0:77:0.880"
+
+
+def test_secrets_take_words_of_the_corpus_for_words(spark):
+    texts = ["Offers are accepted while available."] * 6 + ["The token is accepted, the secret: available, and token is xkqvzjwpgh"] + ["password: qhzjvkwxyp"] * 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    assert got[6] == f"guess:{texts[6].index('xkq')}:{len(texts[6])}" and got[7] == "guess:10:20"
