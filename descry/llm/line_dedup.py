@@ -1,22 +1,22 @@
 """Line dedup with DataFrame functions only.
 
 Line keys are hashed to 128 bits. Occurrences are range-partitioned by (hash, document) with a
-secondary sort by position, so one hash that fills a third of the corpus spans many partitions;
-streaming over each sorted run gives a document's first occurrence, and these are counted per hash
-with map-side sums. What comes back per document is a sparse bitmap of lines to drop (64 lines to
-a word, words without a drop left out), not text.
-
-A document is a doc_id with its text: rows equal in both count as one document and are all
-returned, treated alike. Null text: one empty line. Null doc_id: an ordinary value. Extra columns
-of the input are kept by `dedup_lines` and not used.
+secondary sort by position, so one hash that fills a third of the corpus spans many partitions.
+Each sorted run is streamed: an occurrence at the least position of its document counts the
+document once for the hash, and the counts are summed map-side first. What comes back per document
+is a bitmap of lines to drop (64 lines to a word, up to the last word with a drop), not text.
+
+Each row is a document, so equal rows count once each (they are all returned, treated alike). Null
+text: one empty line. Null doc_id: an ordinary value, each such row a document. Extra columns of
+the input are kept by `dedup_lines` and not used; one named like an output is replaced by it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from descry.llm._shared import LOWER_ASCII, UPPER_ASCII, shuffle_partitions, text_hash, written
+from descry.llm._shared import LOWER_ASCII, UPPER_ASCII, fresh, shuffle_partitions, text_hash, written
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -32,15 +32,25 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """Of the lines (a, b, id, t, pos) those at the least position of their hash in a document; equal rows each keep theirs.
+
+    The sort is what the rank streams over: a row's rank is 1 as long as no smaller position came before.
+    """
+    n = shuffle_partitions(lines.sparkSession)
+    runs = lines.repartitionByRange(n, "a", "b", "id", "t").sortWithinPartitions("a", "b", "id", "t", "pos")
+    return runs.withColumn("nth", F.rank().over(Window.partitionBy("a", "b", "id", "t").orderBy("pos"))).filter("nth = 1")
+
+
 def drop_bitmaps(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, words): for each document with a line to drop, 64-bit words by number; bit p % 64 of word p div 64 is line p."""
+    """(id, t, words): for each document with a line to drop, 64-bit words from line 0 on; bit p % 64 of word p div 64 is line p."""
     key = F.transform(lines_of(F.col(text_col)), line_key)
     named = F.transform(key, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b"))))
-    lines = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("t"), F.posexplode(named).alias("pos", "h"))
+    # The text's hash is made below the explode, once for a text and not once for a line.
+    keyed = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("t"), named.alias("keys"))
+    lines = keyed.select("id", "t", F.posexplode("keys").alias("pos", "h"))
     lines = written(lines.filter("h is not null").select("id", "t", "pos", "h.a", "h.b"), "lines")
-    n = shuffle_partitions(docs.sparkSession)
-    sorted_runs = lines.repartitionByRange(n, "a", "b", "id", "t").sortWithinPartitions("a", "b", "id", "t", "pos")
-    firsts = sorted_runs.groupBy("a", "b", "id", "t").agg(F.min("pos").alias("pos"))
+    firsts = first_occurrences(lines)
     common = firsts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("id", "t", "pos")).alias("first")).filter(F.col("n_docs") >= min_docs)
     common = written(common.select("a", "b", "first") if keep_first else common.select("a", "b"), "common-lines")
     hit = lines.join(common, ["a", "b"])
@@ -48,7 +58,10 @@ def drop_bitmaps(docs: DataFrame, min_docs: int, min_chars: int, keep_first: boo
         hit = hit.filter(~F.struct("id", "t", "pos").eqNullSafe(F.col("first")))
     # A word can be filled twice by equal rows, so bits are joined by OR.
     bits = hit.groupBy("id", "t", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits"))
-    return bits.groupBy("id", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    held = bits.groupBy("id", "t").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    gap = lambda x, i: x["word"] - F.coalesce(F.get("held", i - 1)["word"], F.lit(-1)) - 1
+    filled = F.flatten(F.transform("held", lambda x, i: F.concat(F.array_repeat(F.lit(0).cast("long"), gap(x, i)), F.array(x["bits"]))))
+    return held.select("id", "t", filled.alias("words"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,17 +70,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_fir
     Lines whose key has min_chars code points or more and is found in min_docs documents or more
     are dropped: all of them, or with keep_first all but the first by (doc_id, text hash, position).
     """
-    maps = drop_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col).select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("words").alias("__words"))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__t"))
+    own_id, own_t, own_words = fresh(docs, "id", "t", "words")
+    maps = drop_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col).toDF(own_id, own_t, own_words)
+    on = F.col(id_col).eqNullSafe(F.col(own_id)) & (text_hash(F.col(text_col)) == F.col(own_t))
     lines = lines_of(F.col(text_col))
-    word = lambda p: F.coalesce(F.try_element_at("__words", F.floor(p / 64).cast("int")), F.lit(0).cast("long"))
+    word = lambda p: F.coalesce(F.get(F.col(own_words), F.floor(p / 64).cast("int")), F.lit(0).cast("long"))
     dropped = lambda p: F.call_function("shiftright", word(p), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
     kept = F.filter(lines, lambda _, p: ~dropped(p))
-    some = F.col("__words").isNotNull()
-    n_dropped = F.when(some, F.aggregate(F.map_values("__words"), F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))).otherwise(F.lit(0).cast("long"))
+    some = F.col(own_words).isNotNull()
+    n_dropped = F.when(some, F.aggregate(own_words, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))).otherwise(F.lit(0).cast("long"))
     out = docs.join(maps, on, "left").withColumns({
         "n_lines": F.size(lines).cast("long"),
         "n_dropped": n_dropped,
         "kept_text": F.when(some, F.array_join(kept, "\n")).otherwise(F.coalesce(F.col(text_col), F.lit(""))),
     })
-    return out.drop("__id", "__t", "__words")
+    return out.drop(own_id, own_t, own_words)

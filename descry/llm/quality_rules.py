@@ -1,7 +1,8 @@
 """Quality rules: a table of thresholds compiled into one Spark projection, without user functions.
 
 Null text: no words, so it fails. Empty text: the same. Null doc_id, repeated rows and extra
-columns: a map, so each row is judged by itself and keeps its columns.
+columns: a map, so each row is judged by itself and keeps its columns, but for those named like a
+measure, base_failed or kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from descry.llm._shared import fresh
+
 SPACES = r"[\x20\x09-\x0D]+"
 #: Symbols that are counted (fixed by the contract).
 SYMBOLS = r"[#*$%&|<>]"
@@ -59,8 +62,9 @@ def repeat_words(words: Column) -> Column:
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_stop_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    with_words = docs.withColumn("__words", F.array_remove(F.split(text, SPACES), ""))
-    words = F.col("__words")
+    (own,) = fresh(docs, "words")
+    with_words = docs.withColumn(own, F.array_remove(F.split(text, SPACES), ""))
+    words = F.col(own)
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     count = lambda c: c.cast("long")
     stops = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS)))
@@ -72,7 +76,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": let(lines, lambda x: count(F.size(x) - F.size(F.array_distinct(x)))),
         "n_repeat_words": repeat_words(words),
         "n_stop_words": count(F.size(F.filter(words, lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS))))),
-    }).drop("__words")
+    }).drop(own)
 
 
 def verdict(rules: tuple[tuple[str, str, str, float], ...] = RULES) -> Column:

@@ -1,13 +1,18 @@
 """SimHash near-dedup by an inverted index of fingerprint bytes with count filtering.
 
 Equal fingerprints are one class from the start, so copies are never paired. Two fingerprints that
-differ in at most 2 of 64 bits differ in at most 2 of 8 bytes: they share at least 6 positional
-bytes, and of four pairs of bytes at least two whole. The index posts each distinct fingerprint
-under its six combinations of two byte pairs; pairs that meet are tallied for shared positional
-bytes, those under 6 are dropped, the rest is verified by differing bits. A posting with over
-`max_posting` members is not paired: there each member posts itself and its one-bit changes in the
-four other bytes, and all that share such a post are linked to its smallest, which links exactly
-the members within two bits (they have a common neighbour at one bit or less).
+differ in at most 2 of 64 bits share at least 6 of their 8 bytes by position (LEAST_SHARED). Each
+fingerprint's bytes are ordered from the rarest of the corpus to the most frequent one; by the
+guaranteed count, two that share 6 share at least 2 among the 4 rarest of either, 4 among the 6
+rarest and 6 among all 8. A posting of one byte would hold 1/256 of all fingerprints or more, so
+the index posts a fingerprint under every two of its 4 rarest bytes; the members of a posting with
+over `max_posting` are posted anew under every four of their 6 rarest, and those of a posting that
+is still too large under every six of all 8. Pairs that meet in a posting are tallied: how many
+positional bytes are equal. Those under 6 go, and the rest is verified by differing bits. Members of
+a posting of six bytes with over `max_posting` members differ in the two other bytes alone: each posts itself and its
+one-bit changes there, and all that share such a post are linked to its smallest, which links
+exactly the members within two bits (they have a common neighbour at one bit or less). So nothing
+is capped.
 
 Null text: as empty, fingerprint zero. Null doc_id: linked like any, but never a class id unless
 the class has no other (then component_id is null). Repeated rows: one result each. Extra columns
@@ -17,20 +22,28 @@ are not used.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from descry.llm._shared import LOWER_SPACE, chunks, texts_of, written
+from descry.llm._shared import LOWER_SPACE, chunks, fresh, text_hash, texts_of, written
 from descry.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
+#: Bytes by position that fingerprints within MAX_BITS share at least.
+BYTES, LEAST_SHARED = 8, 8 - MAX_BITS
+#: Bytes of a posting: first, and for the members of postings that are too large.
+LEVELS = (2, 4, 6)
 #: Members of a posting up to which all pairs are tallied.
 MAX_POSTING = 16
+#: A fingerprint that more than this share of all rows have is joined apart; there are at most 1 / HOT of them.
+HOT = 0.001
 
 
 def fingerprint(texts: list[bytes], n: int = SHINGLE) -> np.ndarray:
@@ -75,45 +88,110 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())]))
 
 
-def shared_bytes(x: Column) -> Column:
-    """Zero bytes of x, the XOR of two fingerprints: the positional bytes they share."""
-    return sum((F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
+def byte_at(x: Column, i: int) -> Column:
+    return F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))
 
 
-def links(fps: DataFrame, max_posting: int = MAX_POSTING) -> DataFrame:
-    """(a, b), fingerprints of `fps` (one column fp, distinct) whose closure is that of all pairs within two bits.
+def shared_bytes(a: Column, b: Column) -> Column:
+    """The tally of a pair: positional bytes that are equal."""
+    return sum((byte_at(a, i) == byte_at(b, i)).cast("int") for i in range(BYTES))
+
+
+def rarest_first(fps: DataFrame) -> Column:
+    """The positions of fp's bytes, the rarest byte of `fps` first; 2,048 counts are all that is gathered."""
+    each = fps.select(F.posexplode(F.array(*[byte_at(F.col("fp"), i) for i in range(BYTES)])).alias("position", "byte"))
+    counts = [0] * (256 * BYTES)
+    for r in each.groupBy("position", "byte").count().collect():
+        counts[256 * r["position"] + r["byte"]] = r["count"]
+    n = F.lit(counts)
+    seen = F.array(*[F.struct(F.get(n, (byte_at(F.col("fp"), i) + 256 * i).cast("int")).alias("n"), F.lit(i).alias("position")) for i in range(BYTES)])
+    return F.transform(F.sort_array(seen), lambda x: x["position"])
+
 
-    Pairs of a posting are all tallied if it has up to max_posting members; a larger one goes by
-    common neighbours, which is exact too, so nothing is capped.
+def posts(fps: DataFrame, level: int) -> DataFrame:
+    """(fp, mask, key): fp (with `places`, its positions by rarity) under every `level` of its first bytes.
+
+    Of BYTES - LEAST_SHARED + level first bytes any two that reach the count share `level`.
     """
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    masks = [sum(0xFFFF << 16 * k for k in p) for p in pairs]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posts = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("slot", "key"))
-    sizes = posts.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).filter("n > 1")
-    posts = written(posts.join(written(sizes, "postings"), ["slot", "key"]), "posts")
-    small = posts.filter(F.col("n") <= max_posting)
-    # Each small posting is one bounded row; its pairs are tallied and verified where they are made.
-    members = small.groupBy("slot", "key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
-    tallied = F.filter("m", lambda y: (y > F.col("a")) & (shared_bytes(y.bitwiseXOR(F.col("a"))) >= 8 - MAX_BITS))
-    met = members.select(F.explode("m").alias("a"), "m").select("a", F.explode(tallied).alias("b"))
-    near = met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    prefix = range(BYTES - LEAST_SHARED + level)
+    whole = F.transform("places", lambda p: F.call_function("shiftleft", F.lit(255).cast("long"), 8 * p))
+    masked = fps.select("fp", whole.alias("byte"))
+    masks = F.array(*[reduce(lambda x, y: x.bitwiseOR(y), (F.get("byte", i) for i in chosen)) for chosen in combinations(prefix, level)])
+    return masked.select("fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def paired(small: DataFrame) -> DataFrame:
+    """(a, b) with a < b of all that meet in a posting, tallied and verified where they meet: a posting is one bounded row."""
+    members = small.groupBy("mask", "key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    reached = F.filter("m", lambda y: (y > F.col("a")) & (shared_bytes(y, F.col("a")) >= LEAST_SHARED))
+    met = members.select(F.explode("m").alias("a"), "m").select("a", F.explode(reached).alias("b"))
+    return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+
+
+def stars(large: DataFrame) -> DataFrame:
+    """(a, b) for postings of six bytes: a star for each neighbour at one bit or less in the two bytes left."""
     one_bit = F.expr("transform(filter(sequence(0, 63), i -> (shiftright(mask, i) & 1) = 0), i -> fp ^ shiftleft(1L, i))")
-    slot_mask = F.element_at(F.array(*map(F.lit, signed)), F.col("slot") + 1).alias("mask")
-    large = posts.filter(F.col("n") > max_posting).select("fp", "slot", slot_mask)
-    stars = large.select("fp", "slot", F.explode(F.concat(F.array("fp"), one_bit)).alias("post"))
-    least = stars.groupBy("slot", "post").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("m")).filter(F.size("m") > 1)
-    star = least.select("a", F.explode("m").alias("b")).filter("a <> b")
-    return near.unionByName(star).distinct()
+    around = large.select("fp", "mask", F.explode(F.concat(F.array("fp"), one_bit)).alias("post"))
+    least = around.groupBy("mask", "post").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("m")).filter(F.size("m") > 1)
+    return least.select("a", F.explode("m").alias("b")).filter("a <> b")
+
+
+def links(fps: DataFrame, max_posting: int = MAX_POSTING) -> DataFrame:
+    """(a, b), fingerprints of `fps` (one column fp, distinct) whose closure is that of all pairs within two bits."""
+    left = written(fps.select("fp", rarest_first(fps).alias("places")), "fingerprint-bytes")
+    out = []
+    for level in LEVELS:
+        at = posts(left, level)
+        sizes = at.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        at = written(at.join(written(sizes, "postings"), ["mask", "key"]), "posts")
+        out.append(paired(at.filter(F.col("n") <= max_posting)))
+        large = at.filter(F.col("n") > max_posting)
+        if large.isEmpty():
+            break
+        if level == LEVELS[-1]:
+            out.append(stars(large))
+        else:
+            left = written(left.join(large.select("fp").distinct(), "fp", "left_semi"), "fingerprint-bytes")
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def roots(fps: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct fingerprints `fps`: the least of all that links reach."""
+    joined = components(written(links(fps), "links"), "a", "b")
+    # Only those with a link are in `joined`; the rest stands alone.
+    return fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id of each row: the smallest id reachable by links."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
-    joined = components(written(links(classes.select("fp")), "links"), "a", "b")
-    # Only classes with a link are in `joined`; the rest stands alone.
-    labelled = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = written(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "roots")
-    by_fp = written(labelled.join(least, "root").select("fp", "component_id"), "labels")
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = written(rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")), "classes")
+    labelled = written(classes.join(roots(classes.select("fp")), "fp"), "roots")
+    least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_fp = written(labelled.join(least, "root").select("fp", "component_id", "n"), "labels")
+    # Copies of one text may be a third of all rows: the few such fingerprints are sent, not shuffled to.
+    total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.col("n") > max(HOT * total, MAX_POSTING)
+    some, rest = F.broadcast(by_fp.filter(hot)), by_fp.filter(~hot)
+    told = rows.join(some, "fp").unionByName(rows.join(some, "fp", "left_anti").join(rest, "fp"))
+    return told.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each class of near duplicates, with all its columns.
+
+    It is that of the least id (null ids last), then of the least text hash; of rows equal in both
+    one stays, that of the least hash of its other columns.
+    """
+    t, nth = fresh(docs, "t", "nth")
+    hashed = docs.withColumn(t, text_hash(F.col(text_col)))
+    rows = written(fingerprints(hashed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(t).alias("t")).alias("at"), text_col), "at", text_col), "fingerprints")
+    classes = written(rows.groupBy("fp").agg(F.min("id").alias("at")), "classes")
+    first = classes.join(roots(classes.select("fp")), "fp").groupBy("root").agg(F.min("at").alias("at"))
+    # A document has one class, so each (id, t) is here once.
+    own_id, own_t = fresh(hashed, "own_id", "own_t")
+    first = written(first.select(F.col("at.id").alias(own_id), F.col("at.t").alias(own_t)), "first")
+    kept = hashed.join(first, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(t) == F.col(own_t)), "left_semi")
+    others = [c for c in docs.columns if c not in (id_col, text_col)] or [t]
+    once = Window.partitionBy(id_col, t).orderBy(F.xxhash64(*[F.col(c) for c in others]))
+    return kept.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).select(*docs.columns)

@@ -237,6 +237,23 @@ def test_simhash(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_any_two_near_fingerprints_meet_in_a_posting(spark):
+    rng = np.random.default_rng(9)
+    seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64).tolist()
+    fps = sorted({0, *seeds, *(s ^ 1 << int(i) ^ 1 << int(j) for s in seeds for i, j in rng.integers(0, 64, (3, 2)))})
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    placed = df.select("fp", simhash.rarest_first(df).alias("places"))
+    near = {(a, b) for a in signed for b in signed if a < b and (signed[a] ^ signed[b]).bit_count() <= 2}
+    for level in simhash.LEVELS:
+        by = {}
+        for r in simhash.posts(placed, level).collect():
+            assert r["key"] == r["fp"] & r["mask"]
+            by.setdefault((r["mask"], r["key"]), set()).add(r["fp"])
+        met = {(a, b) for m in by.values() for a in m for b in m if a < b}
+        assert near <= met and len(met) < len(fps) ** 2 / 4
+
+
 @pytest.mark.parametrize("most", [1, 4, 1000])
 def test_links_of_large_and_small_postings(spark, most):
     rng = np.random.default_rng(5)
@@ -271,15 +288,34 @@ def test_links_of_large_and_small_postings(spark, most):
 
 def test_line_dedup(docs, rows, none):
     out = line_dedup.dedup_lines(docs, min_docs=10, keep_first=False)
-    seen = {}  # rows equal in id and text are one document
-    for i, t, _ in rows:
-        seen.setdefault((i, t or ""), None)
-    want = brute.line_dedup([t for _, t in seen])
-    by = dict(zip(seen, want, strict=True))
-    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()) == Counter((i, *by[i, t or ""]) for i, t, _ in rows)
+    want = brute.line_dedup([t for _, t, _ in rows])
+    assert pairs(out, "n_lines", "n_dropped", "kept_text") == Counter((i, *w) for (i, _, _), w in zip(rows, want, strict=True))
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_equal_rows_are_documents(spark):
+    rows = [(7, "a\nb")] * 12 + [(None, "x\ny")] * 9 + [(None, "y\nz\nz")] + [(1, None)] * 12
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.line_dedup([t for _, t in rows])
+    assert pairs(line_dedup.dedup_lines(df, 10, 1, False), "n_lines", "n_dropped", "kept_text") == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+    assert {w[1] for w in want} == {0, 1, 2}
+
+
+def test_line_dedup_keeps_its_sort_and_other_columns(spark):
+    lines = spark.createDataFrame([(1, 2, 3, 4, 5)], "a long, b long, id long, t long, pos int")
+    plan = line_dedup.first_occurrences(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [a#" in plan and "rangepartitioning(a#" in plan and plan.count("Exchange") == 1
+    df = spark.createDataFrame([(1, "a\na", "x", "y", "z")], "doc_id long, text string, words string, id string, t string")
+    assert [tuple(r) for r in line_dedup.dedup_lines(df, 1, 1, False).collect()] == [(1, "a\na", "x", "y", "z", 2, 2, "")]
+
+
+def test_line_dedup_of_many_lines(spark):
+    text = "\n".join(f"line {i}" for i in range(200_000))
+    df = spark.createDataFrame([(i, f"{text}\nown {i}") for i in range(3)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(df, 3, 1, False).collect()
+    assert {(r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got} == {(200_001, 200_000, f"own {i}") for i in range(3)}
+
+
 def test_line_dedup_keeps_first(spark):
     text = [(1, "a\nb\na"), (2, " A \nc"), (3, "\n\nb")]
     df = spark.createDataFrame(text, "doc_id long, text string")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from descry.llm import language_model, licenses, secrets
-from descry.llm._shared import unpack
+from descry.llm._shared import unpack, written
 from descry.llm.blocks import blocks
 
 
@@ -14,7 +14,7 @@ def test_language_model_reads_and_predicts_all_words(spark):
     common, n = [f"w{i}" for i in range(600)], 60
     texts = [" ".join([*common, f"rare{i}", f"pair{i // 2}", f"ten{i // 10}"]) for i in range(n)]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("learn", F.lit(True))
-    dealt = blocks(rows, language_model.words_of, ["id", "learn"], "text").localCheckpoint()
+    dealt = written(blocks(rows, language_model.words_of, ["id", "learn"], "text"), "test-blocks")
     known = language_model.gather(dealt, spark, language_model.VOCABULARY, language_model.LEAST)
     assert {w.decode() for w, _ in known.top} == set(common)  # grows with the counts
     counts = Counter(w.encode() for t in texts for w in t.split())
