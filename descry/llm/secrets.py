@@ -9,7 +9,7 @@ A value after a credential name that costs at least `min_log10_guesses` is a fin
 "guess"; one that people or machines would guess sooner (a placeholder, a word with a year) is not.
 
 Null text: as empty, no findings. Null doc_id: kept. Repeated rows: one result each. Extra columns
-are not used. Very long values cost time in proportion to their length.
+are not used. Very long values cost time in about proportion to their length.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ COMMON = (
 ).split()
 WORD_COST = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(COMMON))}
 LONGEST = 20
+#: Characters of a block that a guesser tries repeated; a word with signs for letters costs so much more.
+BLOCK, LEET_COST = 16, 0.6
 #: Documents that make a word; words sent to the tasks.
 LEAST_DOCS, MOST_WORDS = 5, 50_000
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
@@ -76,49 +78,102 @@ def word_costs(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     return {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys([*WORD_COST, *(r["w"] for r in ranked.collect())]))}
 
 
+def word_cost_of(value: str, low: str, plain: str, a: int, e: int, word_cost: dict[str, float]) -> float | None:
+    """Guesses (log10) of value[a:e] as a dictionary word, with its capitals and its letters in place of signs; None if it is none."""
+    if (c := word_cost.get(low[a:e])) is None:
+        if (c := word_cost.get(plain[a:e])) is None:
+            return None
+        c += LEET_COST
+    capitals = sum(x.isupper() for x in value[a:e])
+    return c + (0.0 if not capitals else 0.3 if capitals in (1, e - a) else math.log10(math.comb(e - a, capitals) + 1))
+
+
+def repeat_cost(times: int) -> float:
+    """Beyond what is repeated."""
+    return math.log10(times)
+
+
+def walk_cost(n: int) -> float:
+    """A keyboard walk of n keys: where it starts, its length and its turns."""
+    return math.log10(47) + 0.5 * math.log10(n) + 0.3 * (n - 1)
+
+
+def date_cost(n: int) -> float:
+    return 2.1 if n == 4 else 4.6
+
+
+class Starts:
+    """Starts a of spans with a growing cost of their own: the least base[a] + cost(e - a), exactly, over all starts.
+
+    cost grows ever more slowly, so of two starts the later one, once it is not better, never is again.
+    """
+
+    def __init__(self, cost):
+        self.cost, self.held = cost, []
+
+    def add(self, a: int, base: float) -> None:
+        while self.held and self.held[-1][1] >= base:  # earlier and no cheaper: never better
+            self.held.pop()
+        self.held.append((a, base))
+
+    def least(self, e: int) -> float:
+        best, keep = math.inf, []
+        for a, base in self.held:
+            x = base + self.cost(e - a)
+            if x < best:
+                best = x
+                keep.append((a, base))
+        self.held = keep
+        return best
+
+
 def guess_cost(value: str, word_cost: dict[str, float] = WORD_COST) -> float:
-    """log10 of the guesses that the cheapest segmentation of value takes."""
+    """log10 of the guesses that the cheapest segmentation of value takes: the minimum over all segmentations.
+
+    Two states at each place: the cheapest way there that ends inside a brute-force span, which the
+    next character may lengthen, and the cheapest that does not. Segments that repeat a character or
+    a block of up to BLOCK characters, and walks, are offered from every start of their run.
+    """
     n = len(value)
-    if not n:
-        return 0.0
-    low = value.lower()
+    low = value.lower() if value.isascii() else "".join(x if len(x := c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
-    brute = [brute_cost(c) for c in value]
-    best = [0.0] + [math.inf] * n
-    run, walk = 0, 0  # where the repeat and the keyboard walk that reach here began
-    opened = True  # whether the cheapest way to here ends in something else than a brute-force span
+    closed, brute, best = [0.0] + [math.inf] * n, [math.inf] * (n + 1), [0.0] + [math.inf] * n
+    same = Starts(repeat_cost)
+    # 0.3 a key is taken off the start and put back at the end, so that what is left grows ever more slowly.
+    walk = Starts(lambda k: 0.5 * math.log10(k))
+    period_run = [0] * (BLOCK + 1)  # for each block size: characters before here that equal the one a block earlier
+    copies: list[list[Starts]] = [[Starts(lambda k, size=size: repeat_cost(k // size + 1)) for _ in range(size)] for size in range(BLOCK + 1)]
     for i in range(n):
+        e = i + 1
+        brute[e] = min(brute[i], closed[i] + SEGMENT) + brute_cost(value[i])
         if i and low[i] != low[i - 1]:
-            run = i
+            same = Starts(repeat_cost)
         if i and (low[i - 1], low[i]) not in NEXT:
-            walk = i
-        e = i + 1
-        best[e] = min(best[e], best[i] + brute[i] + (SEGMENT if opened else 0.0))
-        by_brute = best[e]
-        if e - run >= 3:
-            best[e] = min(best[e], best[run] + brute[run] + math.log10(e - run) + SEGMENT)
-        if e - walk >= 3:
-            best[e] = min(best[e], best[walk] + math.log10(47) + 0.5 * math.log10(e - walk) + 0.3 * (e - walk - 1) + SEGMENT)
-        for size in range(2, min(LONGEST, e) + 1):
-            a = e - size
-            if (c := word_cost.get(low[a:e])) is None and (c := word_cost.get(plain[a:e])) is not None:
-                c += 0.6
-            if c is not None:
-                capitals = sum(x.isupper() for x in value[a:e])
-                c += 0.0 if not capitals else 0.3 if capitals in (1, size) else math.log10(math.comb(size, capitals) + 1)
-                best[e] = min(best[e], best[a] + c + SEGMENT)
-        for size in (4, 6, 7, 8, 10):
+            walk = Starts(lambda k: 0.5 * math.log10(k))
+        options = []
+        if e >= 3:
+            if low[e - 3] == low[e - 2] == low[i]:
+                same.add(e - 3, best[e - 3] + brute_cost(value[e - 3]))
+                options.append(same.least(e))
+            if (low[e - 3], low[e - 2]) in NEXT and (low[e - 2], low[i]) in NEXT:
+                walk.add(e - 3, best[e - 3] - 0.3 * (e - 3))
+                options.append(walk.least(e) + math.log10(47) + 0.3 * (e - 1))
+        for a in range(max(0, e - LONGEST), e - 1):
+            if (c := word_cost_of(value, low, plain, a, e, word_cost)) is not None:
+                options.append(best[a] + c)
+        for size in range(4, 11):
             if size <= e and DATE.fullmatch(value, e - size, e):
-                best[e] = min(best[e], best[e - size] + (2.1 if size == 4 else 4.6) + SEGMENT)
-        # A block repeated: xyzxyz costs xyz and the number of times.
-        for size in range(2, min(16, e // 2) + 1):
-            if low[e - size : e] == low[e - 2 * size : e - size]:
-                times = 2
-                while e - (times + 1) * size >= 0 and times < 64 and low[e - (times + 1) * size : e - times * size] == low[e - size : e]:
-                    times += 1
-                first = e - (times - 1) * size
-                best[e] = min(best[e], best[first] + math.log10(times) + SEGMENT)
-        opened = best[e] < by_brute
+                options.append(best[e - size] + date_cost(size))
+        for size in range(2, min(BLOCK, i) + 1):
+            period_run[size] = period_run[size] + 1 if low[i] == low[i - size] else 0
+            of = copies[size][e % size]
+            if period_run[size] < size:
+                of.held = []
+            else:
+                of.add(e - size, best[e - size])
+                options.append(of.least(e))
+        closed[e] = min(options, default=math.inf) + SEGMENT
+        best[e] = min(closed[e], brute[e])
     return best[n]
 
 

@@ -103,3 +103,30 @@ def line_dedup(texts, min_docs=10):
         keep = [x for x in lines if not key(x) or df[key(x)] < min_docs]
         out.append((len(lines), len(lines) - len(keep), "\n".join(keep)))
     return out
+
+
+def guess_cost(v, costs):
+    """The cheapest of all segmentations, each segment priced by its definition; costs: the module with the prices."""
+    low, n = v.lower(), len(v)
+    plain = low.translate(costs.LEET)
+
+    def segment(a, e):
+        k = e - a
+        out = [sum(map(costs.brute_cost, v[a:e]))]
+        if 2 <= k <= costs.LONGEST and (c := costs.word_cost_of(v, low, plain, a, e, costs.WORD_COST)) is not None:
+            out.append(c)
+        if k >= 3 and len(set(low[a:e])) == 1:
+            out.append(costs.brute_cost(v[a]) + costs.repeat_cost(k))
+        if k >= 3 and all(pair in costs.NEXT for pair in zip(low[a:e], low[a + 1 : e])):
+            out.append(costs.walk_cost(k))
+        if costs.DATE.fullmatch(v, a, e):
+            out.append(costs.date_cost(k))
+        for p in range(2, costs.BLOCK + 1):  # copies of the block that ends at a
+            if a >= p and k % p == 0 and all(low[x] == low[x - p] for x in range(a, e)):
+                out.append(costs.repeat_cost(k // p + 1))
+        return min(out) + costs.SEGMENT
+
+    best = [0.0]
+    for e in range(1, n + 1):
+        best.append(min(best[a] + segment(a, e) for a in range(e)))
+    return best[n]

@@ -55,6 +55,26 @@ def test_guess_cost_orders_values():
     assert cost("9f8A_x2Qm-7kLz0w") > 15 and cost("zq" * 5000) < 30
 
 
+PARTS = st.sampled_from(["password", "shadow", "asdf", "2019", "qwerty", "aaa", "xyz", "rr", "1234", "P@ss", "zz", "19-02-2011", "a", "X", "7", "$", "\u0130"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PARTS, max_size=7).map("".join))
+def test_guess_cost_is_the_minimum(value):
+    assert secrets.guess_cost(value) == pytest.approx(brute.guess_cost(value, secrets)) if value.isascii() else secrets.guess_cost(value) > 0
+
+
+def test_guess_spans_follow_the_cost(spark, docs, rows):
+    """Spans of the method: all values in credential context that cost the threshold or more, by the plain programme."""
+    costs = secrets.word_costs(docs)
+    for r in secrets.scan(docs).collect():
+        got = [x for x in r["spans"].split(",") if x.startswith("guess")]
+        text = next(t for i, t, _ in rows if i == r["doc_id"]) or ""
+        if r["doc_id"] is not None:
+            want = [f"guess:{m.start(1)}:{m.end(1)}" for m in secrets.CONTEXT.finditer(text) if secrets.guess_cost(m[1], costs) >= secrets.MIN_LOG10_GUESSES]
+            assert got == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="pasword19ab=:\"' kK-_AKIA0fFſK", max_size=60))
 def test_base_spans_as_brute_force(text):
