@@ -17,6 +17,7 @@ among items, but its windows hit. Extra columns are not used. Empty benchmark: n
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from descry.llm._shared import LOWER, Member, Words, chunks, text_hash, texts_of
 
 WINDOW, GRAM = 13, 5
 #: Bytes of benchmark text up to which it is sent to the tasks.
-SENT_BYTES = 8 << 20
+SENT_BYTES = 2 << 20
 #: What a word is made of once A-Z is lower case: digits, a-z and all beyond ASCII.
 IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -81,6 +82,17 @@ class Windows:
                     yield a, size, items
 
 
+#: The index that this worker made last, kept from one task to the next.
+_index: dict[str, Windows] = {}
+
+
+def indexed(name: str, items: list[tuple[object, bytes]]) -> Windows:
+    if name not in _index:
+        _index.clear()
+        _index[name] = Windows(items)
+    return _index[name]
+
+
 def _sha(items: set) -> str:
     return hashlib.sha256(",".join(sorted(str(x) for x in items if x is not None)).encode()).hexdigest()
 
@@ -95,10 +107,10 @@ def _fields(id_type: T.DataType) -> T.StructType:
 
 def _by_sending(rows: DataFrame, bench: DataFrame) -> DataFrame:
     items = [(r["item"], b"" if r["text"] is None else r["text"].encode()) for r in bench.collect()]
-    sent = rows.sparkSession.sparkContext.broadcast(items)
+    sent, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(sent.value)
+        windows = indexed(name, sent.value)
         for batch in batches:
             texts = texts_of(batch, "text")
             n_words, n_hit, found = [], [], [set() for _ in texts]
@@ -182,6 +194,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("t"), F.col(text_col).cast("string").alias("text"))
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
+    size = bench.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length(F.col("item").cast("string")), F.lit(0)) + 64), F.lit(0)).alias("n")).first()["n"]
     found = _by_sending(rows, bench) if size <= most_bytes else _by_joining(rows, bench)
     return found.withColumn("contaminated", verdict(F.col("n_hit"), F.col("n_words"))).withColumnsRenamed({"id": id_col, "t": "text_hash"})

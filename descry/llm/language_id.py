@@ -2,9 +2,10 @@
 
 Bytes are embedded, filters of widths 2, 3 and 4 slide over fixed windows of bytes, the maximum of
 each filter over the window goes into a softmax. It is trained on a bounded sample: about
-`per_language` windows' worth of labelled training rows for each language, chosen by hash. All
-windows of a text are scored, in batches; the text's language is that of the highest mean
-log-probability, weighted by the windows' bytes.
+`per_language` labelled training rows with a letter for each language, at most `most_rows` in all,
+chosen by hash; the languages learned are those of the sample. All windows of a text are scored, in
+batches; the text's language is that of the highest mean log-probability, weighted by the windows'
+bytes; of equal ones the first by name.
 
 Null text or no letter: `und`, score 0. No labelled training row: `und`, score 0. Null lang: never
 learned from. Null doc_id: not held out and not learned from. Repeated rows: one result each.
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from descry.llm._shared import written
+
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
 #: Labelled rows for each language that training takes, about; the whole sample's limit; windows of each row.
 PER_LANGUAGE, MOST_ROWS, SAMPLES = 1500, 20_000, 2
@@ -126,16 +129,14 @@ class ByteConv:
 
 
 def sample(docs: DataFrame, per_language: int, most_rows: int) -> list[tuple[str, bytes]]:
-    """Labelled windows of about per_language rows of each language, chosen by a hash of the id."""
-    lettered = docs.filter(~F.col("held_out") & F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in lettered.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
+    """Labelled draws of WINDOW characters from about per_language rows of each language, chosen by a hash of the id."""
+    lettered = docs.filter(~F.col("held_out") & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # Written, so that its size is known: a few languages are sent to the scan, any number is joined.
+    shares = written(lettered.groupBy("lang").agg((per_language / F.count(F.lit(1))).alias("share")), "languages")
     unit = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
-    rows = lettered.filter(unit <= share[F.col("lang")]).orderBy(F.xxhash64("id"), "text").limit(most_rows)
+    rows = lettered.join(shares, "lang").filter(unit <= F.col("share")).orderBy(F.xxhash64("id"), "text").limit(most_rows)
     spot = lambda k: F.substring("text", (F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
-    return [(r["lang"], w.encode()[:WINDOW]) for r in rows.select("lang", F.array(*map(spot, range(SAMPLES))).alias("w")).toLocalIterator() for w in r["w"]]
+    return [(r["lang"], w.encode()) for r in rows.select("lang", F.array(*map(spot, range(SAMPLES))).alias("w")).toLocalIterator() for w in r["w"]]
 
 
 def train(pairs: list[tuple[str, bytes]]) -> tuple[list[str], ByteConv | None]:

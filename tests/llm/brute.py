@@ -130,3 +130,15 @@ def guess_cost(v, costs):
     for e in range(1, n + 1):
         best.append(min(best[a] + segment(a, e) for a in range(e)))
     return best[n]
+
+
+def license_units(text, units, k=5, share=0.8):
+    """Places and names of all windows that hold `share` of a unit's shingles: {unit: {first words}}."""
+    words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").translate(LOWER))
+    out = defaultdict(set)
+    grams = lambda w: {tuple(x.encode() for x in w[a : a + k]) for a in range(max(1, len(w) - k + 1))} if w else set()
+    for u, (_, size, own) in enumerate(units):
+        for a in range(max(1, len(words) - size + 1)):
+            if len(grams(words[a : a + size]) & own) >= share * len(own):
+                out[u].add(a)
+    return out
