@@ -102,47 +102,53 @@ class GatedLM:
     def outputs(self, hs: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log-probability of each target; with grads also the gradient by hs of their sum's negative."""
         p = self.p
+        # In order of the classes, so that a class's rows are one slice.
+        order = np.argsort(target // self.each, kind="stable")
+        hs, target = hs[order], target[order]
         cls, word = target // self.each, target % self.each
         logp, d_h = np.empty(len(target), hs.dtype), None if grads is None else np.empty_like(hs)
         if grads is not None:
             grads["cls"], grads["bc"] = np.zeros_like(p["cls"]), np.zeros_like(p["bc"])
         for a in range(0, len(target), CACHED):
             part = hs[a : a + CACHED]
-            z = part @ p["cls"]
-            z += p["bc"]
-            z -= z.max(1, keepdims=True)
             own, rows = cls[a : a + CACHED], np.arange(len(part))
-            at = z[rows, own]
-            np.exp(z, out=z)
-            total = z.sum(1)
-            logp[a : a + CACHED] = at - np.log(total)
+            z = self.spread(part, p["cls"], p["bc"], rows, own, logp[a : a + CACHED], grads is not None)
             if grads is not None:
-                z /= total[:, None]
-                z[rows, own] -= 1
                 grads["cls"] += part.T @ z
                 grads["bc"] += z.sum(0)
-                d_h[a : a + CACHED] = z @ p["cls"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
+                np.matmul(z, p["cls"].T, out=d_h[a : a + CACHED])
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        inner, d_inner = np.zeros_like(logp), None if grads is None else np.zeros_like(hs)
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a == b:
                 continue
-            h = hs[own]
-            z = h @ p["out"][k]
-            z += p["bo"][k]
-            z -= z.max(1, keepdims=True)
-            r, w = np.arange(len(own)), word[own]
-            at = z[r, w]
-            np.exp(z, out=z)
-            total = z.sum(1)
-            logp[own] += at - np.log(total)
+            z = self.spread(hs[a:b], p["out"][k], p["bo"][k], np.arange(b - a), word[a:b], inner[a:b], grads is not None)
             if grads is not None:
-                z /= total[:, None]
-                z[r, w] -= 1
-                grads["out"][k], grads["bo"][k] = h.T @ z, z.sum(0)
-                d_h[own] += z @ p["out"][k].T
-        return logp, d_h
+                np.matmul(hs[a:b].T, z, out=grads["out"][k])
+                z.sum(0, out=grads["bo"][k])
+                np.matmul(z, p["out"][k].T, out=d_inner[a:b])
+        out = np.empty_like(logp)
+        out[order] = logp + inner
+        if grads is None:
+            return out, None
+        d = np.empty_like(hs)
+        d[order] = d_h + d_inner
+        return out, d
+
+    @staticmethod
+    def spread(h, weight, bias, rows, target, logp, slope: bool):
+        """Writes the log-probability of each target among a softmax's outputs; with slope returns the gradient of the negative by its inputs."""
+        z = h @ weight
+        z += bias
+        z -= z.max(1, keepdims=True)
+        at = z[rows, target]
+        np.exp(z, out=z)
+        total = z.sum(1)
+        np.subtract(at, np.log(total), out=logp)
+        if slope:
+            z /= total[:, None]
+            z[rows, target] -= 1
+        return z
 
     def learn(self, inp: np.ndarray, fresh: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray, rate: float, full: int) -> np.ndarray:
         """One step of Adagrad on a window, backwards through its steps only. Returns the state at its end.
@@ -174,9 +180,13 @@ class GatedLM:
         g_rows = np.add.reduceat(flat[by], first, axis=0)
         scale = np.float32(1 / full)
         for k, g in grads.items():
-            g = g * scale
-            self.g2[k] += g * g
-            p[k] -= rate * g / np.sqrt(self.g2[k])
+            g *= scale
+            step = g * g
+            self.g2[k] += step
+            np.sqrt(self.g2[k], out=step)
+            np.divide(g, step, out=g)
+            g *= rate
+            p[k] -= g
         g_rows *= scale
         self.g2["x"][rows] += g_rows * g_rows
         p["x"][rows] -= rate * g_rows / np.sqrt(self.g2["x"][rows])
