@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that keep their own spelling in titles (fixed values).
-TITLE_FIXES = {"Ph": "pH", "Casrn": "CASRN", "Smiles": "SMILES", "Id": "ID", "Url": "URL", "Doi": "DOI", "Dtxsid": "DTXSID", "Dtxcid": "DTXCID", "Qc": "QC"}
+#: Spellings in titles (fixed values): of whole words, of a last word, of parts of words.
+TITLE_WORDS = {"Ph": "pH", "Cas": "CAS", "Ad": "AD"}
+TITLE_LAST = {"Id": "ID", "Cid": "CID"}
+TITLE_PARTS = {"Qc": "QC", "Url": "URL", "Doi": "DOI", "Dtxsid": "DTXSID", "Dtxrid": "DTXRID", "Dtxcid": "DTXCID", "Casrn": "CASRN", "Qsar": "QSAR", "Smiles": "SMILES", "Pubchem": "PubChem"}
 INF = float("inf")
 
 
@@ -28,35 +30,39 @@ def sanitised_name(name: Column, fallback_id: Column) -> Column:
 
 
 def title(name: Column) -> Column:
-    """Underscores to spaces, words capitalised, known abbreviations in their own spelling."""
-    out = F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
-    for said, meant in TITLE_FIXES.items():
-        out = F.regexp_replace(out, rf"\b{said}\b", meant)
+    """A column's name as a heading: without exp_details_ and _str, underscores to spaces, words capitalised, known abbreviations in their own spelling."""
+    bare = F.replace(F.replace(name, F.lit("exp_details_"), F.lit("")), F.lit("_str"), F.lit(""))
+    out = F.initcap(F.replace(bare, F.lit("_"), F.lit(" ")))
+    for pattern, fixes in ((r"\b{}\b", TITLE_WORDS), (r"(?<=\s){}(?=\s?$)", TITLE_LAST), ("{}", TITLE_PARTS)):
+        for said, meant in fixes.items():
+            out = F.regexp_replace(out, pattern.format(said), meant)
     return out
 
 
-def escaped_cell(x: Column) -> Column:
-    """A leading quote for cells that a sheet would take for a formula."""
-    return F.when(x.rlike("^[=+@-]"), F.concat(F.lit("'"), x)).otherwise(x)
+def escaped_cell(x: Column, how: str = "formula") -> Column:
+    """Cells that a sheet would take for a formula: as a formula that gives the text, or with a leading quote."""
+    safe = F.concat(F.lit('="'), x, F.lit('"')) if how == "formula" else F.concat(F.lit("'"), x)
+    return F.when(x.rlike("^[=+@-]"), safe).otherwise(x)
 
 
 def short_number(x: Column) -> Column:
-    """Exponential form for very small or large values, else three significant digits."""
-    a = F.abs(x)
-    digits = F.greatest(F.lit(0), F.lit(2) - F.floor(F.log10(F.when(a > 0, a))).cast("int"))
-    plain = F.when(digits >= 4, F.format_string("%.4f", x)).when(digits == 3, F.format_string("%.3f", x)).when(digits == 2, F.format_string("%.2f", x)).when(digits == 1, F.format_string("%.1f", x)).otherwise(F.format_string("%.0f", x))
-    return F.when(x == 0, F.lit("0")).when((a < 0.01) | (a > 1000), F.format_string("%.2e", x)).otherwise(plain)
-
-
-def parameter_text(low: Column, high: Column, point: Column, qualifier: Column, unit: Column, text: Column) -> Column:
-    """A parameter's value as text: a range, a bound, a value with its unit, or its own text."""
-    with_unit = lambda s: F.concat_ws(" ", s, unit)
-    number = lambda x: x.cast("string")
+    """Three significant digits: exponential below 0.01 and above 1000, else without trailing zeros."""
+    a, spelled = F.abs(x), F.format_string("%.2e", x)
+    plain = F.regexp_replace(spelled.cast("double").cast("string"), r"\.0$", "")
+    thousand = F.when(x < 0, "-1e+03").otherwise("1e+03")
+    return F.when(x == 0, F.lit("0")).when((a < 0.01) | (a > 1000), spelled).when(F.abs(spelled.cast("double")) >= 1000, thousand).otherwise(plain)
+
+
+def parameter_text(low: Column, high: Column, point: Column, unit: Column, text: Column) -> Column:
+    """A parameter's value as text: a range, a bound, a value with its unit, or its own text; the unit Text is none."""
+    u = F.when(unit.isNull() | (unit == "Text"), F.lit("")).otherwise(unit)
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    lo, hi = short_number(low), short_number(high)
     return (
-        F.when(low.isNotNull() & high.isNotNull(), with_unit(F.concat(number(low), F.lit(" - "), number(high))))
-        .when(low.isNotNull(), with_unit(F.concat(F.lit("> "), number(low))))
-        .when(high.isNotNull(), with_unit(F.concat(F.lit("< "), number(high))))
-        .when(point.isNotNull(), with_unit(F.concat(F.coalesce(qualifier, F.lit("")), number(point))))
+        F.when(low.isNotNull() & high.isNotNull(), said(lo, " ", u, " < value < ", hi, " ", u))
+        .when(low.isNotNull(), said(" > ", lo, " ", u))
+        .when(high.isNotNull(), said(" < ", hi, " ", u))
+        .when(point.isNotNull(), said(short_number(point), " ", u))
         .otherwise(text)
     )
 
@@ -104,10 +110,21 @@ def unique_name(name: Column, index: Column) -> Column:
     return F.concat(F.regexp_replace(name, "[^a-zA-Z0-9]", ""), F.lit("_"), (index + 1).cast("string"))
 
 
-def domain_text(inside: Column, value: Column, cutoff: Column) -> Column:
-    """Why a row is inside or outside a domain; null without a flag."""
-    said = lambda verdict, sign: F.format_string(f"{verdict}: %.2f {sign} %.2f", value, cutoff)
-    return F.when(inside, said("Inside", "<=")).when(~inside, said("Outside", ">"))
+def conclusion(inside: Column) -> Column:
+    return F.when(inside, "Inside").when(~inside, "Outside")
+
+
+def distance_reason(inside: Column, value: Column, cutoff: Column) -> Column:
+    """Why a mean distance puts a row inside or outside a domain; null without a flag."""
+    said = lambda sign: F.format_string(f"Avg. distance (%.2f) {sign} %.2f", value, cutoff)
+    return F.when(inside, said("<")).when(~inside, said(">"))
+
+
+def fragment_reason(inside: Column, all_in_model: Column) -> Column:
+    """The same for fragments; a fragment that the model lacks comes first, whatever the flag."""
+    at = "Fragments in test chemical are {} the training set ranges".format
+    said = F.when(inside, at("within")).when(~inside, at("NOT within"))
+    return F.when(~all_in_model, "Have fragment in test chemical that is NOT included in the model").otherwise(said)
 
 
 def with_query(url: Column, **params: Column) -> Column:

@@ -43,5 +43,18 @@ def convert(rows: DataFrame, rules: DataFrame, value: str = "value", weight: str
     return joined.withColumn("converted", out).withColumn("reason", reason).drop("kind")
 
 
-def display_unit(prop: Column, unit: Column, to_mgl: tuple[str, ...]) -> Column:
+#: Properties that are shown in mg/L (fixed values).
+IN_MGL = (
+    "Water Solubility",
+    "Acute aquatic toxicity",
+    "96 hour fathead minnow LC50",
+    "96 hour scud LC50",
+    "96 hour rainbow trout LC50",
+    "96 hour bluegill LC50",
+    "48 hour Tetrahymena pyriformis IGC50",
+    "48 hour Daphnia magna LC50",
+)
+
+
+def display_unit(prop: Column, unit: Column, to_mgl: tuple[str, ...] = IN_MGL) -> Column:
     return F.when(prop.isin(*to_mgl), F.lit("mg/L")).otherwise(unit)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from descry.operators.linalg import gram
+from descry.sources.tables import shared_dir
 
 
 def long_form(df: DataFrame) -> DataFrame:
@@ -88,8 +89,11 @@ def keep(df: DataFrame, names: DataFrame, dropped: Sequence[int]) -> tuple[DataF
 
 
 def correlated(df: DataFrame, threshold: float) -> list[int]:
-    """Features with |r| over the threshold to an earlier one that stays; from one pass of sums of products."""
-    n, s, g = gram(df)
+    """Features with |r| over the threshold to any earlier one; from sums of products, of features centred in a first pass so that the sums stay exact."""
+    means = [r["mean"] or 0.0 for r in feature_stats(df).select("idx", "mean").orderBy("idx").collect()]
+    if not means:
+        return []
+    n, s, g = gram(df.withColumn("features", F.zip_with("features", F.array(*map(F.lit, means)), lambda x, m: x - m)))
     cov = g - np.outer(s, s) / max(n, 1)
     d = np.sqrt(np.maximum(np.diag(cov), 0))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -106,10 +110,13 @@ def sparse(df: DataFrame, min_nonzero: int) -> tuple[DataFrame, list[int]]:
     return df.filter(~used), few
 
 
-def ill_conditioned(df: DataFrame, threshold: float, protected: Sequence[int] = (), rounds: int = 100) -> tuple[DataFrame, list[int]]:
-    """Drops features whose diagonal of the inverse of X'X is over the threshold, and the rows that used them, until none is."""
+def ill_conditioned(df: DataFrame, threshold: float, protected: Sequence[int] = ()) -> tuple[DataFrame, list[int]]:
+    """Drops features whose diagonal of the inverse of X'X is over the threshold, and the rows that used them, until none is.
+
+    Each round drops a feature, so there are no more rounds than features; the rows left are written between rounds.
+    """
     gone: list[int] = []
-    for _ in range(rounds):
+    while True:
         _, _, g = gram(df)
         left = [i for i in range(len(g)) if i not in gone]
         inv = np.diag(np.linalg.pinv(g[np.ix_(left, left)]))
@@ -117,7 +124,10 @@ def ill_conditioned(df: DataFrame, threshold: float, protected: Sequence[int] =
         if not bad:
             break
         gone += bad
-        df = df.filter(~F.exists(F.array(*map(F.lit, bad)), lambda i: F.coalesce(F.get("features", i), F.lit(0.0)) != 0))
+        used = F.exists(F.array(*map(F.lit, bad)), lambda i: F.coalesce(F.get("features", i), F.lit(0.0)) != 0)
+        path = shared_dir(df.sparkSession)
+        df.filter(~used).write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
     return df, sorted(gone)
 
 
@@ -150,6 +160,18 @@ def prepare(df: DataFrame, names: DataFrame, remove_logp: bool = False, remove_c
     return df, names
 
 
+def non_numeric(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Text columns with a value that is no number; empty cells are none."""
+    cell = lambda c: F.col(f"`{c}`").cast("string")
+    wrong = df.agg(*[F.count_if((F.trim(cell(c)) != "") & cell(c).try_cast("double").isNull()).alias(c) for c in columns]).first()
+    return [c for c in columns if wrong[c]]
+
+
+def common_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Names in both, in the order of the first."""
+    return a.join(b.select("name").distinct(), "name", "left_semi").select("idx", "name")
+
+
 def is_binary(df: DataFrame) -> bool:
     """Whether every target is 0 or 1; a missing one says no, an empty table yes."""
     r = df.agg(F.bool_and(F.coalesce(F.col("property").isin(0, 1), F.lit(False))).alias("b")).first()

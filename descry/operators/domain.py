@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from descry.operators import stats
 from descry.operators.columns import feature_stats, long_form, scale
 from descry.operators.knn import neighbours
 from descry.operators.linalg import gram, leverages
@@ -22,8 +23,8 @@ FRACTION = 0.95
 
 
 def _both(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-    stats = feature_stats(train)
-    return scale(train, stats), scale(test, stats)
+    own = feature_stats(train)
+    return scale(train, own), scale(test, own)
 
 
 def _flagged(train_values: DataFrame, test_values: DataFrame, fraction: float, inside: Callable[[Column, float], Column]) -> tuple[DataFrame, float | None]:
@@ -143,6 +144,12 @@ def similar_records(queries: DataFrame, records: DataFrame, at_least: int, thres
     return chosen.select(F.col("q").alias("query_id"), "threshold", F.size("h").alias("n"), F.transform("h", lambda x: x["r"]).alias("hits"))
 
 
+def neighbour_statistics(near: DataFrame, known: DataFrame, binary: bool = False) -> DataFrame:
+    """Statistics by query row of its neighbours' values: MAE, or BA, SN and SP of classes. known: (id, exp, pred)."""
+    values = near.join(known.select(F.col("id").alias("neighbour_id"), "exp", "pred"), "neighbour_id")
+    return stats.binary(values, "id").select("id", "n", "BA", "SN", "SP") if binary else stats.continuous(values, "id").select("id", "n", "MAE")
+
+
 MEASURES: dict[str, Callable[[DataFrame, DataFrame], tuple[DataFrame, float | None]]] = {
     "knn_euclidean": knn_distance,
     "knn_cosine": lambda a, b: knn_distance(a, b, metric="cosine"),

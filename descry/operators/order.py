@@ -77,3 +77,19 @@ def by_metric(df: DataFrame, metric: str, larger_is_better: bool) -> DataFrame:
 def id_sample(df: DataFrame, key: str, start: object, n: int = 1000) -> DataFrame:
     """n rows of consecutive ids from start on."""
     return df.filter((F.col(key) >= start) & F.col(key).isNotNull()).orderBy(key).limit(n)
+
+
+def largest_coefficients(coefficients: DataFrame, n: int | None = None) -> DataFrame:
+    """Coefficients that are not zero, the largest by absolute value first, n at most; equal ones by name."""
+    out = coefficients.filter("estimate <> 0").orderBy(F.desc(F.abs("estimate")), "name")
+    return out if n is None else out.limit(n)
+
+
+def top_importances(importances: DataFrame, n: int = 12) -> DataFrame:
+    """The n most important features; equal ones by position."""
+    return importances.orderBy(F.desc("importance"), "idx").limit(n)
+
+
+def seeded_start(df: DataFrame, key: str, seed: int) -> object:
+    """An id to start a sample from: that of the least seeded hash."""
+    return df.filter(F.col(key).isNotNull()).agg(F.min_by(key, F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))).alias("k")).first()["k"]

@@ -27,6 +27,7 @@ def parameter_pivot(rows: DataFrame, key: str, name: str, fields: Sequence[str],
         cells = base.groupBy(key, "__p").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *fields))).alias("__c"))
         cells = cells.select(key, "__p", *[F.col(f"__c.{f}").alias(f) for f in fields])
     else:
+        # One sort by (key, parameter, order) gives the number; the count is of the same groups.
         numbered = base.withColumn("__i", F.row_number().over(same.orderBy(order)))
         if duplicates == "first":
             cells = numbered.filter("__i = 1")
@@ -58,8 +59,54 @@ test_table.__test__ = False  # not a test, whatever its name
 
 
 def external_table(predictions: DataFrame, training: DataFrame, substances: DataFrame, key: str = "id") -> DataFrame:
-    """External predictions without the members of the training set."""
-    return fold_table(predictions.join(training.select(key), key, "left_anti"), substances, key)
+    """External predictions without the members of the training set and without rows that lack id, exp or pred."""
+    whole = predictions.dropna(how="any", subset=[key, "exp", "pred"])
+    return fold_table(whole.join(training.select(key), key, "left_anti"), substances, key)
+
+
+def parameter_names(rows: DataFrame, name: str) -> DataFrame:
+    """One row with the distinct parameter names, sorted."""
+    return rows.agg(F.array_sort(F.collect_set(name)).alias("names"))
+
+
+def evaluated(predictions: DataFrame) -> DataFrame:
+    """Rows with both values, their absolute error, the largest first."""
+    return predictions.dropna(subset=["exp", "pred"]).withColumn("abs_diff", F.abs(F.col("exp") - F.col("pred"))).orderBy(F.desc("abs_diff"))
+
+
+def performance(stats: Column, binary: bool) -> Column:
+    """The performance block of a model from its map of statistics: train, fiveFoldICV, external and externalAD, each metric by its first name that the map has."""
+    first = lambda *names: F.coalesce(*[F.try_element_at(stats, F.lit(n)) for n in names])
+    if binary:
+        rules = {"train": {m: [f"{m}_Training"] for m in ("BA", "SN", "SP")}, "fiveFoldICV": {m: [f"{m}_CV_Training"] for m in ("BA", "SN", "SP")}, "external": {m: [f"{m}_Test"] for m in ("BA", "SN", "SP")}}
+        inside = {"BA_inside_AD": ["BA_Test_inside_AD"], "BA_outside_AD": ["BA_Test_outside_AD"]}
+    else:
+        rules = {
+            "train": {"R2": ["PearsonRSQ_Training", "R2_Training"], "RMSE": ["RMSE_Training"], "MAE": ["MAE_Training"]},
+            "fiveFoldICV": {"R2": ["PearsonRSQ_CV_Training", "PearsonRSQ_CV"], "RMSE": ["RMSE_CV_Training", "RMSE_CV", "RMSE_CV_Train"], "MAE": ["MAE_CV_Training", "MAE_CV"]},
+            "external": {"R2": ["PearsonRSQ_Test", "R2_Test"], "RMSE": ["RMSE_Test"], "MAE": ["MAE_Test"]},
+        }
+        inside = {"MAE_inside_AD": ["MAE_Test_inside_AD"], "MAE_outside_AD": ["MAE_Test_outside_AD"]}
+    rules["externalAD"] = inside | {"Fraction_inside_AD": ["Coverage_Test"]}
+    return F.struct(*[F.struct(*[first(*names).alias(m) for m, names in block.items()]).alias(k) for k, block in rules.items()])
+
+
+def field_descriptions(descriptions: DataFrame, table: DataFrame) -> DataFrame:
+    """Descriptions (name, description) of the columns that a table has, by name."""
+    return descriptions.filter(F.col("name").isin(*table.columns)).orderBy("name")
+
+
+def statistics_row(stats: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """One row for each model, a column for each statistic, two decimals."""
+    return stats.groupBy(key).pivot("name", list(names)).agg(F.round(F.first("value"), 2))
+
+
+def available_models(models: DataFrame, *dimensions: tuple[DataFrame, str], public: str = "is_public") -> DataFrame:
+    """Models that are public, with their dimensions where there are any."""
+    own = models.filter(F.col(public))
+    for d, key in dimensions:
+        own = own.join(d, key, "left")
+    return own
 
 
 def prediction_report(query: Column, pred: Column, inside: Column, neighbours: Column, unit: str) -> Column:

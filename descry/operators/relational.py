@@ -48,6 +48,63 @@ def with_substance(points: DataFrame, substances: DataFrame, cid: str, snapshot:
     return points.join(own, first_part(F.col(cid)) == F.col("__cid"), "inner" if inner else "left").drop("__cid")
 
 
+def with_sources(rows: DataFrame, sources: DataFrame, public: str, original: str) -> DataFrame:
+    """rows with the names of their public and their original source: one table joined twice, either may be missing."""
+    a = sources.select(F.col("source_id").alias(public), F.col("name").alias("public_source"))
+    b = sources.select(F.col("source_id").alias(original), F.col("name").alias("original_source"))
+    return rows.join(a, public, "left").join(b, original, "left")
+
+
+def nested_record(rows: DataFrame, records: DataFrame, key: str, out: str = "record") -> DataFrame:
+    """The id in `key` replaced by its whole record, itself included; an id without a record keeps the id alone."""
+    own = records.select(F.col(key), F.struct(*[F.col(c) for c in records.columns if c != key]).alias("__r"))
+    named = [F.col(f"__r.{c}").alias(c) for c in records.columns if c != key]
+    return rows.join(own, key, "left").withColumn(out, F.struct(*named, F.col(key).alias("qsar_smiles"))).drop("__r", key)
+
+
+def experimental_value(queries: DataFrame, training: DataFrame, test: DataFrame, key: str = "id") -> DataFrame:
+    """queries with the experimental value that a set has for them and the set; the test set's comes first."""
+    a = training.select(key, F.col("property").alias("__a"), F.lit(True).alias("__in_a"))
+    b = test.select(key, F.col("property").alias("__b"), F.lit(True).alias("__in_b"))
+    joined = queries.join(a, key, "left").join(b, key, "left")
+    said = F.when(F.col("__in_b"), "Test").when(F.col("__in_a"), "Training")
+    return joined.withColumn("exp", F.when(F.col("__in_b"), F.col("__b")).otherwise(F.col("__a"))).withColumn("exp_set", said).drop("__a", "__b", "__in_a", "__in_b")
+
+
+#: Elements that a structure may hold (fixed values).
+ELEMENTS = ("C", "H", "O", "N", "F", "Cl", "Br", "I", "S", "P", "Si", "As", "Hg", "Sn")
+
+
+def eligible(structures: DataFrame, atoms: DataFrame, key: str = "id", elements: Sequence[str] = ELEMENTS) -> DataFrame:
+    """structures with `reason`, ok if a model can run: known elements only, two heavy atoms or more, carbon. atoms: (id, element), heavy ones."""
+    c = F.col("element")
+    seen = atoms.groupBy(key).agg(F.bool_and(c.isin(*elements)).alias("__known"), F.count(c).alias("__n"), F.bool_or(c == "C").alias("__carbon"))
+    reason = (
+        F.when(F.coalesce("__n", F.lit(0)) == 0, "Number of atoms equals zero")
+        .when(~F.col("__known"), "Molecule contains unsupported element")
+        .when(F.col("__n") == 1, "Only one non-hydrogen atom")
+        .when(~F.col("__carbon"), "Molecule does not contain carbon")
+        .otherwise("ok")
+    )
+    return structures.join(seen, key, "left").withColumn("reason", reason).drop("__known", "__n", "__carbon")
+
+
+def standardised(structures: DataFrame, components: str, omit_salts: bool) -> DataFrame:
+    """structures with `status`: failed without a component, mixture with several where salts are omitted, else ok; and the first component."""
+    n = F.coalesce(F.size(components), F.lit(0))
+    status = F.when(n <= 0, "failed standardization").when((n > 1) & F.lit(omit_salts), "model can't run mixtures").otherwise("ok")
+    return structures.withColumn("status", status).withColumn("standard", F.when(F.col("status") == "ok", F.get(components, 0)))
+
+
+def record_filter(df: DataFrame, keep: str = "keep", **clauses: object) -> DataFrame:
+    """Rows with the keep flag, and each clause (column = value, or any of a list) that is given a value."""
+    wanted = [F.col(keep)]
+    for name, value in clauses.items():
+        if value is not None:
+            wanted.append(F.col(name).isin(*value) if isinstance(value, (list, tuple)) else F.col(name) == value)
+    return df.filter(reduce(lambda a, b: a & b, wanted))
+
+
 def missing_records(rows: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Distinct keys of rows that have no record."""
     return rows.select(key).distinct().join(records.select(key), key, "left_anti")
@@ -175,7 +232,8 @@ def check_folds(base: DataFrame, folds: DataFrame) -> dict[str, int]:
 
 def merge_maps(*maps: Column) -> Column:
     """Maps merged, the later value for a key that several have."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, v, m=m: ~F.map_contains_key(m, k)), m)
-    return out
+
+    def merged(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+
+    return reduce(merged, maps)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,10 +18,12 @@ def hash_key(seed: int, key: str = "id") -> Column:
 def ranked(df: DataFrame, seed: int, strata: Sequence[str] = (), buckets: int = 256) -> DataFrame:
     """df with `rank` from 0 on by hash within each stratum.
 
-    No task sees a whole stratum: rows are ranked within (stratum, first two hex digits of the
-    hash), and the buckets' offsets, at most 256 for each stratum, are added.
+    No task sees a whole stratum: rows are ranked within (stratum, leading part of the hash), of
+    which there are `buckets` (a power of 16; take one that leaves a few million rows in each), and
+    the buckets' offsets, at most that many for each stratum, are added.
     """
-    hashed = df.withColumn("__h", hash_key(seed)).withColumn("__b", F.substring("__h", 1, 2))
+    digits = max(1, math.ceil(round(math.log(buckets, 16), 6)))
+    hashed = df.withColumn("__h", hash_key(seed)).withColumn("__b", F.substring("__h", 1, digits))
     sizes = hashed.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1) if strata else Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -72,6 +75,25 @@ def assignments(folded: DataFrame, first_id: int = 2) -> DataFrame:
     return folded.select("id", "fold", F.explode(F.sequence(F.lit(0), F.lit(int(folded.agg(F.max("fold")).first()[0] or 0)))).alias("k")).select("id", F.when(F.col("fold") == F.col("k"), 1).otherwise(0).alias("split_num"), (F.col("k") + first_id).alias("splitting_id"))
 
 
+def fold_by_label(df: DataFrame, label: str, held_out: str) -> tuple[DataFrame, DataFrame]:
+    """(training, held out) by a fold label in the data; rows without a label train."""
+    out = F.coalesce(F.col(label) == held_out, F.lit(False))
+    return df.filter(~out), df.filter(out)
+
+
+def inner_folds(df: DataFrame, k: int, strata: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Folds of the training part (split_num 0) of a hold-out."""
+    own = df.filter("split_num = 0")
+    return stratified_folds(own, k, strata, seed) if strata else k_folds(own, k, seed)
+
+
+def checked_assignments(folded: DataFrame, first_id: int = 2) -> DataFrame:
+    """Assignments whose ids are whole numbers; another id, or none, is an error when the rows are made."""
+    whole = F.col("id").cast("string").try_cast("long")
+    id_ = F.when(whole.isNotNull(), whole).otherwise(F.raise_error(F.concat(F.lit("no whole number for an id: "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("long"))
+    return assignments(folded, first_id).withColumn("id", id_)
+
+
 def predefined(df: DataFrame, folds: DataFrame) -> DataFrame:
     """cv_fold from a table; -1, always in training, for rows in no fold."""
     return df.join(folds.select("id", F.col("fold").alias("cv_fold")), "id", "left").withColumn("cv_fold", F.coalesce("cv_fold", F.lit(-1)))

@@ -61,6 +61,75 @@ def binary(df: DataFrame, *by: str, cutoff: float = 0.5) -> DataFrame:
     return out.withColumn("BA", (F.col("SN") + F.col("SP")) / 2)
 
 
+def balanced_accuracy_rounded(df: DataFrame, *by: str) -> DataFrame:
+    """BA of values rounded half up to classes 0 and 1; classes without a row have no part in the mean."""
+    up = lambda c: F.floor(F.col(c) + 0.5)
+    e, p = up("exp"), up("pred")
+    both = df.filter("exp is not null and pred is not null")
+    rates = both.groupBy(*by).agg(F.try_divide(F.count_if((e == 1) & (p == 1)), F.count_if(e == 1)).alias("a"), F.try_divide(F.count_if((e == 0) & (p == 0)), F.count_if(e == 0)).alias("b"))
+    mean = F.try_divide(F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)), F.col("a").isNotNull().cast("int") + F.col("b").isNotNull().cast("int"))
+    return rates.select(*by, mean.alias("BA"))
+
+
+def thresholded(df: DataFrame, cutoff: float) -> DataFrame:
+    """exp and pred as 0 or 1: at the cutoff or over it is 1."""
+    return df.withColumns({c: (F.col(c) >= cutoff).cast("double") for c in ("exp", "pred")})
+
+
+def inside_outside_binary(df: DataFrame, flag: str, *by: str, cutoff: float = 0.5) -> DataFrame:
+    """Balanced accuracy inside and outside, their ratio, and coverage times the inside one; a missing flag is in neither group."""
+    inside = binary(df.filter(F.col(flag)), *by, cutoff=cutoff).select(*by, F.col("BA").alias("BA_inside"))
+    outside = binary(df.filter(~F.col(flag)), *by, cutoff=cutoff).select(*by, F.col("BA").alias("BA_outside"))
+    cover = df.groupBy(*by).agg(F.avg(F.col(flag).cast("int")).alias("Coverage"))
+    out = cover.join(inside, list(by), "left").join(outside, list(by), "left")
+    return out.withColumn("BA_ratio", F.try_divide("BA_inside", "BA_outside")).withColumn("coverage_BA", F.col("Coverage") * F.col("BA_inside"))
+
+
+def coverage(df: DataFrame, flag: str, *by: str, binary_target: bool = False) -> DataFrame:
+    """Share of rows inside: of those with exp (classes), or with exp and pred (numbers)."""
+    counted = F.col("exp").isNotNull() if binary_target else F.col("exp").isNotNull() & F.col("pred").isNotNull()
+    return df.groupBy(*by).agg(F.try_divide(F.count_if(counted & F.coalesce(F.col(flag), F.lit(False))), F.count_if(counted)).alias("Coverage"))
+
+
+def coverage_ratio(df: DataFrame, flag: str, set_col: str = "set") -> DataFrame:
+    """One row: coverage of the training and the test rows, and test over training."""
+    share = lambda s: F.avg(F.when(F.col(set_col) == s, F.col(flag).cast("int")))
+    out = df.agg(share("train").alias("train"), share("test").alias("test"))
+    return out.withColumn("ratio", F.try_divide("test", "train"))
+
+
+def tagged(stats: DataFrame, key: Sequence[str], tag: str) -> DataFrame:
+    """(key, name, value) of statistics, their names ending in the tag (_Training, _CV_Training, _Test, _External)."""
+    return to_long(stats, key).withColumn("name", F.concat("name", F.lit(tag)))
+
+
+def known_statistics(long: DataFrame, names: DataFrame, skipped: Sequence[str] = ("n", "n_predicted")) -> DataFrame:
+    """Long statistics with the id of their name; skipped and unknown names go."""
+    return long.filter(~F.col("name").isin(*skipped)).join(names.select("name", "statistic_id"), "name")
+
+
+def recomputed(stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, value, recomputed): the stored value, or where it is missing the fresh one."""
+    a, b = stored.select(*keys, F.col("value").alias("__a")), fresh.select(*keys, F.col("value").alias("__b"))
+    return a.join(b, list(keys), "full").select(*keys, F.coalesce("__a", "__b").alias("value"), (F.col("__a").isNull() & F.col("__b").isNotNull()).alias("recomputed"))
+
+
+def score_table(scores: DataFrame, metrics: Sequence[str], set_col: str = "set") -> DataFrame:
+    """(metric, train, test) from one row of metrics for each set."""
+    long = scores.unpivot([set_col], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value")
+    return long.groupBy("metric").pivot(set_col, ["train", "test"]).agg(F.first("value"))
+
+
+def mean_scores(scores: DataFrame, *by: str) -> DataFrame:
+    """Mean score of each key, sorted by it."""
+    return scores.groupBy(*by).agg(F.avg("score").alias("score")).orderBy(*by)
+
+
+def share_visible(df: DataFrame, visible: Column, *by: str) -> DataFrame:
+    """Rows, visible ones and their share of the group's."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(visible).alias("n_visible"), F.avg(visible.cast("int")).alias("share"))
+
+
 def consensus(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     """`inside`: all flags true; a missing flag is outside."""
     both = F.lit(True)

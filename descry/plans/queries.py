@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descry.functions import scalars as S
@@ -107,7 +107,7 @@ def neighbours_with_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = own.train_test(spark, sf_dir)
     st = columns.feature_stats(train)
     near = knn.neighbours(columns.scale(train, st), columns.scale(test, st), 10)
-    return rounded(near.join(train.select(F.col("id").alias("neighbour_id"), F.col("property").alias("exp")), "neighbour_id"), 4, "distance").select("id", "neighbour_id", "rank", "distance", "exp")
+    return rounded(relational.join_many_to_one(near, train.select(F.col("id").alias("neighbour_id"), F.col("property").alias("exp")), "neighbour_id"), 4, "distance").select("id", "neighbour_id", "rank", "distance", "exp")
 
 
 @query(f"""with {SCALED.strip()}, {NEAR.format(distance="list_distance(q.x, t.x)", k=5).strip()}
@@ -192,9 +192,8 @@ def folds_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("property"))
     folded = split.stratified_folds(rows, 5, ["property"])
-    parts = split.assignments(folded).join(rows, "id")
-    counts = parts.groupBy("splitting_id", "split_num", "property").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("splitting_id", "split_num")), 6))
+    parts = split.assignments(folded).join(rows, "id").withColumn("part", F.struct("splitting_id", "split_num"))
+    return rounded(stats.class_balance(parts, "part", "property"), 6, "share").select("part.*", "property", "n", "share")
 
 
 @query("""with l as (select i - 1 as idx, embedding[i]::double as x from embeddings, unnest(range(1, len(embedding) + 1)) t(i) where embedding is not null)
@@ -266,10 +265,9 @@ def missing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select l_orderkey as id, l_linenumber as line, c1.n_name as public_source, c2.n_name as original_source from lineitem
  left join supplier on l_suppkey = s_suppkey left join nation c1 on s_nationkey = c1.n_nationkey left join nation c2 on l_partkey % 30 = c2.n_nationkey""")
 def sources_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("ka"), F.col("n_name").alias("public_source")), n.select(F.col("n_nationkey").alias("kb"), F.col("n_name").alias("original_source"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("name"))
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    out = rows.join(a, F.col("s_nationkey") == F.col("ka"), "left").join(b, F.col("l_partkey") % 30 == F.col("kb"), "left")
+    out = relational.with_sources(rows.withColumn("original", F.col("l_partkey") % 30), n, "s_nationkey", "original")
     return out.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "public_source", "original_source")
 
 
@@ -277,7 +275,8 @@ def sources_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stacked_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = own.predictions(spark, sf_dir).groupBy("id").agg(F.round(F.sum("pred"), 2).alias("pred"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
-    return relational.join_many_to_one(rows, sums, "id").withColumn("pred2", F.col("pred") * F.col("pred"))
+    out = relational.stack_prediction(rows.withColumn("features", F.array().cast("array<double>")), sums, "pred")
+    return out.select("id", "value", F.get("features", F.lit(0)).alias("pred"), F.get("features", F.lit(1)).alias("pred2"))
 
 
 @query("""with u as (select 'train' as "Set", doc_id as id, quality as exp, toxic as pred from labels where doc_id % 5 <> 0 union all by name select 'test' as "Set", doc_id as id, quality as exp, null as pred from labels where doc_id % 5 = 0)
@@ -340,11 +339,11 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
  b as (select item_id as id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) as words from benchmark),
  s as (select w.id as q, b.id as r, len(list_intersect(w.words, b.words)) / (len(w.words) + len(b.words) - len(list_intersect(w.words, b.words))) as sim from w, b),
  t as (select q, r, sim from s where sim >= 0.01),
- c as (select q, step, count(*) filter (sim >= step) as n from t, (select unnest([0.5, 0.4, 0.3, 0.2, 0.1, 0.05, 0.01]) as step) group by q, step),
+ c as (select q, step, count(*) filter (sim >= step) as n from t, (select round(0.95 - 0.02 * i, 2) as step from range(48) r(i)) group by q, step),
  p as (select q, max(step) filter (n >= 5 or step = 0.01) as threshold from c group by q)
  select q as query_id, round(any_value(threshold), 3)::double as threshold, cast(count(*) as int) as n from t join p using (q) where sim >= threshold group by q""")
 def similar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""))
     docs = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), words.alias("words"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words.alias("words"))
-    return domain.similar_records(docs, items, 5, [0.5, 0.4, 0.3, 0.2, 0.1, 0.05, 0.01]).select("query_id", F.round("threshold", 3).alias("threshold"), "n")
+    return domain.similar_records(docs, items, 5).select("query_id", F.round("threshold", 3).alias("threshold"), "n")
