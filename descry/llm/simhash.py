@@ -3,11 +3,10 @@
 Equal fingerprints are one class from the start, so copies are never paired. Two fingerprints that
 differ in at most 2 of 64 bits share at least 6 of their 8 bytes by position (LEAST_SHARED). Each
 fingerprint's bytes are ordered from the rarest of the corpus to the most frequent one; by the
-guaranteed count, two that share 6 share at least 2 among the 4 rarest of either, 4 among the 6
-rarest and 6 among all 8. A posting of one byte would hold 1/256 of all fingerprints or more, so
-the index posts a fingerprint under every two of its 4 rarest bytes; the members of a posting with
-over `max_posting` are posted anew under every four of their 6 rarest, and those of a posting that
-is still too large under every six of all 8. Pairs that meet in a posting are tallied: how many
+guaranteed count, two that share 6 share at least 4 among the 6 rarest of either, and 6 among all 8.
+A posting of one byte would hold 1/256 of all fingerprints or more, and of two bytes 1/65,536, so
+the index posts a fingerprint under every four of its 6 rarest bytes; the members of a posting with
+over `max_posting` are posted anew under every six of all 8. Pairs that meet in a posting are tallied: how many
 positional bytes are equal. Those under 6 go, and the rest is verified by differing bits. Members of
 a posting of six bytes with over `max_posting` members differ in the two other bytes alone: each posts itself and its
 one-bit changes there, and all that share such a post are linked to its smallest, which links
@@ -39,7 +38,7 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Bytes by position that fingerprints within MAX_BITS share at least.
 BYTES, LEAST_SHARED = 8, 8 - MAX_BITS
 #: Bytes of a posting: first, and for the members of postings that are too large.
-LEVELS = (2, 4, 6)
+LEVELS = (4, 6)
 #: Members of a posting up to which all pairs are tallied.
 MAX_POSTING = 16
 #: A fingerprint that more than this share of all rows have is joined apart; there are at most 1 / HOT of them.
