@@ -16,23 +16,42 @@ SENT_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 
 
-def _nearest(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, training row, distance) of the k nearest, ties by id, a row never its own neighbour."""
+#: Distances held at once in a task.
+TILE = 1 << 21
+
+
+def _distances(q: np.ndarray, t: np.ndarray, cosine: bool) -> np.ndarray:
     if cosine:
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        d = 1 - unit(q) @ unit(t).T
-    else:
-        d = np.empty((len(q), len(t)))
-        for a in range(0, len(q), 64):
-            diff = q[a : a + 64, None, :] - t[None, :, :]
-            d[a : a + 64] = np.sqrt(np.einsum("abc,abc->ab", diff, diff))
-    d[q_id[:, None] == t_id[None, :]] = np.inf
-    # Training rows are sorted by id, so a stable sort breaks ties by id.
-    best = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(q)), best.shape[1])
-    dist = d[rows, best.ravel()]
-    ok = np.isfinite(dist)
-    return rows[ok], best.ravel()[ok], dist[ok]
+        return 1 - unit(q) @ unit(t).T
+    diff = q[:, None, :] - t[None, :, :]
+    return np.sqrt(np.einsum("abc,abc->ab", diff, diff))
+
+
+def _nearest(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, training row, distance) of the k nearest, ties by id, a row never its own neighbour.
+
+    Training rows are sorted by id. They are met in tiles that shrink with the width, and only the
+    best k so far are kept from one to the next.
+    """
+    width = 1 if cosine else max(1, q.shape[1])
+    few = max(1, min(64, len(q)))
+    step = max(k, TILE // (few * width))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(q), few):
+        part, own = q[a : a + few], q_id[a : a + few]
+        best, dist = np.zeros((len(part), 0), np.int64), np.zeros((len(part), 0))
+        for b in range(0, len(t), step):
+            d = _distances(part, t[b : b + step], cosine)
+            d[own[:, None] == t_id[None, b : b + step]] = np.inf
+            at = np.broadcast_to(np.arange(b, b + d.shape[1]), d.shape)
+            d, at = np.hstack([dist, d]), np.hstack([best, at])
+            # What is kept stands before later ids, so a stable sort breaks ties by id.
+            by = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
+            dist, best = np.take_along_axis(d, by, 1), np.take_along_axis(at, by, 1)
+        ok = np.isfinite(dist)
+        out.append((np.repeat(np.arange(a, a + len(part)), ok.sum(1)), best[ok], dist[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def _matrix(col: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:

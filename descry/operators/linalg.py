@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +49,13 @@ def with_target(df: DataFrame, intercept: bool = True) -> DataFrame:
 
 
 def leverages(df: DataFrame, inverse: np.ndarray) -> DataFrame:
-    """df with `leverage` = x' (X'X)^-1 x, by a row expression over the small matrix."""
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in inverse])
-    dot = lambda r: F.aggregate(F.zip_with("features", r, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return df.withColumn("leverage", F.aggregate(F.zip_with("features", F.transform(rows, dot), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    """(id, leverage) with leverage = x' (X'X)^-1 x; the small matrix is sent and multiplied in Arrow batches."""
+    sent = df.sparkSession.sparkContext.broadcast(inverse)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.einsum("ij,ij->i", x @ sent.value, x))], names=["id", "leverage"])
+
+    return df.select("id", "features").mapInArrow(run, T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("leverage", T.DoubleType())]))

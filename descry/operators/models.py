@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import product
 
 import numpy as np
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from descry.operators import order, split, stats
 from descry.operators.linalg import fold_grams, gram, with_target
 
 SEED = 42
@@ -28,6 +30,48 @@ ESTIMATORS: dict[str, tuple[Callable[..., Estimator] | None, Callable[..., Estim
     "rf": (lambda **p: RandomForestRegressor(**_COLUMNS, **{"numTrees": 100, "maxDepth": 8, "seed": SEED, **p}), lambda **p: RandomForestClassifier(**_COLUMNS, **{"numTrees": 100, "maxDepth": 8, "seed": SEED, **p})),
     "gbt": (lambda **p: GBTRegressor(**_COLUMNS, **{"maxIter": 50, "maxDepth": 4, "seed": SEED, **p}), lambda **p: GBTClassifier(**_COLUMNS, **{"maxIter": 50, "maxDepth": 4, "seed": SEED, **p})),
 }
+#: Parameters that a search tries for each code, unless it is given others.
+GRIDS: dict[str, dict[str, Sequence]] = {
+    "reg": {},
+    "las": {"regParam": [float(x) for x in np.logspace(-4, 0, 20)]},
+    "hub": {"epsilon": [1.1, 1.35, 1.5], "regParam": [1e-4, 1e-2]},
+    "rf": {"numTrees": [50, 100], "maxDepth": [5, 8]},
+    "gbt": {"maxIter": [20, 50], "maxDepth": [3, 5]},
+}
+
+
+class PopulationScaler(Estimator):
+    """Vectors x to z: centred and divided by the population's standard deviation (zero counts as one)."""
+
+    def _fit(self, dataset: DataFrame) -> Transformer:
+        each = dataset.select(F.posexplode(vector_to_array("x")).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+        rows = sorted(each.collect())
+        return Scaled([r["m"] for r in rows], [r["s"] or 1.0 for r in rows])
+
+
+class Scaled(Model):
+    def __init__(self, mean: list[float] | None = None, spread: list[float] | None = None):
+        super().__init__()
+        self.mean, self.spread = mean, spread
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        vector = lambda v: F.array(*map(F.lit, v))
+        centred = F.zip_with(vector_to_array("x"), vector(self.mean), lambda x, m: x - m)
+        return dataset.withColumn("z", array_to_vector(F.zip_with(centred, vector(self.spread), lambda x, s: x / s)))
+
+
+class BalancedAccuracy(Evaluator):
+    """Mean of the two classes' rates of hits; a class without rows has no part in it."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        hit = F.col("prediction") == F.col("property")
+        rates = dataset.groupBy("property").agg(F.avg(hit.cast("int")).alias("rate"))
+        return rates.agg(F.avg("rate").alias("ba")).first()["ba"] or 0.0
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
 #: Codes whose features are standardised first.
 SCALED = ("reg", "las", "hub")
 
@@ -39,7 +83,7 @@ def estimator(code: str, binary: bool = False, **params: object) -> Estimator:
         raise ValueError(f"{code} fits no {'classes' if binary else 'numbers'}")
     if code not in SCALED:
         return make(**params)
-    return Pipeline(stages=[StandardScaler(inputCol="x", outputCol="z", withMean=True), make(**params).setFeaturesCol("z")])
+    return Pipeline(stages=[PopulationScaler(), make(**params).setFeaturesCol("z")])
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -65,21 +109,106 @@ def fold_predictions(df: DataFrame, code: str, binary: bool = False, **params: o
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def grid_search(df: DataFrame, code: str, grid: dict[str, Sequence], binary: bool = False) -> tuple[dict[str, object], list[tuple[dict[str, object], float]]]:
-    """The best parameters by cross-validation over `fold`, and the mean score of each combination (RMSE, or area under ROC)."""
+def grid_search(df: DataFrame, code: str, grid: dict[str, Sequence] | None = None, binary: bool = False) -> tuple[dict[str, object], list[tuple[dict[str, object], float]]]:
+    """The best parameters by cross-validation over `fold`, and the mean score of each combination (RMSE, or balanced accuracy).
+
+    grid: that of GRIDS unless given. A single combination is returned without a fit.
+    """
+    values = GRIDS[code] if grid is None else grid
+    names = list(values)
+    return search(df, code, [dict(zip(names, c, strict=True)) for c in product(*(values[n] for n in names))], binary)
+
+
+def random_search(df: DataFrame, code: str, tries: int, grid: dict[str, Sequence] | None = None, binary: bool = False, seed: int = SEED) -> tuple[dict[str, object], list[tuple[dict[str, object], float]]]:
+    """The same over `tries` combinations drawn from the grid without repeats."""
+    values = GRIDS[code] if grid is None else grid
+    combos = [dict(zip(values, c, strict=True)) for c in product(*values.values())]
+    return search(df, code, random.Random(seed).sample(combos, min(tries, len(combos))), binary)
+
+
+def search(df: DataFrame, code: str, combos: list[dict[str, object]], binary: bool = False) -> tuple[dict[str, object], list[tuple[dict[str, object], float]]]:
+    if len(combos) < 2:
+        return (combos or [{}])[0], []
     own = estimator(code, binary)
     stage = own.getStages()[-1] if isinstance(own, Pipeline) else own
-    build = ParamGridBuilder()
-    for name, values in grid.items():
-        build = build.addGrid(stage.getParam(name), list(values))
-    combos = build.build()
-    judge = BinaryClassificationEvaluator(labelCol="property") if binary else RegressionEvaluator(labelCol="property", metricName="rmse")
+    maps = [{stage.getParam(n): v for n, v in c.items()} for c in combos]
+    judge = BalancedAccuracy() if binary else RegressionEvaluator(labelCol="property", metricName="rmse")
     folds = df.agg(F.max("fold")).first()[0] + 1
-    cv = CrossValidator(estimator=own, estimatorParamMaps=combos, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=4)
-    scores = cv.fit(_vectors(df)).avgMetrics
-    said = [{p.name: v for p, v in c.items()} for c in combos]
+    cv = CrossValidator(estimator=own, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=4)
+    scores = cv.fit(_vectors(df.filter("property is not null"))).avgMetrics
     best = int(np.argmax(scores) if judge.isLargerBetter() else np.argmin(scores))
-    return said[best], list(zip(said, scores, strict=True))
+    return combos[best], list(zip(combos, scores, strict=True))
+
+
+def smallest_gap(df_train: DataFrame, df_test: DataFrame, code: str, combos: list[dict[str, object]], tolerance: float = 0.05, step: float = 0.005) -> tuple[dict[str, object], float]:
+    """The combination of the best test r2 whose train and test r2 differ by less than a tolerance, widened by steps until one does; and that tolerance."""
+    table = []
+    for c in combos:
+        model = fit(df_train, code, **c)
+        r2 = [predict(model, d).agg(F.regr_r2("pred", "exp").alias("r2")).first()["r2"] or 0.0 for d in (df_train, df_test)]
+        table.append((c, r2[1], abs(r2[0] - r2[1])))
+    if not table:
+        raise ValueError("no combination to try")
+    widened = max(0, int(np.ceil((min(g for *_, g in table) - tolerance) / step - 1e-9)))
+    while not (near := [x for x in table if x[2] < tolerance + widened * step]):
+        widened += 1
+    return max(near, key=lambda x: x[1])[0], tolerance + widened * step
+
+
+def representative_split(df: DataFrame, k: int = 5, binary: bool = False, seed: int = SEED, **params: object) -> DataFrame:
+    """df (id, property, features) with `fold` and `split_num`: held out (1) is the fold whose score is closest to that of all folds together.
+
+    Each fold is predicted by a forest of the others (class weights balanced); the score is
+    balanced accuracy, or r2.
+    """
+    folded = split.stratified_folds(df, k, ["property"], seed) if binary else split.k_folds(df, k, seed)
+    if binary:
+        n = folded.groupBy("property").count().collect()
+        total = sum(r["count"] for r in n)
+        weight = F.create_map(*[F.lit(x) for r in n for x in (float(r["property"]), total / (len(n) * r["count"]))])
+        folded, params = folded.withColumn("weight", weight[F.col("property").cast("double")]), {"weightCol": "weight", **params}
+    out = fold_predictions(folded, "rf", binary, **params)
+    score = (lambda d, *by: stats.binary(d, *by).select(*by, F.col("BA").alias("score"))) if binary else (lambda d, *by: d.groupBy(*by).agg(F.regr_r2("pred", "exp").alias("score")))
+    per = score(out, "cv_fold").withColumnRenamed("cv_fold", "fold")
+    chosen = order.closest_fold(per, score(out).first()["score"])
+    return folded.drop("weight").withColumn("split_num", (F.col("fold") == chosen).cast("int"))
+
+
+def score_batch(model: Model, rows: DataFrame, width: int, binary: bool = False) -> DataFrame:
+    """(id, exp, pred, status) of every row: ok, or why it has no prediction. A bad row is an answer, not an error."""
+    feats = F.col("features")
+    status = (
+        F.when(feats.isNull(), "no descriptors")
+        .when(F.size(feats) != width, F.concat(F.lit(f"expected {width} descriptors, got "), F.size(feats).cast("string")))
+        .when(F.exists(feats, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "missing or infinite descriptor")
+        .otherwise("ok")
+    )
+    judged = rows.withColumn("status", status)
+    good = predict(model, judged.filter("status = 'ok'"), binary).withColumn("status", F.lit("ok"))
+    bad = judged.filter("status <> 'ok'").select("id", F.col("property").alias("exp"), F.lit(None).cast("double").alias("pred"), "status")
+    return good.unionByName(bad)
+
+
+def models_compared(models: dict[str, Model], test: DataFrame, binary: bool = False) -> DataFrame:
+    """One row of statistics on the same test rows for each model."""
+    parts = [predict(m, test, binary).withColumn("model", F.lit(name)) for name, m in models.items()]
+    return (stats.binary if binary else stats.continuous)(reduce(DataFrame.unionByName, parts), "model")
+
+
+def logistic_curve(df: DataFrame, l2: float = 0.0) -> tuple[Model, list[tuple[str, float, float]]]:
+    """A logistic model and (name, estimate, standard error) by the observed information, intercept first, in the features' own units."""
+    rows = df.filter("property is not null")
+    model = LogisticRegression(**_COLUMNS, regParam=l2, standardization=False).fit(_vectors(rows))
+    coef = [model.intercept, *model.coefficients.toArray().tolist()]
+    eta = F.aggregate(F.zip_with("features", F.array(*map(F.lit, coef[1:])), lambda x, w: x * w), F.lit(coef[0]), lambda a, v: a + v)
+    p = 1 / (1 + F.exp(-eta))
+    root = F.sqrt(p * (1 - p))
+    weighted = rows.select(F.transform(F.concat(F.array(F.lit(1.0)), "features"), lambda x: x * root).alias("features"))
+    n, _, information = gram(weighted)
+    penalty = np.eye(len(coef)) * l2 * n
+    penalty[0, 0] = 0
+    error = np.sqrt(np.maximum(np.diag(np.linalg.pinv(information + penalty)), 0))
+    return model, [(x, float(b), float(e)) for x, b, e in zip(["intercept", *(f"x{i}" for i in range(len(coef) - 1))], coef, error, strict=True)]
 
 
 def _solve(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

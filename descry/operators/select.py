@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,10 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from descry.operators import models
+from descry.operators.columns import gather
 from descry.operators.linalg import fold_grams, with_target
+from descry.operators.split import ranked
 
 SCORES = "features array<int>, mean double, std double, fitness double"
 Grams = dict[int, tuple[int, np.ndarray, np.ndarray]]
@@ -136,3 +140,86 @@ def uncorrelated(df: DataFrame, threshold: float) -> list[int]:
     r = Correlation.corr(df.select(array_to_vector("features").alias("x")), "x", "spearman").first()[0].toArray()
     labels = ward_clusters(np.nan_to_num(r), threshold)
     return [labels.index(c) for c in range(max(labels) + 1)]
+
+
+def by_importance(df: DataFrame, code: str = "rf", fraction: float = 0.25, least: int = 3, most: int = 30, runs: int = 5, rounds: int = 10, **params: object) -> list[int]:
+    """Positions kept by importance: in each run those with at least `fraction` of the largest importance, `least` to `most` of them; the union of the runs, until a round changes nothing."""
+    p = len(df.select("features").first()["features"]) if not df.isEmpty() else 0
+    kept = list(range(p))
+    for _ in range(rounds):
+        own, union = gather(df, kept), set()
+        for run in range(runs):
+            weights = models.fit(own, code, seed=run, **params).featureImportances.toArray()
+            ranked = sorted(range(len(kept)), key=lambda i: (-weights[i], i))
+            enough = sum(weights[i] >= fraction * weights[ranked[0]] for i in ranked)
+            union |= {kept[i] for i in ranked[: min(max(enough, least), most)]}
+        if sorted(union) == kept:
+            break
+        kept = sorted(union)
+    return kept
+
+
+def permutation_importance(df: DataFrame, model, repeats: int = 5, seed: int = 42) -> DataFrame:
+    """(idx, importance): how much the mean squared error grows when a feature takes another row's values, over all rows and repeats in one job."""
+    width = len(df.select("features").first()["features"])
+    a = ranked(df.select("id", "property", "features"), seed)
+    parts = []
+    for r in range(repeats):
+        other = ranked(df.select("id", "features"), seed + 1 + r).select("rank", F.col("features").alias("other"))
+        parts.append(a.join(other, "rank").withColumn("repeat", F.lit(r)))
+    both = reduce(DataFrame.unionByName, parts).select("repeat", "id", "property", "features", "other", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("idx"))
+    mixed = F.transform("features", lambda x, i: F.when(i == F.col("idx"), F.get("other", i)).otherwise(x))
+    scored = models.predict(model, both.select(F.struct("repeat", "idx").alias("id"), "property", mixed.alias("features")))
+    error = scored.groupBy("id").agg(F.avg((F.col("exp") - F.col("pred")) ** 2).alias("e"))
+    each = error.select("id.idx", "id.repeat", "e")
+    base = each.filter("idx < 0").select("repeat", F.col("e").alias("base"))
+    return each.filter("idx >= 0").join(base, "repeat").groupBy("idx").agg(F.avg(F.col("e") - F.col("base")).alias("importance"))
+
+
+def by_lasso(df: DataFrame, penalty: float = 0.01, least_size: float = 1e-9) -> list[int]:
+    """Positions whose coefficient a lasso leaves nonzero."""
+    coefficients = models.fit(df, "las", regParam=penalty).stages[-1].coefficients.toArray()
+    return np.flatnonzero(np.abs(coefficients) > least_size).tolist()
+
+
+def ward_linear(df: DataFrame, threshold: float, most: int = 11) -> list[int]:
+    """The features of largest coefficient in a linear model on one feature of each Ward cluster."""
+    kept = uncorrelated(df, threshold)
+    fitted = models.fit(gather(df, kept), "reg").stages[-1].coefficients.toArray()
+    return [kept[i] for i in sorted(range(len(kept)), key=lambda i: (-abs(fitted[i]), i))[:most] if fitted[i]]
+
+
+def ward_forest(df: DataFrame, threshold: float, tries: int = 3, most: int = 12) -> list[int]:
+    """The most important features of a forest, its parameters by random search over `fold`, on one feature of each Ward cluster."""
+    kept = uncorrelated(df, threshold)
+    own = gather(df, kept)
+    best, _ = models.random_search(own, "rf", tries)
+    weights = models.fit(own, "rf", **best).featureImportances.toArray()
+    return [kept[i] for i in sorted(range(len(kept)), key=lambda i: (-weights[i], i))[:most]]
+
+
+#: Ways to select features by name.
+METHODS = {"importance": by_importance, "lasso": by_lasso, "forward": forward, "evolution": evolve, "ward": uncorrelated, "ward_linear": ward_linear, "ward_forest": ward_forest}
+
+
+def select_features(method: str, df: DataFrame, *args: object, **params: object) -> list[int]:
+    if method not in METHODS:
+        raise ValueError(f"no such method: {method}; there are {', '.join(METHODS)}")
+    return METHODS[method](df, *args, **params)
+
+
+def stored_embedding(embeddings: DataFrame, dataset: str) -> list[str]:
+    """The feature names stored for a dataset (dataset, names: tab-separated); a dataset without one is an error, and so is a text without a tab that names nothing known."""
+    row = embeddings.filter(F.col("dataset") == dataset).select("names").first()
+    if row is None or not (row["names"] or "").strip():
+        raise ValueError(f"no stored features for {dataset}")
+    return parse_feature_list(row["names"])
+
+
+def parse_feature_list(text: str | None) -> list[str]:
+    """Tab-separated names; blank is none, other text without a tab is an error."""
+    if not (text or "").strip():
+        return []
+    if "\t" not in text:
+        raise ValueError("feature names must be separated by tabs")
+    return [x.strip() for x in text.split("\t") if x.strip()]
