@@ -7,22 +7,63 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from descry.sources.tables import shared_dir
+
 
 def split_index(n: int, fraction: float) -> int:
     """The place int(n * fraction) of a sorted list, kept within it."""
     return min(int(n * fraction), n - 1)
 
 
-def split_value(df: DataFrame, column: str, fraction: float) -> float | None:
-    """The value at place int(n * fraction) of the sorted non-null values, without interpolation; null if there are none.
+#: Values that one task may sort.
+MOST_IN_TASK = 1_000_000
+
+
+def values_at(df: DataFrame, column: str, places: list[int], n: int, most: int = MOST_IN_TASK) -> list[float]:
+    """The values at places (from 0) of the n sorted non-null values of a column, exactly.
 
-    A count, then an exact discrete percentile aimed at the middle of that place.
+    Up to `most` values, by a discrete percentile aimed at the middle of each place. More are
+    written once, and for each place approximate quantiles close in on it: what lies below is
+    counted, what lies between goes on, until it is few, or one value.
     """
+    rows = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
+    if n > most:
+        path = shared_dir(df.sparkSession)
+        rows.write.parquet(path)
+        rows = df.sparkSession.read.schema("x double").parquet(path)
+    out = []
+    for place in places:
+        part, left, k, slack = rows, n, place, 0.001
+        while left > most:
+            lo, hi = part.approxQuantile("x", [max(0.0, k / left - slack), min(1.0, k / left + slack)], slack / 2)
+            r = part.agg(F.count_if(F.col("x") < lo).alias("below"), F.count_if(F.col("x").between(lo, hi)).alias("inside")).first()
+            if not r["below"] <= k < r["below"] + r["inside"]:
+                slack *= 4
+                continue
+            if r["inside"] == left and lo != hi:
+                break  # nothing more to close in on: few distinct values, which is all a percentile holds
+            part, left, k = part.filter(F.col("x").between(lo, hi)), r["inside"], k - r["below"]
+            if lo == hi:
+                break
+        out.append(part.agg(F.expr(f"percentile_disc({(k + 0.5) / left!r}D) within group (order by x)").alias("v")).first()["v"])
+    return out
+
+
+def split_value(df: DataFrame, column: str, fraction: float, most: int = MOST_IN_TASK) -> float | None:
+    """The value at place int(n * fraction) of the sorted non-null values, without interpolation; null if there are none."""
+    n = df.agg(F.count(column).alias("n")).first()["n"]
+    return values_at(df, column, [split_index(n, fraction)], n, most)[0] if n else None
+
+
+def quantiles(df: DataFrame, column: str, fractions: list[float], most: int = MOST_IN_TASK) -> list[float]:
+    """Linearly interpolated quantiles; none of an empty column."""
     n = df.agg(F.count(column).alias("n")).first()["n"]
-    if not n:
-        return None
-    p = (split_index(n, fraction) + 0.5) / n
-    return df.agg(F.expr(f"percentile_disc({p!r}D) within group (order by {column})").alias("v")).first()["v"]
+    if n <= most:
+        return df.agg(F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, fractions))).alias("q")).first()["q"] or []
+    at = [f * (n - 1) for f in fractions]
+    places = sorted({i for x in at for i in (math.floor(x), math.ceil(x))})
+    value = dict(zip(places, values_at(df, column, places, n, most), strict=True))
+    return [value[math.floor(x)] + (x - math.floor(x)) * (value[math.ceil(x)] - value[math.floor(x)]) for x in at]
 
 
 def top_k(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
@@ -51,8 +92,7 @@ def closest_fold(scores: DataFrame, pooled: float) -> int:
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """bins + 1 linearly interpolated quantiles, equal ones once."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return sorted(set(df.agg(F.percentile(column, at).alias("q")).first()["q"] or []))
+    return sorted(set(quantiles(df, column, [i / bins for i in range(bins + 1)])))
 
 
 def bin_of(x: Column, edges: list[float]) -> Column:
@@ -63,10 +103,11 @@ def bin_of(x: Column, edges: list[float]) -> Column:
 
 def freedman_diaconis(df: DataFrame, column: str) -> int:
     """Bins of width 2 IQR n**(-1/3) over the range; 1 where that has no width."""
-    r = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(column).alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).first()
-    if not r["n"] or r["q"][1] == r["q"][0]:
+    r = df.agg(F.count(column).alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).first()
+    q = quantiles(df, column, [0.25, 0.75])
+    if not q or q[1] == q[0]:
         return 1
-    return max(1, math.ceil((r["b"] - r["a"]) / (2 * (r["q"][1] - r["q"][0]) * r["n"] ** (-1 / 3))))
+    return max(1, math.ceil((r["b"] - r["a"]) / (2 * (q[1] - q[0]) * r["n"] ** (-1 / 3))))
 
 
 def by_metric(df: DataFrame, metric: str, larger_is_better: bool) -> DataFrame:

@@ -130,6 +130,18 @@ def test_screens_to_a_fixed_point(spark):
     assert left.count() == sum(all(r[1][j] == 0 for j in gone) for r in rows)
 
 
+def test_order_statistics_of_more_than_a_task_sorts(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, 3000), np.full(800, 0.25), rng.integers(0, 3, 200).astype(float)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 5, "v double")
+    by = np.sort(x)
+    for f in (0.0, 0.05, 0.5, 0.62, 0.95, 0.9999):
+        assert order.split_value(df, "v", f, most=300) == by[int(len(x) * f)] == order.split_value(df, "v", f)
+    got = order.quantiles(df, "v", [0, 0.1, 0.33, 1], most=300)
+    assert np.allclose(got, np.quantile(x, [0, 0.1, 0.33, 1])) and np.allclose(order.quantiles(df, "v", [0, 0.1, 0.33, 1]), got)
+    assert order.split_value(df.filter("v is null"), "v", 0.5) is None and order.quantile_edges(df.filter("v is null"), "v", 3) == []
+
+
 def test_folds_whatever_the_buckets(spark):
     df = spark.range(500).withColumnRenamed("id", "id")
     folds = [{r["id"]: r["rank"] for r in split.ranked(df, 42, buckets=b).collect()} for b in (16, 256, 4096)]
