@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descry.operators.linalg import gram
@@ -76,9 +76,20 @@ def positions(names: DataFrame, wanted: Sequence[str]) -> list[int]:
     return [at[w] for w in wanted]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row: as a lambda's variable it is not copied into an inner lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def uses(idx: Sequence[int]) -> Column:
+    """Whether a row has a value that is not zero at one of the positions."""
+    return let(F.col("features"), lambda f: F.exists(F.array(*map(F.lit, idx)), lambda i: F.coalesce(F.get(f, i), F.lit(0.0)) != 0))
+
+
 def gather(df: DataFrame, idx: Sequence[int]) -> DataFrame:
     """Only the features at the given positions, in that order."""
-    return df.withColumn("features", F.transform(F.array(*map(F.lit, idx)), lambda i: F.get("features", i)))
+    at = F.array(*map(F.lit, idx)) if idx else F.array().cast("array<int>")
+    return df.withColumn("features", let(F.col("features"), lambda f: F.transform(at, lambda i: F.get(f, i))))
 
 
 def keep(df: DataFrame, names: DataFrame, dropped: Sequence[int]) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +117,7 @@ def sparse(df: DataFrame, min_nonzero: int) -> tuple[DataFrame, list[int]]:
     few = [r["idx"] for r in feature_stats(df).filter(F.col("n_nonzero") < min_nonzero).select("idx").orderBy("idx").collect()]
     if not few:
         return df, []
-    used = F.exists(F.array(*map(F.lit, few)), lambda i: F.coalesce(F.get("features", i), F.lit(0.0)) != 0)
-    return df.filter(~used), few
+    return df.filter(~uses(few)), few
 
 
 def ill_conditioned(df: DataFrame, threshold: float, protected: Sequence[int] = ()) -> tuple[DataFrame, list[int]]:
@@ -124,9 +134,8 @@ def ill_conditioned(df: DataFrame, threshold: float, protected: Sequence[int] =
         if not bad:
             break
         gone += bad
-        used = F.exists(F.array(*map(F.lit, bad)), lambda i: F.coalesce(F.get("features", i), F.lit(0.0)) != 0)
         path = shared_dir(df.sparkSession)
-        df.filter(~used).write.parquet(path)
+        df.filter(~uses(bad)).write.parquet(path)
         df = df.sparkSession.read.schema(df.schema).parquet(path)
     return df, sorted(gone)
 

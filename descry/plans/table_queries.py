@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from descry.functions import scalars as S
 from descry.functions import units
-from descry.operators import columns, domain, knn, order, records, relational, split, stats
+from descry.operators import columns, domain, knn, models, order, records, relational, split, stats
 from descry.plans import stand_ins as own
 from descry.plans.queries import NEAR, SCALED, query, rounded
 from descry.plans.stand_ins import CLASS_SQL, PREDICTIONS_SQL, table
@@ -616,3 +616,38 @@ def errors_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = train.select("id", F.col("property").alias("exp"), F.lit(5.0).alias("pred"))
     out = domain.neighbour_statistics(knn.neighbours(columns.scale(train, st), columns.scale(test, st), 10), known)
     return rounded(out, 6, "MAE").select("id", "MAE", "n")
+
+
+# Models.
+
+
+@query("""select l_orderkey as id, count(*) as n, round(sum(l_extendedprice - s * l_quantity - i), 3) as residual from lineitem, (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from lineitem where l_orderkey % 5 <> 0) where l_orderkey % 5 = 0 and l_quantity is not null group by 1""")
+def linear_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").filter("l_quantity is not null").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("property"), F.array("l_quantity").alias("features"))
+    out = models.predict(models.fit(rows.filter("id % 5 <> 0"), "reg"), rows.filter("id % 5 = 0"))
+    return rounded(out.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exp") - F.col("pred")).alias("residual")), 3, "residual")
+
+
+@query("""select vec_id as id, case when vec_id % 7 = 0 then 'no descriptors' when vec_id % 11 = 0 then 'expected 64 descriptors, got 3' when vec_id % 13 = 0 then 'missing or infinite descriptor' else 'ok' end as status, vec_id % 7 <> 0 and vec_id % 11 <> 0 and vec_id % 13 <> 0 as predicted from embeddings where embedding is not null and vec_id % 5 = 0""")
+def batch_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with broken rows: each has an answer, with a prediction or with the reason for none."""
+    train, test = own.train_test(spark, sf_dir)
+    i, f = F.col("id"), F.col("features")
+    broken = F.when(i % 7 == 0, None).when(i % 11 == 0, F.slice(f, 1, 3)).when(i % 13 == 0, F.transform(f, lambda x, k: F.when(k > 0, x))).otherwise(f)
+    out = models.score_batch(models.fit(train, "reg"), test.withColumn("features", broken), 64)
+    return out.select("id", "status", F.col("pred").isNotNull().alias("predicted"))
+
+
+@query("""with r as (select l_orderkey as id, l_linenumber as line, l_quantity as a, l_discount as b from lineitem where l_quantity is not null and l_discount is not null),
+ g as (select sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb from r where id % 5 <> 0), v as (select id, (a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab) as h from r, g),
+ c as (select h as cutoff from (select h, row_number() over (order by h) - 1 as k, count(*) over () as n from v where id % 5 <> 0) where k = floor(n * 0.95)::bigint)
+ select id, count(*) as n, round(sum(h) * 1e6, 4) as total, count(*) filter (h <= cutoff) as n_inside from v, c where id % 5 = 0 group by id""")
+def leverage_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").filter("l_quantity is not null and l_discount is not null").select(F.col("l_orderkey").alias("id"), F.array("l_quantity", "l_discount").alias("features"))
+    out, _ = domain.leverage(rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0"), scaled=False)
+    return out.filter("set = 'test'").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value") * 1e6, 4).alias("total"), F.count_if("inside").alias("n_inside"))
+
+
+@query()
+def representative_hold_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.representative_split(own.instances(spark, sf_dir), 5, numTrees=10, maxDepth=5).select("id", "fold", "split_num")
