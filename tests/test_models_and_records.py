@@ -44,7 +44,9 @@ def test_reports(spark):
     flags = spark.createDataFrame([(1, True), (2, False)], "id int, inside boolean")
     out = {r["id"]: r for r in records.test_table(p, subs, {"knn": flags}).collect()}
     assert (out[1]["abs_error"], out[1]["AD_knn"], out[2]["abs_error"], out[2]["name"], out[3]["AD_knn"]) == (0.5, True, None, None, None)
-    assert sorted(r["id"] for r in records.external_table(p, subs, subs).collect()) == [2]
+    # 1 and 3 are training members, 2 lacks a prediction.
+    more = p.unionByName(spark.createDataFrame([(4, 1.0, 2.0)], "id int, exp double, pred double"))
+    assert sorted(r["id"] for r in records.external_table(more, subs, subs).collect()) == [4]
     row = p.filter("id = 1").select(records.prediction_report(F.col("id"), F.col("pred"), F.lit(None).cast("boolean"), F.array(F.lit(7)), "mg/L").alias("j")).first()
     assert json.loads(row["j"]) == {"query": 1, "value": 1.5, "unit": "mg/L", "domain": "Unknown", "neighbours": [7]}
     runs = spark.createDataFrame([("r", "rf")], "run_id string, method string")
