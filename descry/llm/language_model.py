@@ -6,7 +6,7 @@ frequent `vocabulary` of them: model and sums of models stay in memory). All oth
 too, are read and predicted as rare classes by frequency and hash: PIECES for each power of two of
 the count; within its class a word goes by its smoothed share of the counts, so that probabilities
 of all words add up to one (unseen words are one word in each piece of the lowest class). Outputs
-are in classes near the square root of their number. A minimal gated unit (one gate) reads the
+are in classes, fewer than the square root of their number, the frequent ones in small classes. A minimal gated unit (one gate) reads the
 words; its state is carried across windows to a document's end, in training as in scoring
 (gradients stop at window edges).
 
@@ -44,7 +44,9 @@ PIECES, CACHED = 16, 1024
 #: Blocks of the warm start; partial sums of the averaged models; tokens a task lays out at once.
 WARM_BLOCKS, SUMS, AT_ONCE = 1, 16, 4_000_000
 #: Lanes and rates of the warm start and of the pass over all; windows whose outputs are scored together.
-WARM_LANES, WARM_RATE, RATE, TOGETHER = 64, 0.1, 0.1, 4
+WARM_LANES, WARM_RATE, RATE, TOGETHER = 64, 0.1, 0.2, 4
+#: How many times longer the windows of the last lanes are; inputs of a softmax up to this have exponentials and sums in 32 bits.
+LONGER, SAFE = 4, 80.0
 END, RARE = 0, 1
 
 
@@ -52,22 +54,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def class_cuts(weight: np.ndarray) -> np.ndarray:
+    """Where the classes of outputs begin, and the end: equal sums of the weights' square roots.
+
+    So frequent outputs are in small classes, and a token costs few outputs of its class on average.
+    The classes are three quarters of the square root of the outputs' number; none is empty.
+    """
+    n = len(weight)
+    classes = (3 * math.isqrt(n - 1) + 4) // 4
+    upto, at = np.cumsum(np.sqrt(weight)), np.arange(classes)
+    first = np.searchsorted(upto, upto[-1] * at / classes)
+    first = np.minimum(np.maximum.accumulate(first - at) + at, n - classes + at)
+    return np.append(first, n)
+
+
 class GatedLM:
     """Outputs 0 (end of text), the rare classes from 1 on and then the spelled-out words, most frequent first."""
 
     def __init__(self, n_out: int, counts: np.ndarray | None = None, hidden: int = HIDDEN, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.n, self.h = n_out, hidden
-        self.each = math.isqrt(n_out - 1) + 1
-        self.classes = -(-n_out // self.each)
-        wide = self.classes * self.each
+        self.n, self.h, self.counts = n_out, hidden, counts
+        weight = np.ones(n_out) if counts is None else counts + 1.0
+        self.cuts = class_cuts(weight)
+        self.classes = len(self.cuts) - 1
+        self.class_of = np.repeat(np.arange(self.classes), np.diff(self.cuts))
         normal = lambda *s: rng.normal(0, 0.1, s).astype("f4")
-        self.p = {"x": normal(n_out, 2 * hidden), "f": normal(hidden, hidden), "c": normal(hidden, hidden), "bf": np.zeros(hidden, "f4"), "cls": normal(hidden, self.classes), "bc": np.zeros(self.classes, "f4"), "out": normal(self.classes, hidden, self.each), "bo": np.full((self.classes, self.each), -30, "f4")}
-        weight = np.zeros(wide)
-        weight[:n_out] = 1.0 if counts is None else counts + 1.0
-        by = weight.reshape(self.classes, self.each)
-        self.p["bo"].reshape(-1)[:n_out] = np.log(weight[:n_out] / np.repeat(by.sum(1), self.each)[:n_out])
-        self.p["bc"][:] = np.log(by.sum(1) / weight.sum())
+        self.p = {"x": normal(n_out, 2 * hidden), "f": normal(hidden, hidden), "c": normal(hidden, hidden), "bf": np.zeros(hidden, "f4"), "cls": normal(hidden, self.classes), "bc": np.zeros(self.classes, "f4"), "out": normal(n_out, hidden), "bo": np.zeros(n_out, "f4")}
+        by = np.add.reduceat(weight, self.cuts[:-1])
+        self.p["bo"][:] = np.log(weight / by[self.class_of])
+        self.p["bc"][:] = np.log(by / weight.sum())
         self.g2 = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
 
     def window(self, inp: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
@@ -103,50 +118,58 @@ class GatedLM:
         """Natural log-probability of each target; with grads also the gradient by hs of their sum's negative."""
         p = self.p
         # In order of the classes, so that a class's rows are one slice.
-        order = np.argsort(target // self.each, kind="stable")
+        order = np.argsort(self.class_of[target].astype(np.uint16), kind="stable")
         hs, target = hs[order], target[order]
-        cls, word = target // self.each, target % self.each
+        cls = self.class_of[target]
+        word = target - self.cuts[cls]
         logp, d_h = np.empty(len(target), hs.dtype), None if grads is None else np.empty_like(hs)
+        # Biases are the weights of one more state that is always one.
+        hs = np.concatenate([hs, np.ones((len(hs), 1), hs.dtype)], 1)
+        w_cls, w_out = np.concatenate([p["cls"], p["bc"][None]]), np.concatenate([p["out"], p["bo"][:, None]], 1)
+        most = max(1.0, float(np.abs(hs).max(initial=0))) * max(float(np.abs(w).sum(axis).max()) for w, axis in ((w_cls, 0), (w_out, 1)))
+        shift = most > SAFE
         if grads is not None:
-            grads["cls"], grads["bc"] = np.zeros_like(p["cls"]), np.zeros_like(p["bc"])
+            g_cls, g_out = np.zeros_like(w_cls), np.zeros_like(w_out)
+            grads |= {"cls": g_cls[:-1], "bc": g_cls[-1], "out": g_out[:, :-1], "bo": g_out[:, -1]}
         for a in range(0, len(target), CACHED):
             part = hs[a : a + CACHED]
             own, rows = cls[a : a + CACHED], np.arange(len(part))
-            z = self.spread(part, p["cls"], p["bc"], rows, own, logp[a : a + CACHED], grads is not None)
+            z = self.spread(part, w_cls, rows, own, logp[a : a + CACHED], grads is not None, shift)
             if grads is not None:
-                grads["cls"] += part.T @ z
-                grads["bc"] += z.sum(0)
+                g_cls += part.T @ z
                 np.matmul(z, p["cls"].T, out=d_h[a : a + CACHED])
         cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
-        inner, d_inner = np.zeros_like(logp), None if grads is None else np.zeros_like(hs)
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a == b:
+        inner, d_inner = np.zeros_like(logp), None if grads is None else np.zeros_like(d_h)
+        for a, b, i, j in zip(cuts[:-1], cuts[1:], self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
+            if a == b or j == i + 1:  # an output alone in its class is certain
                 continue
-            z = self.spread(hs[a:b], p["out"][k], p["bo"][k], np.arange(b - a), word[a:b], inner[a:b], grads is not None)
+            z = self.spread(hs[a:b], w_out[i:j].T, np.arange(b - a), word[a:b], inner[a:b], grads is not None, shift)
             if grads is not None:
-                np.matmul(hs[a:b].T, z, out=grads["out"][k])
-                z.sum(0, out=grads["bo"][k])
-                np.matmul(z, p["out"][k].T, out=d_inner[a:b])
+                np.matmul(z.T, hs[a:b], out=g_out[i:j])
+                np.matmul(z, p["out"][i:j], out=d_inner[a:b])
         out = np.empty_like(logp)
         out[order] = logp + inner
         if grads is None:
             return out, None
-        d = np.empty_like(hs)
+        d = np.empty_like(d_h)
         d[order] = d_h + d_inner
         return out, d
 
     @staticmethod
-    def spread(h, weight, bias, rows, target, logp, slope: bool):
-        """Writes the log-probability of each target among a softmax's outputs; with slope returns the gradient of the negative by its inputs."""
+    def spread(h, weight, rows, target, logp, slope: bool, shift: bool):
+        """Writes the log-probability of each target among a softmax's outputs; with slope returns the gradient of the negative by its inputs.
+
+        shift: inputs may be too large for their exponentials, so each row's largest is taken off first.
+        """
         z = h @ weight
-        z += bias
-        z -= z.max(1, keepdims=True)
+        if shift:
+            z -= z.max(1, keepdims=True)
         at = z[rows, target]
         np.exp(z, out=z)
-        total = z.sum(1)
+        total = z @ np.ones(z.shape[1], z.dtype)
         np.subtract(at, np.log(total), out=logp)
         if slope:
-            z /= total[:, None]
+            z *= np.reciprocal(total)[:, None]
             z[rows, target] -= 1
         return z
 
@@ -157,7 +180,7 @@ class GatedLM:
         """
         p, n = self.p, self.h
         hs, last, (f, c, prev) = self.window(inp, fresh, h, keep=True)
-        grads = {"out": np.zeros_like(p["out"]), "bo": np.zeros_like(p["bo"])}
+        grads: dict[str, np.ndarray] = {}
         d_out = np.zeros((*inp.shape, n), "f4")
         _, d_live = self.outputs(hs[live], target[live], grads)
         d_out[live] = d_live
@@ -208,20 +231,24 @@ def laid_out(sizes: np.ndarray, n_lanes: int, steps: int) -> Iterator[tuple[np.n
     """Windows over lanes of whole documents: (positions in the documents end to end, which are real), steps x lanes.
 
     A lane that has ended leaves the later windows; lanes are sorted by length, so the others stay where they are.
+    The fewer lanes are left, the more steps a window has (LONGER times at most), for about as many tokens.
     """
     first = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(len(sizes))
     rows = [np.concatenate([np.arange(first[d], first[d] + sizes[d]) for d in rng.permutation(lane)]) for lane in lanes(sizes, n_lanes)]
     rows.sort(key=len, reverse=True)
     length = np.array([len(r) for r in rows])
-    for t in range(0, int(length[0]), steps):
+    t = 0
+    while t < length[0]:
         active = int((length > t).sum())
-        at = np.zeros((active, steps), np.int64)
-        live = np.zeros((active, steps), bool)
+        n = min(steps * min(LONGER, len(rows) // active), int(length[0]) - t)
+        at = np.zeros((active, n), np.int64)
+        live = np.zeros((active, n), bool)
         for i, r in enumerate(rows[:active]):
-            part = r[t : t + steps]
+            part = r[t : t + n]
             at[i, : len(part)], live[i, : len(part)] = part, True
         yield at.T, live.T
+        t += n
 
 
 def inputs(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -430,11 +457,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     for r in read.select("learn", "payload").orderBy("block").limit(WARM_BLOCKS).toLocalIterator():
         train(start, *learned(bytes(r["payload"]), np.array(r["learn"], bool)), rate=WARM_RATE, n_lanes=WARM_LANES)
     model = mixed(read, start)
-    sent = spark.sparkContext.broadcast(pickle.dumps((n_out, model.p)))
+    sent = spark.sparkContext.broadcast(pickle.dumps((n_out, model.counts, model.p)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_out, p = pickle.loads(sent.value)
-        lm = GatedLM(n_out)
+        n_out, counts, p = pickle.loads(sent.value)
+        lm = GatedLM(n_out, counts)
         lm.p = p
         for group in grouped(batches):
             sizes = np.concatenate([s for _, s, _ in group])
@@ -485,11 +512,11 @@ def learned(payload: bytes, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(read: DataFrame, start: GatedLM) -> GatedLM:
     """Every partition trains `start` on its own blocks; the models are averaged by their tokens."""
-    sent = read.sparkSession.sparkContext.broadcast(pickle.dumps((start.n, start.p, start.g2)))
+    sent = read.sparkSession.sparkContext.broadcast(pickle.dumps((start.n, start.counts, start.p, start.g2)))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, p, g2 = pickle.loads(sent.value)
-        lm, seen = GatedLM(n), 0
+        n, counts, p, g2 = pickle.loads(sent.value)
+        lm, seen = GatedLM(n, counts), 0
         lm.p, lm.g2 = p, g2
         for group in grouped(batches):
             parts = [(t[np.repeat(m, s)], s[m]) for row, s, t in group if len(m := np.array(row["learn"].as_py(), bool))]
@@ -510,7 +537,7 @@ def mixed(read: DataFrame, start: GatedLM) -> GatedLM:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pickle.dumps({k: v / n for k, v in total.items()})], pa.binary())], names=["n", "model"])
 
     models = read.select("learn", "payload").mapInArrow(fit, "n long, model binary").repartition(SUMS)
-    out, n, total = GatedLM(start.n), 0, None
+    out, n, total = GatedLM(start.n, start.counts), 0, None
     for r in models.mapInArrow(add, "n long, model binary").toLocalIterator():
         p = pickle.loads(bytes(r["model"]))
         total = {k: r["n"] * v + (0 if total is None else total[k]) for k, v in p.items()}
