@@ -339,6 +339,16 @@ def test_training_helps_and_lanes_do_not_change_scores():
     assert np.allclose(after, language_model.log10_probs(lm, tokens, sizes, n_lanes=3), atol=1e-4)
 
 
+def test_classes_and_windows_hold_everything_once():
+    for weight in (np.ones(1), np.ones(2), np.r_[1e9, np.ones(40)], np.r_[np.ones(40), 1e9], 1e6 / np.arange(1, 3000)):
+        cuts = language_model.class_cuts(weight)
+        assert cuts[0] == 0 and cuts[-1] == len(weight) and (np.diff(cuts) > 0).all()
+    sizes = np.array([900, 40, 3, 1, 1, 77, 400])
+    windows = list(language_model.laid_out(sizes, 3, 4))
+    assert sorted(np.concatenate([at[live] for at, live in windows]).tolist()) == list(range(sizes.sum()))
+    assert {len(at) for at, _ in windows[:-1]} > {4} and max(len(at) for at, _ in windows) <= 4 * language_model.LONGER
+
+
 def test_quality_rules(docs, rows, none):
     out = quality_rules.judge(docs)
     assert pairs(out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == Counter((i, *brute.quality(t)) for i, t, _ in rows)
