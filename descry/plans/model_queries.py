@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.operators import models, records, relational, select, split, stats
+from descry.operators import models, overview, records, relational, select, split, stats
 from descry.plans import stand_ins as own
 from descry.plans.queries import query, rounded
 from descry.plans.stand_ins import PREDICTIONS_SQL, table
@@ -201,3 +201,16 @@ def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = lambda d: d.select("id", "model", (F.length("model") * 1000 + F.col("id")).alias("result"))
     scoring.answer_requests(stream, work, keys, f"{at}/cache", "id long, model string, result long", f"{at}/answers", f"{at}/place").awaitTermination()
     return spark.read.parquet(f"{at}/answers").groupBy("id", "model", "result").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and test instances on the two principal components of the training set."""
+    got = overview.projection(*own.train_test(spark, sf_dir))
+    return got.select("id", "is_test", *[F.round(F.col("components")[i], 6).alias(f"component_{i + 1}") for i in range(2)])
+
+
+@query()
+def row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances in groups of like ones."""
+    return overview.row_groups(own.instances(spark, sf_dir))
