@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes A-Z to a-z, all else kept.
@@ -73,6 +73,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def most_frequent(counts: DataFrame, word: str, count: str, most: int) -> list[Row]:
+    """The `most` rows of largest count (ties by word), in that order; counts should be a written table, as it is read twice.
+
+    A histogram first says which counts are large enough (by their eight leading bits, so it has some
+    thousand levels at any size); tasks then answer with rows of those only, not with `most` rows each.
+    """
+    shift = F.greatest(F.length(F.bin(count)) - 8, F.lit(0))
+    level = F.call_function("shiftleft", F.call_function("shiftright", F.col(count), shift), shift)
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
+    held, least = 0, 0
+    for r in levels:
+        held, least = held + r["n"], r["level"]
+        if held >= most:
+            break
+    return counts.filter(F.col(count) >= least).orderBy(F.desc(count), word).limit(most).collect()
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The column's UTF-8 bytes; null is empty."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from descry.llm._shared import most_frequent, written
+
 #: Fixed by the contract. `assign` ignores case in ASCII letters only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -74,8 +76,9 @@ def word_costs(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     """Guesses (log10) of the common passwords and of the words of docs, by rank."""
     prose = F.lower(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), f"(?i){CONTEXT.pattern}", " "))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).filter(f"length(w) between 2 and {LONGEST}")
-    ranked = words.groupBy("w").count().filter(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "w").limit(MOST_WORDS)
-    return {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys([*WORD_COST, *(r["w"] for r in ranked.collect())]))}
+    counts = written(words.groupBy("w").count().filter(F.col("count") >= LEAST_DOCS), "document-frequencies")
+    ranked = most_frequent(counts, "w", "count", MOST_WORDS)
+    return {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys([*WORD_COST, *(r["w"] for r in ranked)]))}
 
 
 def word_cost_of(value: str, low: str, plain: str, a: int, e: int, word_cost: dict[str, float]) -> float | None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from descry.llm import byte_bpe, components, decontaminate, language_id, language_model, licenses, line_dedup, quality_rules, secrets, simhash, token_counts
-from descry.llm._shared import pack, pack_words, unpack, unpack_words
+from descry.llm._shared import most_frequent, pack, pack_words, unpack, unpack_words
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +41,15 @@ def test_packing():
         assert unpack_words(pack_words(words)) == words
 
 
+@pytest.mark.parametrize("most", [1, 7, 300, 1000, 5000])
+def test_most_frequent_is_the_sorted_head(spark, most):
+    rng = random.Random(most)
+    own = [(f"w{i}", rng.choice([1, 2, 255, 256, 257, 1023, 1024, rng.randrange(1, 1 << 40)])) for i in range(3000)]
+    df = spark.createDataFrame(own, "w string, n long")
+    assert [tuple(r) for r in most_frequent(df, "w", "n", most)] == sorted(own, key=lambda x: (-x[1], x[0]))[:most]
+    assert most_frequent(df.filter("n < 0"), "w", "n", most) == []
+
+
 def test_secrets(docs, rows, none):
     out = secrets.scan(docs)
     assert pairs(out, "n_assign", "n_access", "n_hex", "base_sha256") == Counter((i, *brute.secrets(t)) for i, t, _ in rows)
