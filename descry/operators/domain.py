@@ -6,7 +6,8 @@ row (id, set, value, inside, ...), and the training value at its place in order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descry.operators import stats
-from descry.operators.columns import feature_stats, long_form, scale
+from descry.operators.columns import feature_stats, gather, long_form, scale
 from descry.operators.knn import neighbours
 from descry.operators.linalg import gram, leverages
 from descry.operators.order import split_value
@@ -76,10 +77,11 @@ def local_and_leverage(train: DataFrame, test: DataFrame) -> DataFrame:
     return joined.withColumn("strength", F.when(F.col("local") & F.col("lev"), "STRONG").when(F.col("local") | F.col("lev"), "MODERATE").otherwise("WEAK"))
 
 
-def density(train: DataFrame, test: DataFrame, h: float = 1.0, block_rows: int = 2048) -> tuple[DataFrame, float | None]:
+def density(train: DataFrame, test: DataFrame, h: float = 1.0, block_rows: int = 2048, compat: bool = False) -> tuple[DataFrame, float | None]:
     """Log of a Gaussian kernel density of the training rows; outside if at most that of the lowest 5 % of them.
 
     Training rows are dealt in blocks, each meets every row once, and partial log-sums are merged.
+    compat: the kernels stand at the training rows as they come, while the rows judged are scaled.
     """
     a, b = _both(train, test)
     n = a.count()
@@ -102,7 +104,7 @@ def density(train: DataFrame, test: DataFrame, h: float = 1.0, block_rows: int =
     # Rows go in blocks too, so that no group grows with the table.
     q_blocks = max(1, -(-rows.count() // block_rows))
     q = rows.select("id", "set", "features", F.pmod(F.xxhash64("id", "set"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("tb"))
-    t = a.select("features", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    t = (train.select("id", F.col("features").cast("array<double>").alias("features")) if compat else a).select("features", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
     parts = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInArrow(partial, "id long, set string, part double")
     logs = F.collect_list("part")
     top = F.array_max(logs)
@@ -150,19 +152,37 @@ def neighbour_statistics(near: DataFrame, known: DataFrame, binary: bool = False
     return stats.binary(values, "id").select("id", "n", "BA", "SN", "SP") if binary else stats.continuous(values, "id").select("id", "n", "MAE")
 
 
-MEASURES: dict[str, Callable[[DataFrame, DataFrame], tuple[DataFrame, float | None]]] = {
+def neighbours_listed(train: DataFrame, queries: DataFrame, k: int = 10, metrics: Sequence[str] = ("euclidean", "cosine")) -> DataFrame:
+    """(metric, id, rank, neighbour_id, distance, label): the k nearest training rows of each query by each metric, with their class; features scaled by the training rows."""
+    a, b = _both(train, queries)
+    near = reduce(DataFrame.unionByName, [neighbours(a, b, k, m).withColumn("metric", F.lit(m)) for m in metrics])
+    labels = train.select(F.col("id").alias("neighbour_id"), F.col("property").alias("label"))
+    return near.join(labels, "neighbour_id", "left").select("metric", "id", "rank", "neighbour_id", "distance", "label")
+
+
+Flags = tuple[DataFrame, float | None]
+#: Measures of the model's own features.
+MEASURES: dict[str, Callable[[DataFrame, DataFrame], Flags]] = {
     "knn_euclidean": knn_distance,
     "knn_cosine": lambda a, b: knn_distance(a, b, metric="cosine"),
     "local_similarity": local_similarity,
     "leverage": leverage,
     "density": density,
 }
-
-
-def evaluate(name: str, train: DataFrame, test: DataFrame) -> tuple[DataFrame, float | None]:
-    """A measure by its name."""
-    if name not in MEASURES:
-        raise ValueError(f"no such measure: {name}; there are {', '.join(MEASURES)}")
+#: Measures of all features, whatever the model uses.
+OF_ALL_FEATURES: dict[str, Callable[[DataFrame, DataFrame], Flags]] = {"knn_euclidean_all": knn_distance, "knn_cosine_all": MEASURES["knn_cosine"]}
+
+
+def evaluate(name: str, train: DataFrame, test: DataFrame, idx: Sequence[int] | None = None, names: DataFrame | None = None) -> Flags:
+    """A measure by its name. idx: positions of the model's features (none: all); names: (idx, name) of those, for fragment_counts."""
+    if name in OF_ALL_FEATURES:
+        return OF_ALL_FEATURES[name](train, test)
+    if name not in MEASURES and name != "fragment_counts":
+        raise ValueError(f"no such measure: {name}; there are {', '.join([*MEASURES, *OF_ALL_FEATURES, 'fragment_counts'])}")
+    if idx is not None:
+        train, test = gather(train, idx), gather(test, idx)
+    if name == "fragment_counts":
+        if names is None:
+            raise ValueError("fragment_counts needs the fragments' names")
+        return fragment_range(train, test, names), None
     return MEASURES[name](train, test)
-
-

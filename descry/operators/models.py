@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from descry.operators import order, split, stats
 from descry.operators.linalg import fold_grams, gram, with_target
+from descry.operators.robust import FourierFeatures, Robust, consensus, theil_sen
 
 SEED = 42
 _COLUMNS = {"featuresCol": "x", "labelCol": "property"}
@@ -29,6 +30,10 @@ ESTIMATORS: dict[str, tuple[Callable[..., Estimator] | None, Callable[..., Estim
     "hub": (lambda **p: LinearRegression(**_COLUMNS, **{"loss": "huber", "epsilon": 1.35, "regParam": 1e-4, **p}), None),
     "rf": (lambda **p: RandomForestRegressor(**_COLUMNS, **{"numTrees": 100, "maxDepth": 8, "seed": SEED, **p}), lambda **p: RandomForestClassifier(**_COLUMNS, **{"numTrees": 100, "maxDepth": 8, "seed": SEED, **p})),
     "gbt": (lambda **p: GBTRegressor(**_COLUMNS, **{"maxIter": 50, "maxDepth": 4, "seed": SEED, **p}), lambda **p: GBTClassifier(**_COLUMNS, **{"maxIter": 50, "maxDepth": 4, "seed": SEED, **p})),
+    "ransac": (lambda **p: Robust(consensus, **p), lambda **p: LogisticRegression(**_COLUMNS, **p)),
+    "theil_sen": (lambda **p: Robust(theil_sen, **p), lambda **p: LogisticRegression(**_COLUMNS, **p)),
+    # A Gaussian kernel by random features: ridge or logistic on them, in place of a support vector machine's losses.
+    "rbf": (lambda **p: LinearRegression(**_COLUMNS, **{"regParam": 1e-3, "standardization": False, **p}), lambda **p: LogisticRegression(**_COLUMNS, **{"regParam": 1e-3, "standardization": False, **p})),
 }
 #: Parameters that a search tries for each code, unless it is given others.
 GRIDS: dict[str, dict[str, Sequence]] = {
@@ -37,7 +42,12 @@ GRIDS: dict[str, dict[str, Sequence]] = {
     "hub": {"epsilon": [1.1, 1.35, 1.5], "regParam": [1e-4, 1e-2]},
     "rf": {"numTrees": [50, 100], "maxDepth": [5, 8]},
     "gbt": {"maxIter": [20, 50], "maxDepth": [3, 5]},
+    "ransac": {},
+    "theil_sen": {},
+    "rbf": {"regParam": [1e-2, 1e-3, 1e-4], "width": [0.5, 1.0, 2.0]},
 }
+#: Rows beyond which a kernel's grid is not searched: one combination is used.
+MOST_FOR_KERNEL_GRID = 20_000
 
 
 class PopulationScaler(Estimator):
@@ -81,6 +91,9 @@ def estimator(code: str, binary: bool = False, **params: object) -> Estimator:
     make = ESTIMATORS[code][1 if binary else 0]
     if make is None:
         raise ValueError(f"{code} fits no {'classes' if binary else 'numbers'}")
+    if code == "rbf":
+        lift = FourierFeatures(**{n: params.pop(n) for n in ("width", "size", "seed") if n in params})
+        return Pipeline(stages=[PopulationScaler(), lift, make(**params).setFeaturesCol("k")])
     if code not in SCALED:
         return make(**params)
     return Pipeline(stages=[PopulationScaler(), make(**params).setFeaturesCol("z")])
@@ -112,9 +125,11 @@ def fold_predictions(df: DataFrame, code: str, binary: bool = False, **params: o
 def grid_search(df: DataFrame, code: str, grid: dict[str, Sequence] | None = None, binary: bool = False) -> tuple[dict[str, object], list[tuple[dict[str, object], float]]]:
     """The best parameters by cross-validation over `fold`, and the mean score of each combination (RMSE, or balanced accuracy).
 
-    grid: that of GRIDS unless given. A single combination is returned without a fit.
+    grid: that of GRIDS unless given (for a kernel, up to MOST_FOR_KERNEL_GRID rows). A single combination is returned without a fit.
     """
     values = GRIDS[code] if grid is None else grid
+    if grid is None and code == "rbf" and df.limit(MOST_FOR_KERNEL_GRID + 1).count() > MOST_FOR_KERNEL_GRID:
+        return {}, []
     names = list(values)
     return search(df, code, [dict(zip(names, c, strict=True)) for c in product(*(values[n] for n in names))], binary)
 
@@ -130,8 +145,8 @@ def search(df: DataFrame, code: str, combos: list[dict[str, object]], binary: bo
     if len(combos) < 2:
         return (combos or [{}])[0], []
     own = estimator(code, binary)
-    stage = own.getStages()[-1] if isinstance(own, Pipeline) else own
-    maps = [{stage.getParam(n): v for n, v in c.items()} for c in combos]
+    stages = own.getStages() if isinstance(own, Pipeline) else [own]
+    maps = [{next(s for s in reversed(stages) if s.hasParam(n)).getParam(n): v for n, v in c.items()} for c in combos]
     judge = BalancedAccuracy() if binary else RegressionEvaluator(labelCol="property", metricName="rmse")
     folds = df.agg(F.max("fold")).first()[0] + 1
     cv = CrossValidator(estimator=own, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=4)
@@ -189,6 +204,16 @@ def score_batch(model: Model, rows: DataFrame, width: int, binary: bool = False)
     return good.unionByName(bad)
 
 
+def y_randomised(train: DataFrame, validation: DataFrame, code: str, seeds: Sequence[int] = (1, 2, 3), **params: object) -> DataFrame:
+    """(seed, set, r2): squared correlation on both sets of models fitted to permuted targets, a control that a sound model must beat by far."""
+    parts = []
+    for seed in seeds:
+        model = fit(split.shuffled_target(train.filter("property is not null"), seed), code, **params)
+        both = predict(model, train).withColumn("set", F.lit("training")).unionByName(predict(model, validation).withColumn("set", F.lit("validation")))
+        parts.append(both.groupBy("set").agg((F.corr("exp", "pred") ** 2).alias("r2")).withColumn("seed", F.lit(seed)))
+    return reduce(DataFrame.unionByName, parts).select("seed", "set", "r2")
+
+
 def models_compared(models: dict[str, Model], test: DataFrame, binary: bool = False) -> DataFrame:
     """One row of statistics on the same test rows for each model."""
     parts = [predict(m, test, binary).withColumn("model", F.lit(name)) for name, m in models.items()]

@@ -91,6 +91,25 @@ def performance(stats: Column, binary: bool) -> Column:
     return F.struct(*[F.struct(*[first(*names).alias(m) for m, names in block.items()]).alias(k) for k, block in rules.items()])
 
 
+#: Groups of a record table's headers. These names are fixed values: tables show them as they are.
+HEADER_GROUPS: dict[str, tuple[str, ...]] = {
+    "Identifiers": ("Exp Prop ID", "Canon QSAR SMILES"),
+    "Literature Source Metadata": ("Page URL", "Public Source Name", "Public Source URL", "Public Source Original Name", "Public Source Original URL", "Literature Source Citation", "Literature Source DOI"),
+    "Source Chemical Metadata": ("Source DTXRID", "Source DTXSID", "Source CASRN", "Source Chemical Name", "Source SMILES"),
+    "Mapped DSSTox Record Metadata": ("Mapped DTXCID", "Mapped DTXSID", "Mapped CAS", "Mapped Chemical Name", "Mapped SMILES", "Mapped Molweight"),
+    "Property Value Data": ("Value Original", "Value Max", "Value Min", "Value Point Estimate", "Value Units", "QSAR Property Value", "QSAR Property Units"),
+    "Experimental Details": ("Measurement Method", "Media", "Percentage Organic Carbon", "Percentage Organic Matter", "pH", "Soil Type", "Temperature", "Testing Conditions", "Notes", "Pressure", "Reliability"),
+    "Quality Control": ("QC Flag", "Flag Reason"),
+}
+
+
+def header_groups(table: DataFrame, details: Sequence[str] | None = None) -> DataFrame:
+    """(place, column, header_group) for each column of a record table; details: the experimental ones of this table, to which notes always belong."""
+    groups = HEADER_GROUPS if details is None else HEADER_GROUPS | {"Experimental Details": (*details, "Notes")}
+    of = {c: g for g, members in groups.items() for c in members}
+    return table.sparkSession.createDataFrame([(i, c, of.get(c, "Other")) for i, c in enumerate(table.columns)], "place int, column string, header_group string")
+
+
 def field_descriptions(descriptions: DataFrame, table: DataFrame) -> DataFrame:
     """Descriptions (name, description) of the columns that a table has, by name."""
     return descriptions.filter(F.col("name").isin(*table.columns)).orderBy("name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -19,6 +19,13 @@ from descry.operators.split import ranked
 
 SCORES = "features array<int>, mean double, std double, fitness double"
 Grams = dict[int, tuple[int, np.ndarray, np.ndarray]]
+#: Fitness of a subset from the mean and deviation of its folds' R2 and its length.
+Fitness = Callable[[float, float, int], float]
+
+
+def penalised(penalty: float) -> Fitness:
+    """mean - std - penalty * length."""
+    return lambda mean, std, length: mean - std - penalty * length
 
 
 def _fold_scores(grams: list[tuple[int, np.ndarray]], subset: Sequence[int]) -> np.ndarray:
@@ -39,10 +46,11 @@ def grams_of(df: DataFrame) -> Grams:
     return fold_grams(with_target(df.filter("property is not null")), "fold")
 
 
-def score_subsets(candidates: DataFrame, grams: Grams, penalty: float = 0.0) -> DataFrame:
+def score_subsets(candidates: DataFrame, grams: Grams, penalty: float | Fitness = 0.0) -> DataFrame:
     """candidates (features: array of positions) with the mean and deviation of their folds' R2 and
-    fitness = mean - std - penalty * length. The sums, sent to the tasks, have the size of the
+    fitness = mean - std - penalty * length, or a function of these three in place of the penalty. The sums, sent to the tasks, have the size of the
     features squared, whatever the number of rows."""
+    fit = penalty if callable(penalty) else penalised(penalty)
     sent = candidates.sparkSession.sparkContext.broadcast([(n, g) for _, (n, _, g) in sorted(grams.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,20 +58,20 @@ def score_subsets(candidates: DataFrame, grams: Grams, penalty: float = 0.0) ->
             subsets = batch.column(0).to_pylist()
             scores = [_fold_scores(sent.value, s) for s in subsets]
             mean, std = [float(s.mean()) for s in scores], [float(s.std()) for s in scores]
-            fitness = [m - d - penalty * len(s) for m, d, s in zip(mean, std, subsets, strict=True)]
+            fitness = [float(fit(m, d, len(s))) for m, d, s in zip(mean, std, subsets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, pa.float64()), pa.array(std, pa.float64()), pa.array(fitness, pa.float64())], names=["features", "mean", "std", "fitness"])
 
     return candidates.select(F.col("features").cast("array<int>").alias("features")).mapInArrow(run, SCORES)
 
 
-def _best(df: DataFrame, subsets: list[list[int]], grams: Grams, penalty: float) -> tuple[list[int], float] | None:
+def _best(df: DataFrame, subsets: list[list[int]], grams: Grams, penalty: float | Fitness) -> tuple[list[int], float] | None:
     spark = df.sparkSession
     rows = spark.createDataFrame([(s,) for s in subsets], "features array<int>").repartition(min(len(subsets), spark.sparkContext.defaultParallelism))
     best = score_subsets(rows, grams, penalty).filter(~F.isnan("fitness")).orderBy(F.desc("fitness"), F.to_json("features")).first()
     return None if best is None else (best["features"], best["fitness"])
 
 
-def forward(df: DataFrame, most: int, penalty: float = 0.002) -> list[int]:
+def forward(df: DataFrame, most: int, penalty: float | Fitness = 0.002) -> list[int]:
     """Greedy: adds the feature that lifts fitness most, until none does or `most` are in."""
     grams, chosen, fitness = grams_of(df), [], -np.inf
     p = len(next(iter(grams.values()))[1]) - 2 if grams else 0
@@ -75,7 +83,7 @@ def forward(df: DataFrame, most: int, penalty: float = 0.002) -> list[int]:
     return chosen
 
 
-def eliminate(df: DataFrame, start: Sequence[int], size: int, penalty: float = 0.002) -> list[int]:
+def eliminate(df: DataFrame, start: Sequence[int], size: int, penalty: float | Fitness = 0.002) -> list[int]:
     """Recursive elimination: drops the feature whose loss hurts fitness least, down to `size`."""
     grams, chosen = grams_of(df), list(start)
     while len(chosen) > max(size, 1):
@@ -86,7 +94,7 @@ def eliminate(df: DataFrame, start: Sequence[int], size: int, penalty: float = 0
     return chosen
 
 
-def evolve(df: DataFrame, generations: int = 20, population: int = 100, penalty: float = 0.002, seed: int = 42) -> list[int]:
+def evolve(df: DataFrame, generations: int = 20, population: int = 100, penalty: float | Fitness = 0.002, seed: int = 42) -> list[int]:
     """Evolutionary search: each generation is one scoring job; the better half stays, its pairs make the rest.
 
     The driver holds the population only, `population` subsets of positions.

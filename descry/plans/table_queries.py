@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from descry.functions import scalars as S
 from descry.functions import units
-from descry.operators import columns, domain, knn, models, order, records, relational, split, stats
+from descry.operators import columns, domain, knn, models, order, records, relational, robust, split, stats
 from descry.plans import stand_ins as own
 from descry.plans.queries import NEAR, SCALED, query, rounded
+from descry.plans.run import model_run
 from descry.plans.stand_ins import CLASS_SQL, PREDICTIONS_SQL, table
 from descry.sources import tables
 
@@ -618,9 +619,51 @@ def errors_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "MAE").select("id", "MAE", "n")
 
 
+def _listed(distance: str, metric: str) -> str:
+    near = NEAR.format(distance=distance, k=5).strip()
+    return f"""select '{metric}' as metric, r.id, r.rank, r.nid as neighbour_id, round(r.dist, 4) as distance, e.property as label from (with {near} select * from r) r join e on e.id = nid where r.id % 5 = 0"""
+
+
+@query(f"""with {SCALED.strip()} {_listed("list_distance(q.x, t.x)", "euclidean")} union all {_listed("list_cosine_distance(q.x, t.x)", "cosine")}""")
+def neighbours_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test rows as a list of queries, by two metrics."""
+    return rounded(domain.neighbours_listed(*own.train_test(spark, sf_dir), 5), 4, "distance")
+
+
+@query(f"""with {SCALED.strip()},
+ p as (select q.id, -(list_distance(q.x, t.x) * list_distance(q.x, t.x)) / 2 as e from z q, e t where t.id % 5 <> 0),
+ m as (select id, max(e) as m from p group by id),
+ v as (select id, any_value(m) + ln(sum(exp(e - m))) as value from p join m using (id) group by id),
+ c as (select value as cutoff from (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from v where id % 5 <> 0) where k = floor(n * 0.050000000000000044)::bigint)
+ select id, case when id % 5 = 0 then 'test' else 'train' end as set, round(value, 4) as value, value > cutoff as inside from v, c""")
+def ad_density_unscaled_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernels at the training rows as they come, scaled rows judged."""
+    return rounded(domain.density(*own.train_test(spark, sf_dir), compat=True)[0].select("id", "set", "value", "inside"), 4, "value")
+
+
 # Models.
 
 
+@query()
+def robust_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price by quantity and discount, fitted by consensus and by the median of fits of random rows."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("property"), F.array("l_quantity", "l_discount").alias("features"))
+    out = [(m, n, float(b)) for m, fit in (("consensus", robust.consensus), ("theil_sen", robust.theil_sen)) for n, b in zip(("intercept", "quantity", "discount"), fit(rows), strict=True)]
+    return spark.createDataFrame(out, "method string, name string, estimate double")
+
+
+@query()
+def permuted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.y_randomised(*own.train_test(spark, sf_dir), "reg"), 6, "r2")
+
+
+@query()
+def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a linear run on the embeddings; a sixth of the training rows stands in the external set too, and is left out there."""
+    train, test = own.train_test(spark, sf_dir)
+    return model_run(train.filter("id % 5 < 4"), test, train.filter("id % 5 = 4 or id % 6 = 0"))[1]
+
+
 @query("""select l_orderkey as id, count(*) as n, round(sum(l_extendedprice - s * l_quantity - i), 3) as residual from lineitem, (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from lineitem where l_orderkey % 5 <> 0) where l_orderkey % 5 = 0 and l_quantity is not null group by 1""")
 def linear_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").filter("l_quantity is not null").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("property"), F.array("l_quantity").alias("features"))
