@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from descry.llm._shared import LOWER_SPACE, pack, shuffle_partitions, unpack, unpack_words, written
+from descry.llm._shared import LOWER_SPACE, most_frequent, pack, shuffle_partitions, unpack, unpack_words, written
 from descry.llm.blocks import BLOCK_BYTES, blocks, places
 
 SMOOTH = 0.1
@@ -352,7 +352,7 @@ def gather(dealt: DataFrame, spark, vocabulary: int, least: int) -> Gathered:
     table = written(table, "word-counts")
     sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     each = table.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
-    top = [(bytes(r["words"]), r["counts"]) for r in each.orderBy(F.desc("counts"), "words").limit(vocabulary).collect()]
+    top = [(bytes(r["words"]), r["counts"]) for r in most_frequent(each, "words", "counts", vocabulary)]
     # Of all words by class; those of the spelled-out words are taken off.
     by_class = table.select(F.posexplode(F.arrays_zip("rare_n", "rare_v")).alias("k", "x")).groupBy("k").agg(F.sum("x.rare_n").alias("n"), F.sum("x.rare_v").alias("v")).collect()
     size = PIECES * -(-max([PIECES, *(r["k"] + 1 for r in by_class)]) // PIECES)
