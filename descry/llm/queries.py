@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.llm import byte_bpe, decontaminate, language_id, language_model, licenses, line_dedup, quality_rules, secrets, simhash, token_counts
+from descry.llm import byte_bpe, decontaminate, exact_search, language_id, language_model, licenses, line_dedup, quality_rules, secrets, simhash, spelling, token_counts, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op3_byte_bpe, op4_token_counts, op5_language_id, op6_decontaminate, op7_language_model, op8_quality_rules, op9_simhash, op10_line_dedup)}
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(embeddings(spark, sf_dir), k=20, every=20, factor=64)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), least=5, factor=5, every=199)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir), components=4, factor=256)
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op3_byte_bpe, op4_token_counts, op5_language_id, op6_decontaminate, op7_language_model, op8_quality_rules, op9_simhash, op10_line_dedup, op11_exact_search, op12_spelling, op13_whitening)}
 
 #: White space at both ends off, A-Z in lower case.
 _KEY = """translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
@@ -92,5 +108,11 @@ _DECONTAMINATE = f"""with d as (select row_number() over () as r, doc_id, {_WORD
  select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated from d left join h using (r) left join n using (r)"""
 
+#: The window keeps of each query the twenty highest scores; floor, products and sums are exact in both.
+_EXACT_SEARCH = """with v as (select vec_id, list_transform(embedding, lambda c: floor(64 * c::double)) as x from embeddings
+ where embedding is not null and not list_bool_or(list_transform(embedding, lambda c: c is null or not isfinite(c)))),
+ s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::bigint as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0)
+ select query_id, (row_number() over w)::int as rank, vec_id, score from s qualify row_number() over w <= 20 window w as (partition by query_id order by score desc, vec_id)"""
+
 #: The others need byte-pair merges, trained models, 64-bit hashes with a seed, or closures.
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": _LINE_DEDUP, "op6_decontaminate": _DECONTAMINATE, "op8_quality_rules": _quality_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": _LINE_DEDUP, "op6_decontaminate": _DECONTAMINATE, "op8_quality_rules": _quality_sql(), "op11_exact_search": _EXACT_SEARCH}
