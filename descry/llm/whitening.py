@@ -9,6 +9,7 @@ bidiagonal matrix is as wide as the vectors; its singular values are the deviati
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ from descry.llm._shared import written
 BLOCK_ROWS = 4096
 #: A direction whose share of the largest is below this is taken for none.
 NONE = 1e-12
-#: Digits after the point with which partial sums of at most one travel; decimals add up alike in any order.
-DIGITS = 30
+#: Sums of a few units travel as whole numbers of this negative power of two.
+BITS = 100
 
 
 def usable(vectors: DataFrame, vector_col: str) -> DataFrame:
@@ -88,18 +89,23 @@ class Rows:
         self.total = sum(self.n * q - s * s for q, s in zip(squares, self.sums, strict=True)) / self.n if self.n else 0.0
 
     def sum(self, of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
-        """The sum over all blocks of of(centred rows), `size` numbers whose sums are a few units at most; alike in any order of blocks."""
+        """The sum over all blocks of of(centred rows), `size` numbers whose sums are a few units at most.
+
+        A task sends one row for each number, a whole number of 2**-BITS, so sums are alike in any order of blocks and tasks.
+        """
         width, mean = self.width, self.mean
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [0] * size
             for b in batches:
                 for raw in b.column(0).to_pylist():
                     got = np.asarray(of(np.frombuffer(raw, "<i8").reshape(-1, width) - mean), "f8").ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(got)], names=["i", "v"])
+                    held = [a + int(v) for a, v in zip(held, np.ldexp(got, BITS).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(map(str, held), pa.string())], names=["i", "v"])
 
         out = np.zeros(size)
-        for r in self.blocks.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum(F.col("v").cast(f"decimal(38,{DIGITS})")).cast("double").alias("v")).collect():
-            out[r["i"]] = r["v"]
+        for r in self.blocks.mapInArrow(run, "i int, v string").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect():
+            out[r["i"]] = math.ldexp(int(r["v"]), -BITS)
         return out
 
 
