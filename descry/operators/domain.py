@@ -6,7 +6,7 @@ row (id, set, value, inside, ...), and the training value at its place in order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from descry.operators import stats
 from descry.operators.columns import feature_stats, gather, long_form, scale
-from descry.operators.knn import neighbours
-from descry.operators.linalg import gram, leverages
+from descry.operators.knn import SENT_BYTES, neighbours
+from descry.operators.linalg import complete_rows, gram, leverages
+from descry.operators.metric_index import build, written
 from descry.operators.order import split_value
 
 FRACTION = 0.95
+#: Share of a density that may be left to far blocks.
+IGNORED = 1e-12
 
 
 def _both(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,40 +80,85 @@ def local_and_leverage(train: DataFrame, test: DataFrame) -> DataFrame:
     return joined.withColumn("strength", F.when(F.col("local") & F.col("lev"), "STRONG").when(F.col("local") | F.col("lev"), "MODERATE").otherwise("WEAK"))
 
 
-def density(train: DataFrame, test: DataFrame, h: float = 1.0, block_rows: int = 2048, compat: bool = False) -> tuple[DataFrame, float | None]:
-    """Log of a Gaussian kernel density of the training rows; outside if at most that of the lowest 5 % of them.
-
-    Training rows are dealt in blocks, each meets every row once, and partial log-sums are merged.
-    compat: the kernels stand at the training rows as they come, while the rows judged are scaled.
+def _log_kernels(q: np.ndarray, t: np.ndarray, h: float, same: np.ndarray | None = None) -> np.ndarray:
+    """Log of the sum of Gaussian kernels at rows t, for each row q; same: pairs that are left out. Tiles are met in t's order, whatever comes along with a row."""
+    top, total = np.full(len(q), -np.inf), np.zeros(len(q))
+    for a in range(0, len(q), 64):
+        part = slice(a, a + 64)
+        for b in range(0, len(t), 2048):
+            diff = q[part, None, :] - t[None, b : b + 2048, :]
+            e = -np.einsum("abc,abc->ab", diff, diff) / (2 * h * h)
+            if same is not None:
+                e[same[part, b : b + 2048]] = -np.inf
+            most = np.maximum(top[part], e.max(1))
+            safe = np.where(np.isfinite(most), most, 0.0)
+            total[part] = total[part] * np.exp(top[part] - safe) + np.exp(e - safe[:, None]).sum(1)
+            top[part] = most
+    with np.errstate(divide="ignore"):
+        return np.where(total > 0, np.where(np.isfinite(top), top, 0.0) + np.log(total), -np.inf)
+
+
+def density(train: DataFrame, test: DataFrame, h: float = 1.0, block_rows: int = 1 << 14, compat: bool = False, leave_out: bool = False, sent_bytes: int = SENT_BYTES) -> tuple[DataFrame, float | None]:
+    """Log of a Gaussian kernel density of the training rows; inside if over that of the lowest 5 % of them.
+
+    Values are compared to nine digits, so that rows which equal the cutoff but for rounding are
+    outside, as the cutoff's own row is. leave_out: a training row's own kernel is no part of its
+    value, which it rules wherever rows lie far apart. compat: the kernels stand at the training rows
+    as they come, while the rows judged are scaled.
+
+    Rows that are not whole have no value. Training rows up to sent_bytes (measured) go to every
+    task. More are met through an index; blocks whose kernels together are below IGNORED of the sum
+    that nearer ones have for certain are skipped, an error of at most that in the logarithm. A row's
+    partial sums are added in the order of their blocks, so a run repeats to the last bit.
     """
     a, b = _both(train, test)
-    n = a.count()
-    blocks = max(1, -(-n // block_rows))
-
-    def partial(q: pa.Table, t: pa.Table) -> pa.Table:
-        m = lambda x: x.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1)
-        if not q.num_rows or not t.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.float64())], names=["id", "set", "part"])
-        x, y = m(q), m(t)
-        out = []
-        for i in range(0, len(x), 64):
-            diff = x[i : i + 64, None, :] - y[None, :, :]
-            e = -np.einsum("abc,abc->ab", diff, diff) / (2 * h * h)
-            top = e.max(1)
-            out.append(top + np.log(np.exp(e - top[:, None]).sum(1)))
-        return pa.table([q.column("id"), q.column("set"), pa.array(np.concatenate(out))], names=["id", "set", "part"])
-
+    kernels = train.select("id", F.col("features").cast("array<double>").alias("features")) if compat else a
     rows = b.select("id", F.lit("test").alias("set"), "features").unionByName(a.select("id", F.lit("train").alias("set"), "features"))
-    # Rows go in blocks too, so that no group grows with the table.
-    q_blocks = max(1, -(-rows.count() // block_rows))
-    q = rows.select("id", "set", "features", F.pmod(F.xxhash64("id", "set"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("tb"))
-    t = (train.select("id", F.col("features").cast("array<double>").alias("features")) if compat else a).select("features", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-    parts = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInArrow(partial, "id long, set string, part double")
-    logs = F.collect_list("part")
-    top = F.array_max(logs)
-    value = parts.groupBy("id", "set").agg(logs.alias("l"), top.alias("m")).select("id", "set", (F.col("m") + F.log(F.aggregate(F.transform("l", lambda x: F.exp(x - F.col("m"))), F.lit(0.0), lambda s, x: s + x))).alias("value"))
+    own = lambda q_id, sets, t_id: (q_id[:, None] == t_id) & (np.array(sets.to_pylist()) == "train")[:, None] if leave_out else None
+    parts = "id long, set string, block long, part double"
+    size = kernels.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("p")).first()
+    if size["n"] * (size["p"] + 1) * 8 <= sent_bytes:
+        sent_rows = kernels.select("id", "features").orderBy("id").toArrow()
+        kept, x = complete_rows(sent_rows.column("features"))
+        sent = train.sparkSession.sparkContext.broadcast((sent_rows.column("id").to_numpy()[kept], x))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t_id, t = sent.value
+            for batch in batches:
+                at, q = complete_rows(batch.column(2))
+                if len(at) and len(t_id):
+                    q_id, sets = batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([q_id, sets, pa.array(np.zeros(len(at), np.int64)), pa.array(_log_kernels(q, t, h, own(q_id.to_numpy(), sets, t_id)))], names=["id", "set", "block", "part"])
+
+        found = rows.mapInArrow(run, parts)
+    elif (index := build(kernels, block_rows)) is None:
+        found = train.sparkSession.createDataFrame([], parts)
+    else:
+        weight = np.log(index.count)
+
+        def choose(x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            low, high = index.bounds(x)
+            most, least = weight - low**2 / (2 * h * h), weight - high**2 / (2 * h * h)
+            top = least.max(1, keepdims=True)
+            certain = top + np.log(np.exp(least - top).sum(1, keepdims=True))
+            by = np.argsort(most, axis=1)
+            share = np.cumsum(np.exp(np.minimum(np.take_along_axis(most, by, 1) - certain, 700)), axis=1)
+            skipped = np.zeros(low.shape, bool)
+            # A row left out might be all that is certain, so then only what has no weight at all is skipped.
+            np.put_along_axis(skipped, by, share <= (0.0 if leave_out else IGNORED), 1)
+            return np.nonzero(~skipped)
+
+        def work(block: int, t_id: np.ndarray, t: np.ndarray, q_id: np.ndarray, sets: pa.Array, q: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(q_id), sets, pa.array(np.full(len(q_id), block)), pa.array(_log_kernels(q, t, h, own(q_id, sets, t_id)))], names=["id", "set", "block", "part"])
+
+        found = index.meet(index.sent(rows.select("id", F.col("set").alias("tag"), "features", F.lit(None).cast("double").alias("reach")), choose), parts, work)
+    each = found.groupBy("id", "set").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("l"))
+    top = F.array_max(F.transform("l", lambda p: p["part"]))
+    summed = F.aggregate("l", F.lit(0.0), lambda s, p: s + F.exp(p["part"] - F.col("top")))
+    value = written(each.withColumn("top", top).select("id", "set", F.when(F.col("top") == float("-inf"), F.col("top")).otherwise(F.col("top") + F.log(summed)).alias("value")))
     cutoff = split_value(value.filter("set = 'train'"), "value", 1 - FRACTION)
-    return value.withColumn("inside", F.col("value") > cutoff), cutoff
+    limit = F.lit(cutoff).cast("double")
+    return value.withColumn("inside", (F.round("value", 9) > F.round(limit, 9)) if cutoff not in (None, float("-inf")) else F.col("value") > limit), cutoff
 
 
 def fragment_range(train: DataFrame, test: DataFrame, names: DataFrame) -> DataFrame:
@@ -131,21 +179,6 @@ def marked_fragments(table: Column, in_model: Column) -> Column:
     return F.transform(table, lambda f: F.concat(f["fragment"], F.when(out(f), "*").otherwise(""), F.when(~F.array_contains(in_model, f["fragment"]), "**").otherwise("")))
 
 
-def similar_records(queries: DataFrame, records: DataFrame, at_least: int, thresholds: list[float] | None = None) -> DataFrame:
-    """(query_id, threshold, n, hits): exact Jaccard of word sets, at the highest threshold with at_least hits, else the lowest.
-
-    Pairs come from shared words counted by one join of (word, id) rows, so only pairs with a word in common are made.
-    """
-    steps = thresholds or [round(0.95 - 0.02 * i, 2) for i in range(48)]
-    words = lambda d, key: d.select(F.col("id").alias(key), F.size("words").alias(f"n_{key}"), F.explode("words").alias("word"))
-    pairs = words(queries, "q").join(words(records, "r"), "word").groupBy("q", "r").agg(F.count(F.lit(1)).alias("both"), F.first("n_q").alias("n_q"), F.first("n_r").alias("n_r"))
-    scored = pairs.withColumn("sim", F.col("both") / (F.col("n_q") + F.col("n_r") - F.col("both"))).filter(F.col("sim") >= steps[-1])
-    hits = scored.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("minus"), F.col("r")))).alias("h"))
-    enough = F.element_at(F.filter(F.array(*map(F.lit, steps)), lambda t: (F.size(F.filter("h", lambda x: -x["minus"] >= t)) >= at_least) | (t == steps[-1])), 1)
-    chosen = hits.withColumn("threshold", enough).withColumn("h", F.filter("h", lambda x: -x["minus"] >= F.col("threshold")))
-    return chosen.select(F.col("q").alias("query_id"), "threshold", F.size("h").alias("n"), F.transform("h", lambda x: x["r"]).alias("hits"))
-
-
 def neighbour_statistics(near: DataFrame, known: DataFrame, binary: bool = False) -> DataFrame:
     """Statistics by query row of its neighbours' values: MAE, or BA, SN and SP of classes. known: (id, exp, pred)."""
     values = near.join(known.select(F.col("id").alias("neighbour_id"), "exp", "pred"), "neighbour_id")

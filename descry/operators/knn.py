@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from descry.operators import metric_index
+from descry.operators.linalg import complete_rows
 from descry.operators.order import top_k
 
 #: Bytes of training rows up to which they are sent to every task.
 SENT_BYTES = 64 << 20
-BLOCK_ROWS = 4096
+#: Training rows of a block beyond that.
+BLOCK_ROWS = 1 << 16
+NEAR = "id long, neighbour_id long, distance double"
 
 
 #: Distances held at once in a task.
@@ -28,7 +32,7 @@ def _distances(q: np.ndarray, t: np.ndarray, cosine: bool) -> np.ndarray:
     return np.sqrt(np.einsum("abc,abc->ab", diff, diff))
 
 
-def _nearest(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, training row, distance) of the k nearest, ties by id, a row never its own neighbour.
 
     Training rows are sorted by id. They are met in tiles that shrink with the width, and only the
@@ -54,55 +58,53 @@ def _nearest(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _matrix(col: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
-    flat = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return flat.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(n, -1)
-
-
 def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclidean", sent_bytes: int = SENT_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, neighbour_id, distance, rank) of the k nearest training rows of each query row, itself excluded by id.
 
-    Both need (id long, features array<double>) without nulls. Training rows up to sent_bytes
-    (measured) go to every task; more are dealt in blocks, met by blocks of queries, and the k best
-    of each pair of blocks are merged.
+    Both need (id long, features array<double>). Rows without features, or with one that is missing
+    or not finite, are no neighbours and have none. Training rows up to sent_bytes (measured) go to
+    every task; more are met through an index of pivots and rings, which skips the blocks that are
+    too far to matter.
     """
     cosine = metric == "cosine"
-    schema = "id long, neighbour_id long, distance double"
     size = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("p")).first()
-    if size["n"] * (size["p"] + 1) * 8 <= sent_bytes:
-        rows = train.select("id", "features").orderBy("id").collect()
-        t_id = np.array([r["id"] for r in rows], np.int64)
-        sent = train.sparkSession.sparkContext.broadcast((t_id, np.array([r["features"] for r in rows], "f8").reshape(len(rows), -1)))
+    if size["n"] * (size["p"] + 1) * 8 > sent_bytes:
+        near = indexed(train, query, k, cosine, block_rows)
+    else:
+        rows = train.select("id", "features").orderBy("id").toArrow()
+        kept, x = complete_rows(rows.column("features"))
+        sent = train.sparkSession.sparkContext.broadcast((rows.column("id").to_numpy()[kept], x))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t_id, t = sent.value
             for b in batches:
-                if b.num_rows and len(t_id):
-                    q_id = b.column(0).to_numpy(zero_copy_only=False)
-                    r, c, d = _nearest(q_id, _matrix(b.column(1), b.num_rows), t_id, t, k, cosine)
+                own, x = complete_rows(b.column(1))
+                if len(own) and len(t_id):
+                    q_id = b.column(0).to_numpy(zero_copy_only=False)[own]
+                    r, c, d = nearest(q_id, x, t_id, t, k, cosine)
                     yield pa.RecordBatch.from_arrays([pa.array(q_id[r]), pa.array(t_id[c]), pa.array(d)], names=["id", "neighbour_id", "distance"])
 
-        near = query.select("id", "features").mapInArrow(run, schema)
-    else:
-        blocks = -(-size["n"] // block_rows)
-        q_blocks = -(-query.count() // block_rows)
-        dealt = lambda d, n: F.pmod(F.xxhash64("id"), F.lit(n))
-        t_rows = train.select(dealt(train, blocks).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.col("id").alias("t_id"), F.col("features").alias("t_features"))
-        q_rows = query.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("tb"), dealt(query, q_blocks).alias("qb"), "id", "features")
-
-        def pair(q: pa.Table, t: pa.Table) -> pa.Table:
-            if not q.num_rows or not t.num_rows:
-                return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", "neighbour_id", "distance"])
-            q_id, t_id = q.column("id").to_numpy(), t.column("t_id").to_numpy()
-            by = np.argsort(t_id, kind="stable")
-            t_id, t_rows = t_id[by], _matrix(t.column("t_features"), t.num_rows)[by]
-            r, c, d = _nearest(q_id, _matrix(q.column("features"), q.num_rows), t_id, t_rows, k, cosine)
-            return pa.table([pa.array(q_id[r]), pa.array(t_id[c]), pa.array(d)], names=["id", "neighbour_id", "distance"])
-
-        near = q_rows.groupBy("tb", "qb").cogroup(t_rows.groupBy("tb", "qb")).applyInArrow(pair, schema)
+        near = query.select("id", "features").mapInArrow(run, NEAR)
     return top_k(near, "id", k, F.round("distance", 9), F.col("neighbour_id"))
 
 
+def indexed(train: DataFrame, query: DataFrame, k: int, cosine: bool, block_rows: int) -> DataFrame:
+    """(id, neighbour_id, distance) of candidates that hold the k nearest: each query first meets the block it is in, and then those that its k-th distance there does not rule out."""
+    index = metric_index.build(train, block_rows, cosine)
+    if index is None:
+        return query.sparkSession.createDataFrame([], NEAR)
+
+    def work(block: int, t_id: np.ndarray, t: np.ndarray, q_id: np.ndarray, tag: pa.Array, q: np.ndarray) -> pa.RecordBatch:
+        r, c, d = nearest(q_id, q, t_id, t, k, cosine)
+        return pa.RecordBatch.from_arrays([pa.array(q_id[r]), pa.array(t_id[c]), pa.array(d)], names=["id", "neighbour_id", "distance"])
+
+    rows = metric_index.points(query, cosine, is_query=True).withColumn("reach", F.lit(None).cast("double"))
+    first = metric_index.written(index.meet(index.asked(rows, k, at_home=True), NEAR, work))
+    reached = first.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("reach"))
+    more = index.asked(rows.drop("reach").join(reached, "id", "left"), k, at_home=False)
+    return first.unionByName(index.meet(more, NEAR, work))
+
+
 def knn_predict(train: DataFrame, query: DataFrame, k: int = 5) -> DataFrame:
     """(id, pred): mean target of the k nearest, weighted by 1/distance; rows at distance 0 take all the weight."""
     near = neighbours(train, query, k).join(train.select(F.col("id").alias("neighbour_id"), "property"), "neighbour_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from descry.functions import scalars as S
 from descry.functions import units
-from descry.operators import columns, domain, knn, order, relational, split, stats
+from descry.operators import columns, domain, knn, linalg, order, relational, set_similarity, split, stats
 from descry.plans import stand_ins as own
 from descry.plans.stand_ins import CLASS_SQL, PREDICTIONS_SQL, table
 
@@ -70,16 +70,54 @@ def ad_local_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(domain.local_similarity(*own.train_test(spark, sf_dir))[0].select("id", "set", "value", "inside"), 6, "value")
 
 
-@query(f"""with {SCALED.strip()},
- p as (select q.id, -(list_distance(q.x, t.x) * list_distance(q.x, t.x)) / 2 as e from z q, z t where t.id % 5 <> 0),
+def _density_sql(kernels: str = "z", pairs: str = "true") -> str:
+    """Values are compared to nine digits: what equals the cutoff but for rounding is outside."""
+    return f"""with {SCALED.strip()},
+ p as (select q.id, -(list_distance(q.x, t.x) * list_distance(q.x, t.x)) / 2 as e from z q, {kernels} t where t.id % 5 <> 0 and {pairs}),
  m as (select id, max(e) as m from p group by id),
  v as (select id, any_value(m) + ln(sum(exp(e - m))) as value from p join m using (id) group by id),
  c as (select value as cutoff from (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from v where id % 5 <> 0) where k = floor(n * 0.050000000000000044)::bigint)
- select id, case when id % 5 = 0 then 'test' else 'train' end as set, round(value, 4) as value, value > cutoff as inside from v, c""")
+ select id, case when id % 5 = 0 then 'test' else 'train' end as set, round(value, 4) as value, round(value, 9) > round(cutoff, 9) as inside from v, c"""
+
+
+@query(_density_sql())
 def ad_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(domain.density(*own.train_test(spark, sf_dir))[0].select("id", "set", "value", "inside"), 4, "value")
 
 
+@query(_density_sql(pairs="q.id <> t.id"))
+def ad_density_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training row's own kernel is no part of its value."""
+    return rounded(domain.density(*own.train_test(spark, sf_dir), leave_out=True)[0].select("id", "set", "value", "inside"), 4, "value")
+
+
+@query(_density_sql())
+def ad_density_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernels met through the index instead of sent."""
+    return rounded(domain.density(*own.train_test(spark, sf_dir), sent_bytes=0)[0].select("id", "set", "value", "inside"), 4, "value")
+
+
+@query(f"""with {SCALED.strip()}, {NEAR.format(distance="list_distance(q.x, t.x)", k=3).strip()} select id, nid as neighbour_id, cast(rank as int) as rank, round(dist, 4) as distance from r""")
+def neighbours_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows' nearest training rows, met through the index instead of sent."""
+    train, test = own.train_test(spark, sf_dir)
+    st = columns.feature_stats(train)
+    return rounded(knn.neighbours(columns.scale(train, st), columns.scale(train.unionByName(test), st), 3, sent_bytes=0), 4, "distance").select("id", "neighbour_id", "rank", "distance")
+
+
+@query("""with r as (select vec_id % 3 as fold, list_transform(embedding::double[], lambda c, i: case when vec_id % 7 <> 0 or i <> vec_id % 64 + 1 then c end) as x from embeddings where embedding is not null and vec_id % 11 <> 0),
+ w as (select fold, x from r where not list_bool_or(list_transform(x, lambda c: c is null))),
+ l as (select fold, i, x[i] as a, x[1] as b from w, unnest(range(1, len(x) + 1)) t(i))
+ select cast(fold as int) as fold, cast(i - 1 as int) as idx, count(*) as n, round(sum(a), 6) as total, round(sum(a * b), 6) as with_first from l group by fold, i""")
+def sums_of_whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of products by fold where a seventh of the rows lacks a feature, another each, and an eleventh all."""
+    i = F.col("id")
+    gaps = F.when(i % 11 != 0, F.transform("features", lambda x, k: F.when((i % 7 != 0) | (k != i % 64), x)))
+    got = linalg.fold_grams(own.instances(spark, sf_dir).select("id", (i % 3).alias("fold"), gaps.alias("features")), "fold")
+    rows = [(k, j, n, float(s[j]), float(g[j, 0])) for k, (n, s, g) in got.items() for j in range(len(s))]
+    return rounded(spark.createDataFrame(rows, "fold int, idx int, n long, total double, with_first double"), 6, "total", "with_first")
+
+
 @query()
 def ad_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(domain.leverage(*own.train_test(spark, sf_dir))[0].select("id", "set", "value", "inside"), 6, "value")
@@ -346,4 +384,4 @@ def similar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""))
     docs = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), words.alias("words"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words.alias("words"))
-    return domain.similar_records(docs, items, 5).select("query_id", F.round("threshold", 3).alias("threshold"), "n")
+    return set_similarity.similar_records(docs, items, 5).select("query_id", F.round("threshold", 3).alias("threshold"), "n")

@@ -9,7 +9,7 @@ from descry.functions import scalars as S
 from descry.functions import units
 from descry.operators import columns, domain, knn, models, order, records, relational, robust, split, stats
 from descry.plans import stand_ins as own
-from descry.plans.queries import NEAR, SCALED, query, rounded
+from descry.plans.queries import NEAR, SCALED, _density_sql, query, rounded
 from descry.plans.run import model_run
 from descry.plans.stand_ins import CLASS_SQL, PREDICTIONS_SQL, table
 from descry.sources import tables
@@ -630,12 +630,7 @@ def neighbours_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(domain.neighbours_listed(*own.train_test(spark, sf_dir), 5), 4, "distance")
 
 
-@query(f"""with {SCALED.strip()},
- p as (select q.id, -(list_distance(q.x, t.x) * list_distance(q.x, t.x)) / 2 as e from z q, e t where t.id % 5 <> 0),
- m as (select id, max(e) as m from p group by id),
- v as (select id, any_value(m) + ln(sum(exp(e - m))) as value from p join m using (id) group by id),
- c as (select value as cutoff from (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from v where id % 5 <> 0) where k = floor(n * 0.050000000000000044)::bigint)
- select id, case when id % 5 = 0 then 'test' else 'train' end as set, round(value, 4) as value, value > cutoff as inside from v, c""")
+@query(_density_sql(kernels="e"))
 def ad_density_unscaled_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernels at the training rows as they come, scaled rows judged."""
     return rounded(domain.density(*own.train_test(spark, sf_dir), compat=True)[0].select("id", "set", "value", "inside"), 4, "value")
