@@ -32,7 +32,7 @@ def _distances(q: np.ndarray, t: np.ndarray, cosine: bool) -> np.ndarray:
     return np.sqrt(np.einsum("abc,abc->ab", diff, diff))
 
 
-def nearest(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nearest(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, training row, distance) of the k nearest, ties by id, a row never its own neighbour.
 
     Training rows are sorted by id. They are met in tiles that shrink with the width, and only the
@@ -81,7 +81,7 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclid
                 own, x = complete_rows(b.column(1))
                 if len(own) and len(t_id):
                     q_id = b.column(0).to_numpy(zero_copy_only=False)[own]
-                    r, c, d = nearest(q_id, x, t_id, t, k, cosine)
+                    r, c, d = _nearest(q_id, x, t_id, t, k, cosine)
                     yield pa.RecordBatch.from_arrays([pa.array(q_id[r]), pa.array(t_id[c]), pa.array(d)], names=["id", "neighbour_id", "distance"])
 
         near = query.select("id", "features").mapInArrow(run, NEAR)
@@ -95,7 +95,7 @@ def indexed(train: DataFrame, query: DataFrame, k: int, cosine: bool, block_rows
         return query.sparkSession.createDataFrame([], NEAR)
 
     def work(block: int, t_id: np.ndarray, t: np.ndarray, q_id: np.ndarray, tag: pa.Array, q: np.ndarray) -> pa.RecordBatch:
-        r, c, d = nearest(q_id, q, t_id, t, k, cosine)
+        r, c, d = _nearest(q_id, q, t_id, t, k, cosine)
         return pa.RecordBatch.from_arrays([pa.array(q_id[r]), pa.array(t_id[c]), pa.array(d)], names=["id", "neighbour_id", "distance"])
 
     rows = metric_index.points(query, cosine, is_query=True).withColumn("reach", F.lit(None).cast("double"))

@@ -69,6 +69,15 @@ def with_target(df: DataFrame, intercept: bool = True) -> DataFrame:
     return df.withColumn("features", F.concat(*parts))
 
 
+#: By fold: count, sums and sums of products.
+Grams = dict[int, tuple[int, np.ndarray, np.ndarray]]
+
+
+def grams_of(df: DataFrame) -> Grams:
+    """Each fold's sums of products of [1, x, y], from rows (property, features, fold)."""
+    return fold_grams(with_target(df.filter("property is not null")), "fold")
+
+
 def leverages(df: DataFrame, inverse: np.ndarray) -> DataFrame:
     """(id, leverage) with leverage = x' (X'X)^-1 x of each whole row; the small matrix is sent and multiplied in Arrow batches."""
     sent = df.sparkSession.sparkContext.broadcast(inverse)

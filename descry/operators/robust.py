@@ -146,15 +146,17 @@ class FourierFeatures(Transformer):
         self.size, self.seed = size, seed
         self._set(width=width)
 
+    @staticmethod
+    def lifted(x: np.ndarray, size: int, seed: int, width: float) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        w = rng.normal(0, np.sqrt(2 * width / x.shape[1]), (x.shape[1], size))
+        return np.sqrt(2 / size) * np.cos(x @ w + rng.uniform(0, 2 * np.pi, size))
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         size, seed, width = self.size, self.seed, self.getOrDefault(self.width)
 
         @F.pandas_udf("array<double>")
         def lift(z: pd.Series) -> pd.Series:
-            if not len(z):
-                return z
-            x, rng = np.stack(z.to_list()), np.random.default_rng(seed)
-            w = rng.normal(0, np.sqrt(2 * width / x.shape[1]), (x.shape[1], size))
-            return pd.Series(list(np.sqrt(2 / size) * np.cos(x @ w + rng.uniform(0, 2 * np.pi, size))))
+            return pd.Series(list(FourierFeatures.lifted(np.stack(z.to_list()), size, seed, width))) if len(z) else z
 
         return dataset.withColumn("k", array_to_vector(lift(vector_to_array("z"))))

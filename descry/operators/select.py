@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from descry.operators import models
 from descry.operators.columns import gather
-from descry.operators.linalg import fold_grams, with_target
-from descry.operators.split import ranked
+from descry.operators.importance import permutation_importance
+from descry.operators.linalg import Grams, grams_of
+from descry.operators.stepwise import eliminated, stepwise
 
 SCORES = "features array<int>, mean double, std double, fitness double"
-Grams = dict[int, tuple[int, np.ndarray, np.ndarray]]
 #: Fitness of a subset from the mean and deviation of its folds' R2 and its length.
 Fitness = Callable[[float, float, int], float]
 
@@ -41,11 +42,6 @@ def _fold_scores(grams: list[tuple[int, np.ndarray]], subset: Sequence[int]) ->
     return np.array(out)
 
 
-def grams_of(df: DataFrame) -> Grams:
-    """Each fold's sums of products of [1, x, y], from rows (property, features, fold)."""
-    return fold_grams(with_target(df.filter("property is not null")), "fold")
-
-
 def score_subsets(candidates: DataFrame, grams: Grams, penalty: float | Fitness = 0.0) -> DataFrame:
     """candidates (features: array of positions) with the mean and deviation of their folds' R2 and
     fitness = mean - std - penalty * length, or a function of these three in place of the penalty. The sums, sent to the tasks, have the size of the
@@ -94,30 +90,73 @@ def eliminate(df: DataFrame, start: Sequence[int], size: int, penalty: float | F
     return chosen
 
 
-def evolve(df: DataFrame, generations: int = 20, population: int = 100, penalty: float | Fitness = 0.002, seed: int = 42) -> list[int]:
-    """Evolutionary search: each generation is one scoring job; the better half stays, its pairs make the rest.
+def populations(df: DataFrame, runs: int = 1, generations: int = 20, population: int = 100, penalty: float | Fitness = 0.002, seed: int = 42, among: Sequence[int] | None = None, most: int | None = None) -> list[list[int]]:
+    """The best subset of each of `runs` evolutionary searches, which start from seeds of their own.
 
-    The driver holds the population only, `population` subsets of positions.
+    A generation of all runs is one scoring job over their different subsets; in each run the better
+    half stays and its pairs make the rest. among: the positions to choose from, all unless given;
+    most: features of a subset. The driver holds the populations only.
     """
-    grams, rng = grams_of(df), np.random.default_rng(seed)
+    grams = grams_of(df)
     if not grams:
         return []
-    p, spark = len(next(iter(grams.values()))[1]) - 2, df.sparkSession
-    alive = rng.random((population, p)) < min(0.5, 10 / p)
+    spark, width = df.sparkSession, len(next(iter(grams.values()))[1]) - 2
+    at = np.arange(width) if among is None else np.array(sorted(among), int)
+    p = len(at)
+    if not p:
+        return []
+    rngs = [np.random.default_rng(seed + r) for r in range(runs)]
+    alive = [rng.random((population, p)) < min(0.5, (most or 10) / p) for rng in rngs]
+
+    def narrowed(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        rows[~rows.any(1), 0] = True
+        for i in np.flatnonzero(rows.sum(1) > (most or p)).tolist():
+            rows[i, rng.permutation(np.flatnonzero(rows[i]))[most:]] = False
+        return rows
+
+    best: list[list[int]] = []
     for _ in range(generations):
-        alive[~alive.any(1), 0] = True
-        subsets = sorted({tuple(np.flatnonzero(a).tolist()) for a in alive})
-        rows = spark.createDataFrame([(list(s),) for s in subsets], "features array<int>").repartition(spark.sparkContext.defaultParallelism)
-        scored = score_subsets(rows, grams, penalty).filter(~F.isnan("fitness")).orderBy(F.desc("fitness"), F.to_json("features")).collect()
-        if not scored:
-            return []
-        kept = np.zeros((min(len(scored), population // 2), p), bool)
-        for i, r in enumerate(scored[: len(kept)]):
-            kept[i, r["features"]] = True
-        a, b = (kept[rng.integers(len(kept), size=population - len(kept))] for _ in range(2))
-        children = np.where(rng.random(a.shape) < 0.5, a, b) ^ (rng.random(a.shape) < 1 / p)
-        alive = np.vstack([kept, children])
-    return scored[0]["features"]
+        alive = [narrowed(a, rng) for a, rng in zip(alive, rngs, strict=True)]
+        named = [sorted({tuple(at[row].tolist()) for row in a}) for a in alive]
+        rows = spark.createDataFrame([(list(s),) for s in sorted({s for own in named for s in own})], "features array<int>").repartition(spark.sparkContext.defaultParallelism)
+        fitness = {tuple(r["features"]): r["fitness"] for r in score_subsets(rows, grams, penalty).filter(~F.isnan("fitness")).collect()}
+        best = []
+        for r, own in enumerate(named):
+            ranked_own = sorted((s for s in own if s in fitness), key=lambda s: (-fitness[s], json.dumps(s, separators=(",", ":"))))
+            best.append(list(ranked_own[0]) if ranked_own else [])
+            if not ranked_own:
+                continue
+            kept = np.zeros((min(len(ranked_own), population // 2), p), bool)
+            for i, s in enumerate(ranked_own[: len(kept)]):
+                kept[i, np.searchsorted(at, s)] = True
+            rng = rngs[r]
+            a, b = (kept[rng.integers(len(kept), size=population - len(kept))] for _ in range(2))
+            alive[r] = np.vstack([kept, np.where(rng.random(a.shape) < 0.5, a, b) ^ (rng.random(a.shape) < 1 / p)])
+    return best
+
+
+def evolve(df: DataFrame, generations: int = 20, population: int = 100, penalty: float | Fitness = 0.002, seed: int = 42, most: int | None = None) -> list[int]:
+    """Evolutionary search of one population."""
+    found = populations(df, 1, generations, population, penalty, seed, most=most)
+    return found[0] if found else []
+
+
+def evolve_in_stages(df: DataFrame, runs: int = 10, generations: int = 20, population: int = 100, penalty: float | Fitness = 0.002, share: float = 0.2, most_first: int = 50, most: int = 24, seed: int = 42) -> tuple[list[int], dict[int, int]]:
+    """Evolution in two stages, and the votes of the first.
+
+    First `runs` searches over all features, subsets of most_first at most; a feature has a vote for
+    each run whose best subset holds it. Those with `share` of the votes go on (all that have one, if
+    none has so many), and as many searches choose `most` of them at most; the best of their subsets
+    by fitness, then by position, is the result.
+    """
+    first = populations(df, runs, generations, population, penalty, seed, most=most_first)
+    votes = Counter(j for s in first for j in s)
+    among = [j for j, n in votes.items() if n >= share * runs] or list(votes)
+    second = [s for s in populations(df, runs, generations, population, penalty, seed + runs, among, most) if s]
+    if not second:
+        return [], dict(votes)
+    best = _best(df, sorted(map(list, set(map(tuple, second)))), grams_of(df), penalty)
+    return (best[0] if best else []), dict(sorted(votes.items()))
 
 
 def ward_clusters(x: np.ndarray, threshold: float) -> list[int]:
@@ -167,23 +206,6 @@ def by_importance(df: DataFrame, code: str = "rf", fraction: float = 0.25, least
     return kept
 
 
-def permutation_importance(df: DataFrame, model, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """(idx, importance): how much the mean squared error grows when a feature takes another row's values, over all rows and repeats in one job."""
-    width = len(df.select("features").first()["features"])
-    a = ranked(df.select("id", "property", "features"), seed)
-    parts = []
-    for r in range(repeats):
-        other = ranked(df.select("id", "features"), seed + 1 + r).select("rank", F.col("features").alias("other"))
-        parts.append(a.join(other, "rank").withColumn("repeat", F.lit(r)))
-    both = reduce(DataFrame.unionByName, parts).select("repeat", "id", "property", "features", "other", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("idx"))
-    mixed = F.transform("features", lambda x, i: F.when(i == F.col("idx"), F.get("other", i)).otherwise(x))
-    scored = models.predict(model, both.select(F.struct("repeat", "idx").alias("id"), "property", mixed.alias("features")))
-    error = scored.groupBy("id").agg(F.avg((F.col("exp") - F.col("pred")) ** 2).alias("e"))
-    each = error.select("id.idx", "id.repeat", "e")
-    base = each.filter("idx < 0").select("repeat", F.col("e").alias("base"))
-    return each.filter("idx >= 0").join(base, "repeat").groupBy("idx").agg(F.avg(F.col("e") - F.col("base")).alias("importance"))
-
-
 def by_lasso(df: DataFrame, penalty: float = 0.01, least_size: float = 1e-9) -> list[int]:
     """Positions whose coefficient a lasso leaves nonzero."""
     coefficients = models.fit(df, "las", regParam=penalty).stages[-1].coefficients.toArray()
@@ -206,8 +228,30 @@ def ward_forest(df: DataFrame, threshold: float, tries: int = 3, most: int = 12)
     return [kept[i] for i in sorted(range(len(kept)), key=lambda i: (-weights[i], i))[:most]]
 
 
+def lasso_then_elimination(df: DataFrame, penalty: float = 0.01, least_size: float = 1e-9) -> list[int]:
+    """A lasso's features, of those what recursive elimination keeps, and of those what a lasso on them alone leaves nonzero."""
+    kept = eliminated(df, by_lasso(df, penalty, least_size))
+    return [kept[i] for i in by_lasso(gather(df, kept), penalty, least_size)] if kept else []
+
+
 #: Ways to select features by name.
-METHODS = {"importance": by_importance, "lasso": by_lasso, "forward": forward, "evolution": evolve, "ward": uncorrelated, "ward_linear": ward_linear, "ward_forest": ward_forest}
+METHODS = {
+    "importance": by_importance,
+    "lasso": by_lasso,
+    "lasso_elimination": lasso_then_elimination,
+    "forward": forward,
+    "stepwise": lambda df, *a, **k: stepwise(df, *a, **k)[0],
+    "elimination": eliminated,
+    "evolution": evolve,
+    "evolution_in_stages": lambda df, *a, **k: evolve_in_stages(df, *a, **k)[0],
+    "ward": uncorrelated,
+    "ward_linear": ward_linear,
+    "ward_forest": ward_forest,
+}
+
+
+#: Names that others take from here.
+__all__ = ["METHODS", "grams_of", "permutation_importance", "score_subsets", "select_features"]
 
 
 def select_features(method: str, df: DataFrame, *args: object, **params: object) -> list[int]:

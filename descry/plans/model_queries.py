@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.operators import models, overview, records, relational, select, split, stats
+from descry.operators import models, overview, records, relational, select, split, stats, stepwise
 from descry.plans import stand_ins as own
 from descry.plans.queries import query, rounded
 from descry.plans.stand_ins import PREDICTIONS_SQL, table
@@ -214,3 +214,56 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances in groups of like ones."""
     return overview.row_groups(own.instances(spark, sf_dir))
+
+
+#: Two features by fold: means, variances and the least squares of each of the three models on the other folds, then their errors on the fold.
+_TWO = """r as (select l_extendedprice as y, l_quantity as a, l_discount as b, cast(l_orderkey % 5 as int) as fold from lineitem where l_quantity is not null and l_discount is not null and l_extendedprice is not null),
+ s as (select k, avg(a) as ma, avg(b) as mb, avg(y) as my, covar_pop(a, a) as aa, covar_pop(b, b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as by_ from r, range(5) t(k) where fold <> k group by k),
+ m as (select k, ma, mb, my, '0' as name, 1 as size, ay / aa as wa, 0.0 as wb from s union all select k, ma, mb, my, '1', 1, 0.0, by_ / bb from s
+  union all select k, ma, mb, my, '0,1', 2, (ay * bb - by_ * ab) / (aa * bb - ab * ab), (by_ * aa - ay * ab) / (aa * bb - ab * ab) from s),
+ e as (select name, size, k, avg((y - my - wa * (a - ma) - wb * (b - mb)) ** 2) as mse from r join m on fold = k group by all),
+ g as (select name, size, avg(mse) as mse, avg(sqrt(mse)) as error, stddev_pop(sqrt(mse)) as deviation from e group by all), base as (select sqrt(mse) as base from g where size = 2)"""
+
+
+@query(f"""with {_TWO}, t as (select size, arg_min(name, mse) as features, arg_min(error, mse) as error, arg_min(deviation, mse) as deviation from g group by size),
+ o as (select size, features, error / base as error, deviation / base as deviation, error / base + deviation / base + 0.002 * size as objective from t, base)
+ select size, features, round(error, 6) as error, round(deviation, 6) as deviation, round(objective, 6) as objective, objective = min(objective) over () as chosen from o""")
+def stepwise_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price by quantity and discount: the greedy subset of each size, its errors as shares of all features', and the size of least objective."""
+    chosen, tried = stepwise.stepwise(_prices(spark, sf_dir), 1, 2)
+    rows = [(s.size, ",".join(map(str, sorted(s.features))), s.error, s.deviation, s.objective, s.features == chosen) for s in tried]
+    return rounded(spark.createDataFrame(rows, "size int, features string, error double, deviation double, objective double, chosen boolean"), 6, "error", "deviation", "objective")
+
+
+@query(f"""with {_TWO}, d as (select stddev_pop(a) as sa, stddev_pop(b) as sb, covar_pop(a, a) as aa, covar_pop(b, b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as by_ from r),
+ h as (select k, case when abs(wa) * sa >= abs(wb) * sb then '0' else '1' end as name from m, d where name = '0,1'), one as (select avg(mse) as mse from e join h using (k, name)),
+ f as (select case when abs(ay * bb - by_ * ab) * sa >= abs(by_ * aa - ay * ab) * sb then 0 else 1 end as idx from d)
+ select t.idx::int as idx from range(2) t(idx), f, one, g where g.size = 2 and (one.mse > g.mse or t.idx = f.idx)""")
+def features_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price by quantity and discount: what recursive elimination keeps."""
+    return spark.createDataFrame([(j,) for j in stepwise.eliminated(_prices(spark, sf_dir))], "idx int")
+
+
+_EXCHANGED = """with p as (select p_partkey as id, p_retailprice as y, p_size::double as a, (p_partkey % 1000)::double as b from part),
+ s as (select avg(a) as ma, avg(b) as mb, avg(y) as my, covar_pop(a, a) as aa, covar_pop(b, b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as by_ from p),
+ w as (select ma, mb, my, (ay * bb - by_ * ab) / (aa * bb - ab * ab) as wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) as wb from s),
+ o as (select *, row_number() over (order by md5('42|' || id), id) as n from p),
+ q as (select r, a as a2, b as b2, row_number() over (partition by r order by md5((43 + r) || '|' || id), id) as n from p, range(3) t(r)),
+ d as (select r, y - my - wa * (a - ma) - wb * (b - mb) as e, wa * (a2 - a) as da, wb * (b2 - b) as db from o join q using (n), w),
+ x as (select r, avg((e - da) ** 2) - avg(e ** 2) as ia, avg((e - db) ** 2) - avg(e ** 2) as ib from d group by r)
+ select 0 as idx, round(avg(ia), 4) + 0.0 as importance from x union all select 1, round(avg(ib), 4) + 0.0 from x"""
+
+
+@query(_EXCHANGED)
+def exchanged_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of size and of the key's rest for the price, by three exchanges of each column."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("property"), F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 1000).cast("double")).alias("features"))
+    out = rounded(select.permutation_importance(rows, models.fit(rows, "reg"), 3), 4, "importance")
+    return out.withColumn("importance", F.col("importance") + 0.0)  # no negative zero
+
+
+@query()
+def features_by_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evolution in two stages over the embeddings' features: the votes of the first stage, and what the second chose."""
+    chosen, votes = select.evolve_in_stages(_folded(spark, sf_dir), runs=4, generations=5, population=24, most=8)
+    return spark.createDataFrame([(j, n, j in chosen) for j, n in votes.items()], "idx int, votes int, chosen boolean")
