@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descry.operators import order, split, stats
+from descry.operators.kernel_machine import KernelMachine
 from descry.operators.linalg import fold_grams, gram, with_target
 from descry.operators.robust import FourierFeatures, Robust, consensus, theil_sen
 
@@ -32,6 +33,8 @@ ESTIMATORS: dict[str, tuple[Callable[..., Estimator] | None, Callable[..., Estim
     "gbt": (lambda **p: GBTRegressor(**_COLUMNS, **{"maxIter": 50, "maxDepth": 4, "seed": SEED, **p}), lambda **p: GBTClassifier(**_COLUMNS, **{"maxIter": 50, "maxDepth": 4, "seed": SEED, **p})),
     "ransac": (lambda **p: Robust(consensus, **p), lambda **p: LogisticRegression(**_COLUMNS, **p)),
     "theil_sen": (lambda **p: Robust(theil_sen, **p), lambda **p: LogisticRegression(**_COLUMNS, **p)),
+    # Support vector machines on the same random features, with their own losses.
+    "svm": (lambda **p: KernelMachine(False, **p), lambda **p: KernelMachine(True, **p)),
     # A Gaussian kernel by random features: ridge or logistic on them, in place of a support vector machine's losses.
     "rbf": (lambda **p: LinearRegression(**_COLUMNS, **{"regParam": 1e-3, "standardization": False, **p}), lambda **p: LogisticRegression(**_COLUMNS, **{"regParam": 1e-3, "standardization": False, **p})),
 }
@@ -44,6 +47,7 @@ GRIDS: dict[str, dict[str, Sequence]] = {
     "gbt": {"maxIter": [20, 50], "maxDepth": [3, 5]},
     "ransac": {},
     "theil_sen": {},
+    "svm": {"c": [1.0, 10.0, 100.0], "width": [0.5, 1.0]},
     "rbf": {"regParam": [1e-2, 1e-3, 1e-4], "width": [0.5, 1.0, 2.0]},
 }
 #: Rows beyond which a kernel's grid is not searched: one combination is used.
@@ -83,7 +87,7 @@ class BalancedAccuracy(Evaluator):
 
 
 #: Codes whose features are standardised first.
-SCALED = ("reg", "las", "hub")
+SCALED = ("reg", "las", "hub", "svm")
 
 
 def estimator(code: str, binary: bool = False, **params: object) -> Estimator:
@@ -96,7 +100,8 @@ def estimator(code: str, binary: bool = False, **params: object) -> Estimator:
         return Pipeline(stages=[PopulationScaler(), lift, make(**params).setFeaturesCol("k")])
     if code not in SCALED:
         return make(**params)
-    return Pipeline(stages=[PopulationScaler(), make(**params).setFeaturesCol("z")])
+    own = make(**params)
+    return Pipeline(stages=[PopulationScaler(), own if isinstance(own, KernelMachine) else own.setFeaturesCol("z")])
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -144,6 +149,8 @@ def random_search(df: DataFrame, code: str, tries: int, grid: dict[str, Sequence
 def search(df: DataFrame, code: str, combos: list[dict[str, object]], binary: bool = False) -> tuple[dict[str, object], list[tuple[dict[str, object], float]]]:
     if len(combos) < 2:
         return (combos or [{}])[0], []
+    if code == "svm":
+        return search_machines(df, combos, binary)
     own = estimator(code, binary)
     stages = own.getStages() if isinstance(own, Pipeline) else [own]
     maps = [{next(s for s in reversed(stages) if s.hasParam(n)).getParam(n): v for n, v in c.items()} for c in combos]
@@ -155,6 +162,28 @@ def search(df: DataFrame, code: str, combos: list[dict[str, object]], binary: bo
     return combos[best], list(zip(combos, scores, strict=True))
 
 
+def search_machines(df: DataFrame, combos: list[dict[str, object]], binary: bool) -> tuple[dict[str, object], list[tuple[dict[str, object], float]]]:
+    """The same for kernel machines: in each fold all combinations of one epsilon, gap and seed are trained in the same passes over the rows."""
+    rows = df.filter("property is not null")
+    judge = BalancedAccuracy() if binary else RegressionEvaluator(labelCol="property", metricName="rmse")
+    scores: list[list[float]] = [[] for _ in combos]
+    alike: dict[tuple, list[int]] = {}
+    for i, c in enumerate(combos):
+        alike.setdefault(tuple(sorted((n, v) for n, v in c.items() if n not in ("c", "width"))), []).append(i)
+    for k in range(rows.agg(F.max("fold")).first()[0] + 1):
+        learn, apart = _vectors(rows.filter(F.col("fold") != k)), _vectors(rows.filter(F.col("fold") == k))
+        scaler = PopulationScaler().fit(learn)
+        for rest, members in alike.items():
+            base = KernelMachine(binary, **dict(rest))
+            widths, cs = ([combos[i].get(n, getattr(base, n)) for i in members] for n in ("width", "c"))
+            fits = base.fit_all(scaler.transform(learn), widths, cs)
+            for i, w, c in zip(members, widths, cs, strict=True):
+                scores[i].append(judge.evaluate(fits[w, c].transform(scaler.transform(apart))))
+    mean = [float(np.mean(s)) for s in scores]
+    best = int(np.argmax(mean) if judge.isLargerBetter() else np.argmin(mean))
+    return combos[best], list(zip(combos, mean, strict=True))
+
+
 def smallest_gap(df_train: DataFrame, df_test: DataFrame, code: str, combos: list[dict[str, object]], tolerance: float = 0.05, step: float = 0.005) -> tuple[dict[str, object], float]:
     """The combination of the best test r2 whose train and test r2 differ by less than a tolerance, widened by steps until one does; and that tolerance."""
     table = []

@@ -19,34 +19,59 @@ def split_index(n: int, fraction: float) -> int:
 MOST_IN_TASK = 1_000_000
 
 
+#: How far from a place its first bracket reaches, as a share of the rows; a miss reaches four times as far.
+REACH = 0.001
+
+
 def values_at(df: DataFrame, column: str, places: list[int], n: int, most: int = MOST_IN_TASK) -> list[float]:
     """The values at places (from 0) of the n sorted non-null values of a column, exactly.
 
-    Up to `most` values, by a discrete percentile aimed at the middle of each place. More are
-    written once, and for each place approximate quantiles close in on it: what lies below is
-    counted, what lies between goes on, until it is few, or one value.
+    Up to `most` values, by discrete percentiles aimed at the middle of each place. More are written
+    once. Then all places go through the same passes: one mergeable sketch brackets every place, one
+    count says what lies below and inside each bracket, and brackets that miss their place or hold
+    more than `most` values go round again, the latter with a sketch of what they hold. At the end one
+    pass sorts what the brackets hold, each in a group of its own, `most` values at the largest. A
+    bracket of one value is that value, however many rows have it.
     """
     rows = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
-    if n > most:
-        path = shared_dir(df.sparkSession)
-        rows.write.parquet(path)
-        rows = df.sparkSession.read.schema("x double").parquet(path)
-    out = []
-    for place in places:
-        part, left, k, slack = rows, n, place, 0.001
-        while left > most:
-            lo, hi = part.approxQuantile("x", [max(0.0, k / left - slack), min(1.0, k / left + slack)], slack / 2)
-            r = part.agg(F.count_if(F.col("x") < lo).alias("below"), F.count_if(F.col("x").between(lo, hi)).alias("inside")).first()
-            if not r["below"] <= k < r["below"] + r["inside"]:
-                slack *= 4
-                continue
-            if r["inside"] == left and lo != hi:
-                break  # nothing more to close in on: few distinct values, which is all a percentile holds
-            part, left, k = part.filter(F.col("x").between(lo, hi)), r["inside"], k - r["below"]
-            if lo == hi:
-                break
-        out.append(part.agg(F.expr(f"percentile_disc({(k + 0.5) / left!r}D) within group (order by x)").alias("v")).first()["v"])
-    return out
+    if n <= most:
+        wanted = [F.expr(f"percentile_disc({(k + 0.5) / n!r}D) within group (order by x)").alias(f"p{i}") for i, k in enumerate(places)]
+        return list(rows.agg(*wanted).first()) if wanted else []
+    path = shared_dir(df.sparkSession)
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema("x double").parquet(path)
+    found: dict[int, float] = {}
+    ready: dict[int, tuple[float, float, int]] = {}
+    # Of each place: the bracket that surely holds it (none at first), the rows below and in it, and its reach.
+    open_: dict[int, tuple[tuple[float, float] | None, int, int, float]] = {k: (None, 0, n, REACH) for k in dict.fromkeys(places)}
+    while open_:
+        tries: dict[int, tuple[float, float]] = {}
+        for sure in dict.fromkeys(s for s, _, _, _ in open_.values()):
+            own = [k for k, state in open_.items() if state[0] == sure]
+            part = rows if sure is None else rows.filter(F.col("x").between(*sure))
+            at = [(max(0.0, (k - below) / held - reach), min(1.0, (k - below) / held + reach)) for k in own for _, below, held, reach in [open_[k]]]
+            edges = part.approxQuantile("x", [f for pair in at for f in pair], min(open_[k][3] for k in own) / 2)
+            tries.update({k: (edges[2 * i], edges[2 * i + 1]) for i, k in enumerate(own)})
+        counts = rows.agg(*[c for i, (lo, hi) in enumerate(tries.values()) for c in (F.count_if(F.col("x") < lo).alias(f"b{i}"), F.count_if(F.col("x").between(lo, hi)).alias(f"i{i}"))]).first()
+        for i, (k, (lo, hi)) in enumerate(tries.items()):
+            sure, under, held, reach = open_.pop(k)
+            below, inside = counts[f"b{i}"], counts[f"i{i}"]
+            if not below <= k < below + inside:
+                open_[k] = sure, under, held, 4 * reach
+            elif lo == hi:
+                found[k] = lo
+            elif inside <= most:
+                ready[k] = lo, hi, k - below
+            elif inside == held:
+                open_[k] = sure, under, held, reach / 4
+            else:
+                open_[k] = (lo, hi), below, inside, REACH
+    if ready:
+        brackets = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(at).alias("at")) for k, (lo, hi, at) in ready.items()])
+        held = rows.select("x", F.explode(F.filter(brackets, lambda b: F.col("x").between(b["lo"], b["hi"]))).alias("b"))
+        each = held.groupBy("b.k", "b.at").agg(F.sort_array(F.collect_list("x")).alias("v"))
+        found |= {r["k"]: r["x"] for r in each.select("k", F.get("v", F.col("at")).alias("x")).collect()}
+    return [found[k] for k in places]
 
 
 def split_value(df: DataFrame, column: str, fraction: float, most: int = MOST_IN_TASK) -> float | None:

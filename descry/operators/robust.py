@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descry.operators.linalg import gram, with_target
+from descry.operators.metric_index import written
 from descry.operators.order import split_value
 from descry.operators.split import ranked
 
 
 def _complete(df: DataFrame) -> DataFrame:
-    return df.filter("id is not null and property is not null and features is not null and not exists(features, x -> x is null)").select("id", F.col("property").cast("double").alias("property"), F.col("features").cast("array<double>").alias("features"))
+    return df.filter("id is not null and property is not null and features is not null and not exists(features, x -> x is null or isnan(x) or abs(x) = double('infinity'))").select("id", F.col("property").cast("double").alias("property"), F.col("features").cast("array<double>").alias("features"))
 
 
 def line(b: np.ndarray) -> Column:
@@ -34,37 +35,73 @@ def sampled_fits(df: DataFrame, trials: int, seed: int) -> np.ndarray:
     The rows are drawn by their rank in a hash order, so any run draws the same ones. Only the drawn
     rows move, trials * width of them whatever the size of df; one task fits one trial.
     """
-    rows = ranked(df, seed)
-    n = df.count()
-    first = df.select(F.size("features").alias("p")).first()
-    size = (first["p"] if first else 0) + 1
-    if n < size:
-        raise ValueError(f"{size} coefficients need as many rows, got {n}")
-    rng = random.Random(seed)
-    drawn = [(t, r) for t in range(trials) for r in rng.sample(range(n), size)]
-    wanted = df.sparkSession.createDataFrame(drawn, "trial int, rank long")
+    return Trials(df, seed).fits(0, trials)
 
-    def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(own)), np.stack(own["features"].to_list())])
-        return pd.DataFrame({"trial": [key[0]], "b": [np.linalg.lstsq(x, own["property"].to_numpy(), rcond=None)[0].tolist()]})
 
-    fits = rows.join(F.broadcast(wanted), "rank").select("trial", "property", "features").groupBy("trial").applyInPandas(solve, "trial int, b array<double>")
-    return np.array([r["b"] for r in sorted(fits.collect())])
+class Trials:
+    """Fits of random rows by number: those of one number are alike however they are asked for."""
 
+    def __init__(self, df: DataFrame, seed: int):
+        self.rows = written(ranked(df, seed))
+        self.n = self.rows.count()
+        first = df.select(F.size("features").alias("p")).first()
+        self.size = (first["p"] if first else 0) + 1
+        if self.n < self.size:
+            raise ValueError(f"{self.size} coefficients need as many rows, got {self.n}")
+        self.rng, self.drawn = random.Random(seed), []
 
-def consensus(df: DataFrame, trials: int = 100, threshold: float | None = None, seed: int = 42) -> np.ndarray:
+    def fits(self, first: int, trials: int) -> np.ndarray:
+        """The fits of numbers first, first + 1, ..."""
+        while len(self.drawn) < first + trials:
+            self.drawn.append(self.rng.sample(range(self.n), self.size))
+        wanted = self.rows.sparkSession.createDataFrame([(t, r) for t in range(first, first + trials) for r in self.drawn[t]], "trial int, rank long")
+
+        def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+            x = np.column_stack([np.ones(len(own)), np.stack(own["features"].to_list())])
+            return pd.DataFrame({"trial": [key[0]], "b": [np.linalg.lstsq(x, own["property"].to_numpy(), rcond=None)[0].tolist()]})
+
+        found = self.rows.join(F.broadcast(wanted), "rank").select("trial", "property", "features").groupBy("trial").applyInPandas(solve, "trial int, b array<double>")
+        return np.array([r["b"] for r in sorted(found.collect())])
+
+
+def enough_trials(inside: int, n: int, size: int, probability: float) -> float:
+    """Trials after which, with that probability, one drew `size` of the rows that lie near the line, if `inside` of n do."""
+    good = (inside / n) ** size
+    return 0.0 if good >= 1 else np.inf if good <= 0 else np.log(1 - probability) / np.log(1 - good)
+
+
+def consensus(df: DataFrame, trials: int = 100, threshold: float | None = None, seed: int = 42, probability: float | None = 0.99, batch: int = 16) -> np.ndarray:
     """Random sample consensus: least squares of the rows within `threshold` of the trial that most rows are within.
 
     threshold: the median absolute deviation of the target, unless given. Of trials with equally many
-    rows the one of least squared error there wins, then the first. All trials are judged in one pass
-    over the rows. Rows without a target, or with a missing feature, are left out.
+    rows the one of least squared error there wins, then the first. Trials go in batches, and all of a
+    batch are judged in one pass over the rows. They end when as many are made as the best share so
+    far asks for, to have drawn rows near the line alone with `probability` (None: all `trials`).
+    Rows without a target, or that are not whole, are left out.
     """
-    rows = _complete(df)
-    fits = sampled_fits(rows, trials, seed)
+    rows = written(_complete(df))
+    drawn = Trials(rows, seed)
     if threshold is None:
         middle = split_value(rows, "property", 0.5)
         threshold = split_value(rows.select(F.abs(F.col("property") - middle).alias("away")), "away", 0.5)
-    sent = df.sparkSession.sparkContext.broadcast(fits)
+    best: tuple[int, float, int] | None = None
+    m = np.zeros(drawn.size)
+    for first in range(0, trials, batch):
+        fits = drawn.fits(first, min(batch, trials - first))
+        n, sse, at = _judged(rows, fits, threshold)
+        if best is None or (-n, sse, first + at) < best:
+            best, m = (-n, sse, first + at), fits[at]
+        if probability is not None and first + len(fits) >= enough_trials(-best[0], drawn.n, drawn.size, probability):
+            break
+    near = rows.filter(F.abs(F.col("property") - line(m)) <= threshold)
+    # Around the trial's line, whose rest is small, the sums are well conditioned.
+    n, _, g = gram(with_target(near.withColumn("property", F.col("property") - line(m))))
+    return m + np.linalg.pinv(g[:-1, :-1], hermitian=True) @ g[:-1, -1] if n else m
+
+
+def _judged(rows: DataFrame, fits: np.ndarray, threshold: float) -> tuple[int, float, int]:
+    """Of the fit that most rows are within: how many, their squared error, and its place."""
+    sent = rows.sparkSession.sparkContext.broadcast(fits)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sse = np.zeros(len(sent.value), np.int64), np.zeros(len(sent.value))
@@ -79,12 +116,8 @@ def consensus(df: DataFrame, trials: int = 100, threshold: float | None = None,
         yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array(sse)], names=["trial", "n", "sse"])
 
     judged = rows.select("property", "features").mapInArrow(judge, "trial int, n long, sse double")
-    best = judged.groupBy("trial").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse")).orderBy(F.desc("n"), "sse", "trial").first()["trial"]
-    near = rows.filter(F.abs(F.col("property") - line(fits[best])) <= threshold)
-    m = fits[best]
-    # Around the trial's line, whose rest is small, the sums are well conditioned.
-    n, _, g = gram(with_target(near.withColumn("property", F.col("property") - line(m))))
-    return m + np.linalg.pinv(g[:-1, :-1], hermitian=True) @ g[:-1, -1] if n else m
+    r = judged.groupBy("trial").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse")).orderBy(F.desc("n"), "sse", "trial").first()
+    return r["n"], r["sse"], r["trial"]
 
 
 def spatial_median(points: np.ndarray, rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
