@@ -153,13 +153,15 @@ def group_contribution(df: DataFrame, names: DataFrame, first: str, last: str, e
     return keep(rows, own, bad)
 
 
-def prepare(df: DataFrame, names: DataFrame, remove_logp: bool = False, remove_corr: float | None = None, remove_constant: bool = True, remove_acnt: bool = False, fragments: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The screens in fixed order: fragments, atom counts, constants, logP, correlation."""
+def prepare(df: DataFrame, names: DataFrame, remove_logp: bool = False, remove_corr: float | None = None, remove_constant: bool = True, remove_acnt: bool = False, fragments: tuple[str, str] | None = None, texts: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The screens in fixed order: fragments, atom counts, columns that hold text (their names, as non_numeric gives them), constants, logP, correlation."""
     ids = lambda d: [r["idx"] for r in d.collect()]
     if fragments:
         df, names = keep(df, names, ids(between(names, *fragments)))
     if remove_acnt:
         df, names = keep(df, names, ids(named_like(names, ATOM_COUNT)))
+    if texts:
+        df, names = keep(df, names, ids(names.filter(F.col("name").isin(*texts)).select("idx")))
     if remove_constant:
         df, names = keep(df, names, ids(constant_or_missing(feature_stats(df))))
     if remove_logp:

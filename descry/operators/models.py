@@ -86,6 +86,8 @@ class BalancedAccuracy(Evaluator):
         return True
 
 
+#: Codes whose classifier is a logistic regression with the usual penalty.
+LOGISTIC = ("reg", "ransac", "theil_sen")
 #: Codes whose features are standardised first.
 SCALED = ("reg", "las", "hub", "svm")
 
@@ -109,8 +111,14 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame, code: str, binary: bool = False, **params: object) -> Model:
-    """A model on rows (property, features); rows without a target are left out."""
-    return estimator(code, binary, **params).fit(_vectors(train.filter("property is not null")))
+    """A model on rows (property, features); rows without a target are left out.
+
+    A logistic regression's penalty is 1 / (n C), with C = 1 unless it or regParam is given.
+    """
+    rows = train.filter("property is not null")
+    if binary and code in LOGISTIC and "regParam" not in params:
+        params["regParam"] = 1 / (max(rows.count(), 1) * params.pop("C", 1.0))
+    return estimator(code, binary, **params).fit(_vectors(rows))
 
 
 def predict(model: Model, rows: DataFrame, binary: bool = False) -> DataFrame:

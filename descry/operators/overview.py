@@ -10,6 +10,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from descry.operators.knn import neighbours
+from descry.operators.metric_index import points, written
+
 
 def _vectors(df: DataFrame) -> DataFrame:
     """(id, v) of the rows with features, none of which is missing."""
@@ -48,3 +51,32 @@ def row_groups(df: DataFrame, k: int = 8, seed: int = 1) -> DataFrame:
         return rows.select("id", F.lit(0).alias("cluster"))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(rows)
     return model.transform(rows).select("id", "cluster")
+
+
+def linked_groups(df: DataFrame, at_most: float, k: int = 10, metric: str = "euclidean") -> DataFrame:
+    """(id, cluster): agglomerative groups by average linkage over each row's k nearest, cluster named by its least id.
+
+    Two groups are as far apart as their known pairs are on average (a pair is known if one row is
+    among the other's k nearest; with k of all rows it is plain average linkage). In a round all groups
+    that are each other's nearest, at most at_most apart, are joined: no third group is nearer to one of
+    them, so the order of such joins doesn't matter and a round makes many. Distances are compared to
+    nine digits, ties go to the lesser id. Rounds end when no pair is near enough.
+
+    Rows that are not whole are left out; equal rows are at distance 0; an empty table gives no rows.
+    """
+    rows = points(df).select("id")
+    near = neighbours(df, df, k, metric).select(F.least("id", "neighbour_id").alias("a"), F.greatest("id", "neighbour_id").alias("b"), "distance").distinct()
+    edges = written(near.groupBy("a", "b").agg(F.min("distance").alias("total"), F.lit(1).cast("long").alias("n")))
+    groups = written(rows.select("id", F.col("id").alias("cluster")))
+    while True:
+        apart = edges.select("a", "b", F.round(F.col("total") / F.col("n"), 9).alias("d")).filter(F.col("d") <= at_most)
+        both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+        best = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        # A group's nearest one names it in turn; the larger goes into the smaller.
+        joins = written(best.join(best.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).filter("a < b").select(F.col("b").alias("old"), F.col("a").alias("new")))
+        if joins.isEmpty():
+            return groups
+        moved = lambda d, c: d.join(joins, d[c] == joins["old"], "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
+        groups = written(moved(groups, "cluster"))
+        ends = moved(moved(edges, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total", "n")
+        edges = written(ends.groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descry.functions.scalars import sanitised_name
+from descry.operators.metric_index import written
 
 
 def parameter_pivot(rows: DataFrame, key: str, name: str, fields: Sequence[str], order: str, duplicates: str = "id_suffix", prefix: str = "", most_columns: int = 5000) -> DataFrame:
@@ -21,25 +22,31 @@ def parameter_pivot(rows: DataFrame, key: str, name: str, fields: Sequence[str],
     if duplicates not in ("id_suffix", "first", "list"):
         raise ValueError(f"no such way with duplicates: {duplicates}")
     fields = list(fields)
-    base = rows.withColumn("__p", F.when(F.col(name).isNotNull(), sanitised_name(F.col(name), F.lit("unnamed"))))
-    same = Window.partitionBy(key, "__p")
+    named = F.when(F.col(name).isNotNull(), sanitised_name(F.col(name), F.lit("unnamed")))
+    base = rows.select(F.col(key), named.alias("p"), F.struct(F.col(order).alias("o"), F.struct(*fields).alias("v")).alias("c"))
+    # Sums by (record, parameter) first, so that a record of very many values is dealt by its parameters.
+    if duplicates == "first":
+        cells = base.groupBy(key, "p").agg(F.array(F.min_by("c", "c.o")).alias("cs"))
+    else:
+        cells = base.groupBy(key, "p").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     if duplicates == "list":
-        cells = base.groupBy(key, "__p").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *fields))).alias("__c"))
-        cells = cells.select(key, "__p", *[F.col(f"__c.{f}").alias(f) for f in fields])
+        of = lambda f: F.transform("cs", lambda c: c["v"][f]).alias(f)
+        lists = F.struct(*map(of, fields))
+        entries = F.array(F.struct(F.col("p").alias("name"), lists.alias("value")))
     else:
-        # One sort by (key, parameter, order) gives the number; the count is of the same groups.
-        numbered = base.withColumn("__i", F.row_number().over(same.orderBy(order)))
-        if duplicates == "first":
-            cells = numbered.filter("__i = 1")
-        else:
-            suffix = F.when(F.count(F.lit(1)).over(same) > 1, F.concat(F.lit("_"), F.col("__i").cast("string"))).otherwise("")
-            cells = numbered.withColumn("__p", F.concat("__p", suffix))
-    names = [r["__p"] for r in cells.filter("__p is not null").select("__p").distinct().limit(most_columns + 1).collect()]
+        numbered = lambda c, i: F.struct(F.concat("p", F.when(F.size("cs") > 1, F.concat(F.lit("_"), (i + 1).cast("string"))).otherwise("")).alias("name"), c["v"].alias("value"))
+        entries = F.transform("cs", numbered)
+    none = F.filter(entries, lambda _: F.lit(False))
+    each = cells.select(key, F.when(F.col("p").isNotNull(), entries).otherwise(none).alias("entries"))
+    # A number may make one parameter's column another's name: the first of both values stays.
+    whole = each.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("entries")), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)).alias("entries"))
+    records = written(whole.select(key, F.filter("entries", lambda e, i: (i == 0) | (F.get("entries", i - 1)["name"] != e["name"])).alias("entries")))
+    names = sorted(r["n"] for r in records.select(F.explode("entries.name").alias("n")).distinct().limit(most_columns + 1).collect())
     if len(names) > most_columns:
         raise ValueError(f"more than {most_columns} parameter columns")
-    wide = cells.groupBy(key).pivot("__p", sorted(names)).agg(F.first(F.struct(*fields), ignorenulls=True)) if names else cells.select(key).distinct()
     label = (lambda p, f: f"{prefix}{p}") if len(fields) == 1 else (lambda p, f: f"{prefix}{p}_{f}")
-    return wide.select(key, *[F.col(f"`{p}`")[f].alias(label(p, f)) for p in sorted(names) for f in fields])
+    cell = F.map_from_entries("entries")
+    return records.select(key, cell.alias("m")).select(key, *[F.try_element_at("m", F.lit(p))[f].alias(label(p, f)) for p in names for f in fields])
 
 
 def fold_table(predictions: DataFrame, substances: DataFrame, key: str = "id") -> DataFrame:
@@ -128,6 +135,30 @@ def available_models(models: DataFrame, *dimensions: tuple[DataFrame, str], publ
     return own
 
 
+def titled(df: DataFrame, rules: Sequence[tuple[str, str | None]]) -> DataFrame:
+    """The columns that a list of (name, title) rules has, in its order and under their titles (None: the name with spaces for underscores); a rule whose column is missing is passed over."""
+    return df.select(*[F.col(f"`{c}`").alias(c.replace("_", " ") if t is None else t) for c, t in rules if c in df.columns])
+
+
+def domain_columns(df: DataFrame, measures: Sequence[str], prefix: str = "AD_") -> DataFrame:
+    """Without the domain columns of other measures than the model's; all other columns stay."""
+    return df.select(*[f"`{c}`" for c in df.columns if not c.startswith(prefix) or c.removeprefix(prefix) in measures])
+
+
+def target_by_unit(df: DataFrame, unit: str, columns: dict[str, str], target: str = "property") -> DataFrame:
+    """The target column of a unit under one name, those of the other units dropped; an unknown unit is an error."""
+    if unit not in columns:
+        raise ValueError(f"no target in {unit}; there are {', '.join(columns)}")
+    others = [c for c in columns.values() if c != columns[unit]]
+    return df.drop(*others).withColumnRenamed(columns[unit], target)
+
+
+def in_order(df: DataFrame, *names: str) -> DataFrame:
+    """Sorted by those of the names that are columns, missing values last; untouched if none is. For sinks: the last step before a table is written or shown."""
+    own = [F.asc_nulls_last(n) for n in names if n in df.columns]
+    return df.orderBy(*own) if own else df
+
+
 def prediction_report(query: Column, pred: Column, inside: Column, neighbours: Column, unit: str) -> Column:
     """One query row's report as JSON: the value, its unit, the domain's verdict and the neighbours."""
     verdict = F.when(inside, "Inside AD").when(~inside, "Outside AD").otherwise("Unknown")

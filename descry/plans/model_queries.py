@@ -267,3 +267,9 @@ def features_by_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evolution in two stages over the embeddings' features: the votes of the first stage, and what the second chose."""
     chosen, votes = select.evolve_in_stages(_folded(spark, sf_dir), runs=4, generations=5, population=24, most=8)
     return spark.createDataFrame([(j, n, j in chosen) for j, n in votes.items()], "idx int, votes int, chosen boolean")
+
+
+@query()
+def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances in groups by average linkage over each row's nearest."""
+    return overview.linked_groups(own.instances(spark, sf_dir), 1.25)

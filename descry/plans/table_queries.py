@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from descry.functions import scalars as S
 from descry.functions import units
 from descry.operators import columns, domain, knn, models, order, records, relational, robust, split, stats
+from descry.operators.metric_index import written
 from descry.plans import stand_ins as own
 from descry.plans.queries import NEAR, SCALED, _density_sql, query, rounded
 from descry.plans.run import model_run
 from descry.plans.stand_ins import CLASS_SQL, PREDICTIONS_SQL, table
-from descry.sources import tables
+from descry.sources import partitions, tables
 
 # Screens over a few columns of the line items that differ in what is wrong with them.
 
@@ -34,7 +35,7 @@ def names(spark: SparkSession) -> DataFrame:
 @query(f"""with s as (select idx, count(*) as n, count(x) as v, stddev_samp(x) as sd, avg(x) as m, count(*) filter (x <> 0) as nz from ({LONG_SQL}) group by idx)
  select cast(idx as int) as idx, v < n or sd = 0 as constant_or_missing, sd < m * 1e-6 as nearly_constant, nz = 0 as all_zero from s""")
 def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = columns.feature_stats(wide(spark, sf_dir)).cache()
+    s = written(columns.feature_stats(wide(spark, sf_dir)))
     out = s.select("idx")
     for name, screen in (("constant_or_missing", columns.constant_or_missing), ("nearly_constant", columns.nearly_constant), ("all_zero", columns.all_zero)):
         out = out.join(screen(s).withColumn(name, F.lit(True)), "idx", "left").fillna(False, [name])
@@ -689,3 +690,28 @@ def leverage_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def representative_hold_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.representative_split(own.instances(spark, sf_dir), 5, numTrees=10, maxDepth=5).select("id", "fold", "split_num")
+
+
+@query("""with k as (select case when o_orderkey % 11 = 0 then 'Z' else o_orderstatus end as status, o_orderkey as id, case when o_orderkey % 7 = 0 or o_orderkey % 11 = 0 then o_totalprice * 2 else o_totalprice end as total from orders
+  union all select 'N', -o_orderkey, 1.0 from orders where o_orderkey % 13 = 0 and o_orderkey <> 0)
+ select status, count(*) as n, sum(id)::bigint as ids, round(sum(total), 2) as total from k where id % 3 <> 0 or status = 'N' group by status""")
+def table_changed_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stored by status: some get new values, some another status, some are new, and a third of the old keys goes."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"))
+    path = tables.shared_dir(spark)
+    tables.write_by(orders, path, "status")
+    i = F.col("id")
+    changed = orders.filter((i % 7 == 0) | (i % 11 == 0)).select("id", (F.col("total") * 2).alias("total"), F.when(i % 11 == 0, "Z").otherwise(F.col("status")).alias("status"), F.lit(1).alias("seq"))
+    partitions.upsert(spark, path, changed.unionByName(changed.withColumns({"seq": F.lit(0), "total": F.lit(0.0)})), ["id"], ["status"], "seq")
+    partitions.insert(spark, path, orders.filter(i % 13 == 0).select((-i).alias("id"), F.lit(1.0).alias("total"), F.lit("N").alias("status")), ["id"], ["status"])
+    partitions.delete(spark, path, orders.filter(i % 3 == 0).select("id"), ["id"], ["status"])
+    out = spark.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum("total").alias("total"))
+    return rounded(out, 2, "total")
+
+
+@query("""select l_orderkey as "Order", l_linenumber as line, l_extendedprice as property, l_tax <= 0.04 as "AD leverage" from lineitem""")
+def report_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a report: the target of one unit, the model's own domain columns, titles by rule, sorted at the end."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), "l_extendedprice", "l_discount", (F.col("l_tax") <= 0.04).alias("AD_leverage"), (F.col("l_tax") > 0.07).alias("AD_density"))
+    own_target = records.target_by_unit(rows, "price", {"price": "l_extendedprice", "share": "l_discount"})
+    return records.in_order(records.titled(records.domain_columns(own_target, ["leverage"]), [("l_orderkey", "Order"), ("line", None), ("property", None), ("AD_leverage", None), ("AD_density", None)]), "Order", "line")
