@@ -42,15 +42,20 @@ def let(value: Column, use) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """Words inside windows of 8 that the text has twice or more, the first included."""
-    at = lambda h, i: F.get(h, i)
+    """Words inside windows of 8 that the text has twice or more, the first included; windows are compared by 64-bit hashes of their words' hashes."""
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[at(h, i + j) for j in range(WINDOW)]))
+
+    def doubled(h: Column, by: int) -> Column:
+        """The hash of twice as many words at each place: that of the words from there and of those `by` further on."""
+        return F.zip_with(F.slice(h, 1, F.size(h) - by), F.slice(h, by + 1, F.size(h)), lambda x, y: F.xxhash64(x, y))
+
+    def windows(h: Column) -> Column:
+        return let(doubled(h, 1), lambda two: let(doubled(two, 2), lambda four: doubled(four, 4)))
 
     def marked(w: Column) -> Column:
-        pairs = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        pairs = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
         twin = lambda s, x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | ((i + 1 < F.size(s)) & (F.get(s, i + 1)["h"] == x["h"]))
-        spots = let(pairs, lambda s: F.array_sort(F.transform(F.filter(s, lambda x, i: twin(s, x, i)), lambda x: x["p"])))
+        spots = let(pairs, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: twin(s, x, i)), lambda x: x["p"])))
         gaps = lambda p: F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
         return let(spots, lambda p: F.aggregate(gaps(p), F.lit(0).cast("long"), lambda a, g: a + g))
 
