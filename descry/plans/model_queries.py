@@ -272,4 +272,4 @@ def features_by_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances in groups by average linkage over each row's nearest."""
-    return overview.linked_groups(own.instances(spark, sf_dir), 1.25)
+    return overview.linked_groups(own.instances(spark, sf_dir), 1.0)
