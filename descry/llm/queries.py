@@ -112,7 +112,7 @@ _DECONTAMINATE = f"""with d as (select row_number() over () as r, doc_id, {_WORD
 _EXACT_SEARCH = """with v as (select vec_id, list_transform(embedding, lambda c: floor(64 * c::double)) as x from embeddings
  where embedding is not null and not list_bool_or(list_transform(embedding, lambda c: c is null or not isfinite(c)))),
  s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::bigint as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0)
- select query_id, (row_number() over w)::int as rank, vec_id, score from s qualify row_number() over w <= 20 window w as (partition by query_id order by score desc, vec_id)"""
+ select query_id, (row_number() over w)::int as rank, vec_id, score from s window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 20"""
 
 #: The others need byte-pair merges, trained models, 64-bit hashes with a seed, or closures.
 ORACLE_SQL: dict[str, str] = {"op10_line_dedup": _LINE_DEDUP, "op6_decontaminate": _DECONTAMINATE, "op8_quality_rules": _quality_sql(), "op11_exact_search": _EXACT_SEARCH}
