@@ -467,3 +467,20 @@ def test_line_dedup_keeps_first(spark):
     df = spark.createDataFrame(text, "doc_id long, text string")
     got = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(df, min_docs=2).collect()}
     assert got == {1: "a\nb", 2: "c", 3: "\n"}
+
+
+def test_line_dedup_bitmaps_are_runs(spark):
+    """A text whose every line goes is one entry, whatever its length; sent or joined, the rows are the same."""
+    words = {0: 7, 1: 7, 3: 7, 4: -1, 5: -1, 9: 2}
+    held = spark.createDataFrame([(list(words.items()),), ([],)], "held array<struct<word int, bits long>>")
+    runs = held.select(line_dedup.runs_of(F.col("held")).alias("runs"))
+    written_out = runs.select("runs", line_dedup.words_of(F.col("runs")).alias("words")).collect()
+    assert [tuple(r) for r in written_out[0]["runs"]] == [(0, 1, 7), (3, 3, 7), (4, 5, -1), (9, 9, 2)]
+    assert written_out[0]["words"] == [words.get(i, 0) for i in range(10)] and written_out[1]["words"] == []
+    rows = [(i, "\n".join(["menu"] * 6400 + ["own"] * (i == 2) + ["menu"] * 100 + [f"own {i}"])) for i in range(3)] + [(None, "menu"), (None, None), (9, "no such line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    maps = {r["id"]: r["runs"] for r in line_dedup.drop_bitmaps(df, 3, 1, False).collect()}
+    assert len(maps[0]) <= 2 and set(maps) == {0, 1, 2, None}
+    want = Counter((i, *w) for (i, _), w in zip(rows, brute.line_dedup([t for _, t in rows], 3), strict=True))
+    for sent in (0, 1 << 20):
+        assert pairs(line_dedup.dedup_lines(df, 3, 1, False, sent_bytes=sent), "n_lines", "n_dropped", "kept_text") == want
