@@ -21,6 +21,7 @@ from descry.operators import order, split, stats
 from descry.operators.kernel_machine import KernelMachine
 from descry.operators.linalg import fold_grams, gram, with_target
 from descry.operators.robust import FourierFeatures, Robust, consensus, theil_sen
+from descry.sources.tables import shared_dir, write_by
 
 SEED = 42
 _COLUMNS = {"featuresCol": "x", "labelCol": "property"}
@@ -129,9 +130,19 @@ def predict(model: Model, rows: DataFrame, binary: bool = False) -> DataFrame:
 
 
 def fold_predictions(df: DataFrame, code: str, binary: bool = False, **params: object) -> DataFrame:
-    """(id, exp, pred, cv_fold): each fold predicted by a model of the others; the number of folds is small."""
-    folds = [r["fold"] for r in df.select("fold").distinct().orderBy("fold").collect()]
-    parts = [predict(fit(df.filter(F.col("fold") != k), code, binary, **params), df.filter(F.col("fold") == k), binary).withColumn("cv_fold", F.lit(k)) for k in folds]
+    """(id, exp, pred, cv_fold): each fold predicted by a model of the others; the number of folds is small.
+
+    The rows are computed once and written by fold, so that a model reads the files of its folds and
+    a fold's predictions those of that fold alone. Rows without a fold are left out.
+    """
+    path = shared_dir(df.sparkSession)
+    own = df.filter("fold is not null").select("id", "property", "features", *([c] if (c := params.get("weightCol")) else []), F.col("fold").cast("int").alias("fold"))
+    write_by(own, path, "fold")
+    rows = df.sparkSession.read.schema(own.schema).parquet(path)
+    folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+    if not folds:
+        raise ValueError("no rows with a fold")
+    parts = [predict(fit(rows.filter(F.col("fold") != k), code, binary, **params), rows.filter(F.col("fold") == k), binary).withColumn("cv_fold", F.lit(k)) for k in folds]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

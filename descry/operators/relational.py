@@ -34,6 +34,39 @@ def part(df: DataFrame, split_num: int) -> DataFrame:
     return out
 
 
+def points_of(points: DataFrame, datasets: DataFrame, dataset: str) -> DataFrame:
+    """The points of a named dataset."""
+    return points.join(datasets.filter(F.col("name") == dataset).select("dataset_id"), "dataset_id").select(*points.columns)
+
+
+def members_of_split(points: DataFrame, datasets: DataFrame, splits: DataFrame, splittings: DataFrame, dataset: str, splitting: str, values: DataFrame | None = None) -> DataFrame:
+    """Points of a named dataset with their part (split_num) in a named splitting, splittings (splitting_id, name); with `values` only structures that have descriptors.
+
+    Inner joins whose names reach the scans; a point twice in a splitting comes twice.
+    """
+    own = points_of(points, datasets, dataset)
+    if values is not None:
+        own = only_in(own, values, "structure")
+    chosen = splits.join(splittings.filter(F.col("name") == splitting).select("splitting_id"), "splitting_id")
+    return own.join(chosen.select("point_id", "split_num"), "point_id")
+
+
+def both_parts(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(training, test) of `members_of_split`; either part empty is an error. Both are checked by one count."""
+    n = {r["split_num"]: r["count"] for r in members.groupBy("split_num").count().collect()}
+    if missing := [name for name, k in (("training", 0), ("test", 1)) if not n.get(k)]:
+        raise ValueError(f"no {' and no '.join(missing)} rows in this split")
+    return members.filter("split_num = 0").drop("split_num"), members.filter("split_num = 1").drop("split_num")
+
+
+def test_structures(members: DataFrame) -> DataFrame:
+    """The test part's structures, each once; none is an error."""
+    return part(members, 1).select("structure").distinct()
+
+
+test_structures.__test__ = False  # not a test, whatever its name
+
+
 def not_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b.select(key), key, "left_anti")
 
@@ -131,6 +164,15 @@ def split_predictions(predictions: DataFrame, points: DataFrame, splits: DataFra
     return predictions.join(models, "model_id").join(points, "point_id").join(part_ids.select("point_id"), "point_id", "left_semi")
 
 
+def external_predictions(predictions: DataFrame, points: DataFrame, datasets: DataFrame, model_id: object, splitting_id: object, dataset: str) -> DataFrame:
+    """(id, exp, pred) of a model in a splitting for the structures of a named dataset; predictions (structure, model_id, splitting_id, pred).
+
+    A structure that the dataset holds twice comes twice, as the join of both tables has it.
+    """
+    own = predictions.filter((F.col("model_id") == model_id) & (F.col("splitting_id") == splitting_id)).select("structure", "pred")
+    return points_of(points, datasets, dataset).join(own, "structure").select(F.col("structure").alias("id"), F.col("property").alias("exp"), "pred")
+
+
 def unknown_to(rows: DataFrame, external: DataFrame, key: str, seq: str, known: str) -> DataFrame:
     """Rows with an external tool's last values, where the tool has no experimental value of its own."""
     return rows.join(keep_last(external, key, seq), key, "left").filter(F.col(known).isNull())
@@ -203,6 +245,18 @@ def mapped_keys(blueprint: DataFrame, targets: DataFrame, keys: Sequence[str]) -
     return blueprint.join(targets, "id").dropDuplicates(list(keys))
 
 
+def split_blueprint(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(id, split_num, splitting_id): a hold-out (id, split_num) as splitting 1, and the assignments of the training part's folds from 2 on."""
+    return outer.select("id", "split_num", F.lit(1).cast("int").alias("splitting_id")).unionByName(inner.select("id", "split_num", F.col("splitting_id").cast("int").alias("splitting_id")))
+
+
+def cloned_blueprint(blueprint: DataFrame, targets: DataFrame, user: str, at: Column) -> DataFrame:
+    """A blueprint's rows on the points of a dataset, targets (id, point_id), each (point, splitting, part) once, with who made them and when. Ids without a point go."""
+    rows = mapped_keys(blueprint, targets.select("id", "point_id"), ["point_id", "splitting_id", "split_num"])
+    whole = rows.select(*[F.col(c).cast("long").alias(c) for c in ("point_id", "split_num", "splitting_id")])
+    return whole.withColumns({"created_at": at, "updated_at": at, "created_by": F.lit(user), "updated_by": F.lit(user)})
+
+
 def leaks(external: DataFrame, training: DataFrame, key: str) -> DataFrame:
     """External rows whose structure key agrees with a training row's in its first block."""
     block = F.split_part(F.col(key), F.lit("-"), F.lit(1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +122,7 @@ def _judged(rows: DataFrame, fits: np.ndarray, threshold: float) -> tuple[int, f
 
 
 def spatial_median(points: np.ndarray, rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
-    """The point of least summed distance (Weiszfeld's steps, kept moving where one lands on a point)."""
+    """The point of least summed distance (Weiszfeld's steps, kept moving where one lands on a point); a warning if `rounds` end before a step is small."""
     at = np.median(points, axis=0)
     for _ in range(rounds):
         gap = np.linalg.norm(points - at, axis=1)
@@ -133,6 +134,8 @@ def spatial_median(points: np.ndarray, rounds: int = 1000, tolerance: float = 1e
         at = at + step
         if np.linalg.norm(step) <= tolerance * (1 + np.linalg.norm(at)):
             break
+    else:
+        warnings.warn(f"the median still moves by {np.linalg.norm(step):.1e} after {rounds} rounds", stacklevel=2)
     return at
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -190,7 +191,7 @@ def uncorrelated(df: DataFrame, threshold: float) -> list[int]:
 
 
 def by_importance(df: DataFrame, code: str = "rf", fraction: float = 0.25, least: int = 3, most: int = 30, runs: int = 5, rounds: int = 10, **params: object) -> list[int]:
-    """Positions kept by importance: in each run those with at least `fraction` of the largest importance, `least` to `most` of them; the union of the runs, until a round changes nothing."""
+    """Positions kept by importance: in each run those with at least `fraction` of the largest importance, `least` to `most` of them; the union of the runs, until a round changes nothing; a warning if `rounds` end before that."""
     p = len(df.select("features").first()["features"]) if not df.isEmpty() else 0
     kept = list(range(p))
     for _ in range(rounds):
@@ -203,6 +204,8 @@ def by_importance(df: DataFrame, code: str = "rf", fraction: float = 0.25, least
         if sorted(union) == kept:
             break
         kept = sorted(union)
+    else:
+        warnings.warn(f"features still change after {rounds} rounds: {len(kept)} are left", stacklevel=2)
     return kept
 
 

@@ -15,12 +15,12 @@ def hash_key(seed: int, key: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
 
 
-def ranked(df: DataFrame, seed: int, strata: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, seed: int, strata: Sequence[str] = (), buckets: int = 1 << 16) -> DataFrame:
     """df with `rank` from 0 on by hash within each stratum.
 
     No task sees a whole stratum: rows are ranked within (stratum, leading part of the hash), of
-    which there are `buckets` (a power of 16; take one that leaves a few million rows in each), and
-    the buckets' offsets, at most that many for each stratum, are added.
+    which there are `buckets` (a power of 16; 65,536 leave a few million rows in each of 10^11), and
+    the buckets' offsets, at most that many for each stratum, are added. Ranks don't depend on it.
     """
     digits = max(1, math.ceil(round(math.log(buckets, 16), 6)))
     hashed = df.withColumn("__h", hash_key(seed)).withColumn("__b", F.substring("__h", 1, digits))

@@ -69,12 +69,17 @@ def external_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("id", "line", "exp", "pred", "abs_error", "substance"), 4, "pred", "abs_error")
 
 
-@query()
+_STATS = {"Coverage": "count(pred) filter (exp is not null) / count(exp)", "MAE": "avg(abs(exp - pred))", "PearsonRSQ": "regr_r2(pred, exp)", "Q2": "1 - sum((exp - pred) ** 2) / sum(case when pred is not null then (exp - 40000) ** 2 end)", "RMSE": "sqrt(avg((exp - pred) ** 2))", "n": "count(exp)", "n_predicted": "count(pred) filter (exp is not null)"}
+_BLOCK = " || ',' || ".join(f"""'"{n}":' || round(({x})::double, 3)""" for n, x in _STATS.items())
+
+
+@query(f"""with p as (select *, case when id % 5 = 0 then 'test' else 'training' end as set from ({PREDICTIONS_SQL})), s as (select grp, set, '"' || set || '":{{' || {_BLOCK} || '}}' as block from p group by grp, set)
+ select grp as run_id, '{{"details":{{"n_rows":' || n || '}},"statistics":{{' || string_agg(block, ',' order by set) || '}}}}' as document from s join (select grp, count(*) as n from p group by grp) using (grp) group by grp, n""")
 def results_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = own.predictions(spark, sf_dir).withColumn("set", F.when(F.col("id") % 5 == 0, "test").otherwise("training"))
     wide = stats.continuous(p, "grp", "set", mean=40000.0)
     names = ["n", "n_predicted", "Coverage", "MAE", "RMSE", "PearsonRSQ", "Q2"]
-    long = wide.unpivot([F.col("grp").alias("run_id"), "set"], [F.col(n).cast("double").alias(n) for n in names], "name", "value")
+    long = wide.unpivot([F.col("grp").alias("run_id"), "set"], [F.round(F.col(n).cast("double"), 3).alias(n) for n in names], "name", "value")
     runs = p.groupBy(F.col("grp").alias("run_id")).agg(F.count(F.lit(1)).alias("n_rows"))
     return records.results_document(runs, long)
 

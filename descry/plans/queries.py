@@ -118,12 +118,35 @@ def sums_of_whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "fold int, idx int, n long, total double, with_first double"), 6, "total", "with_first")
 
 
-@query()
+def inverted(width: int) -> str:
+    """Elimination on rows u (i, row) of a matrix of `width` with more columns beside it: table w (i, row), those columns solved for."""
+    return f""" g(k, i, row) as (select 0, i::int, row from u union all
+  select k + 1, i, case when i = k + 1 then list_transform(row, lambda v: v / d) else list_transform(list_zip(row, p), lambda z: z[1] - f * z[2]) end
+  from (select *, row[k + 1] / d as f from (select *, p[k + 1] as d from (select *, max(case when i = k + 1 then row end) over () as p from g where k < {width})))),
+ w as (select i, row[{width + 1}:] as row from g where k = {width})"""
+
+
+_LEVERAGE = f""",
+ zl as (select id, i, x[i] as v from z, unnest(range(1, 65)) t(i) where id % 5 <> 0),
+ s2 as (select a.i, b.i as j, sum(a.v * b.v) as g from zl a join zl b using (id) group by all),
+ u as (select i, list_concat(list(g order by j), list((case when i = j then 1 else 0 end)::double order by j)) as row from s2 group by i),
+{inverted(64)},
+ h as (select id, sum(z.x[w.i] * list_dot_product(w.row, z.x)) as value from z, w group by id),
+ hc as (select value as cutoff from (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from h where id % 5 <> 0) where k = floor(n * 0.95)::bigint)"""
+
+
+@query(f"""with recursive {SCALED.strip()}{_LEVERAGE}
+ select id, case when id % 5 = 0 then 'test' else 'train' end as set, round(value, 6) as value, value <= cutoff as inside from h, hc""")
 def ad_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(domain.leverage(*own.train_test(spark, sf_dir))[0].select("id", "set", "value", "inside"), 6, "value")
 
 
-@query()
+@query(f"""with recursive {SCALED.strip()}{_LEVERAGE}, {NEAR.format(distance="list_distance(q.x, t.x)", k=5).strip()},
+ f as (select id, dist, case when dist <= 0.1 then 5e-4 else 5e-2 end as f from r),
+ v as (select id, 1 / (1 + sum((f + dist) * dist) / sum(1 / (f + dist))) as value from f group by id),
+ c as (select value as cutoff from (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from v where id % 5 <> 0) where k = floor(n * 0.050000000000000044)::bigint),
+ b as (select v.id, v.value > c.cutoff as local, h.value <= hc.cutoff as lev from v join h using (id), c, hc)
+ select id, case when id % 5 = 0 then 'test' else 'train' end as set, local, lev, case when local and lev then 'STRONG' when local or lev then 'MODERATE' else 'WEAK' end as strength from b""")
 def ad_local_and_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.local_and_leverage(*own.train_test(spark, sf_dir))
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from descry.functions import scalars as S
 from descry.functions import units
-from descry.operators import columns, domain, knn, models, order, records, relational, robust, split, stats
+from descry.operators import columns, domain, knn, models, order, records, relational, robust, split, stats, summaries
 from descry.operators.metric_index import written
 from descry.plans import stand_ins as own
-from descry.plans.queries import NEAR, SCALED, _density_sql, query, rounded
+from descry.plans.queries import NEAR, SCALED, _density_sql, inverted, query, rounded
 from descry.plans.run import model_run
 from descry.plans.stand_ins import CLASS_SQL, PREDICTIONS_SQL, table
 from descry.sources import partitions, tables
@@ -648,7 +648,23 @@ def robust_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "method string, name string, estimate double")
 
 
-@query()
+_PERMUTED = f"""with recursive e as (select vec_id as id, label::double as y, embedding::double[] as x from embeddings where embedding is not null),
+ t as (select * from e where id % 5 <> 0 and y is not null), q as (select unnest([1, 2, 3]) as seed),
+ o as (select seed, id, row_number() over (partition by seed order by md5(seed || '|' || id), id) as n from t, q),
+ y2 as (select seed, y, row_number() over (partition by seed order by md5((seed + 1) || '|' || id), id) as n from t, q),
+ yp as (select seed, id, y2.y from o join y2 using (seed, n)),
+ l as (select id, i, x[i] as v from t, unnest(range(1, 65)) s(i)), m as (select i, avg(v) as m from l group by i),
+ c as (select id, i, v - m as v from l join m using (i)),
+ gx as (select a.i, b.i as j, sum(a.v * b.v) as g from c a join c b using (id) group by all),
+ gy as (select i, seed, sum(v * y) as g from c join yp using (id) group by all),
+ u as (select i, list_concat(any_value(left_.row), list(gy.g order by seed)) as row from (select i, list(g order by j) as row from gx group by i) left_ join gy using (i) group by i),
+{inverted(64)},
+ b as (select seed, list(row[seed] order by i) as b from w, q group by seed),
+ p as (select seed, case when id % 5 = 0 then 'validation' else 'training' end as set, y, list_dot_product(x, b) as pred from e, b)
+ select seed, set, round(corr(y, pred) ** 2, 6) as r2 from p group by all"""
+
+
+@query(_PERMUTED)
 def permuted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.y_randomised(*own.train_test(spark, sf_dir), "reg"), 6, "r2")
 
@@ -715,3 +731,114 @@ def report_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), "l_extendedprice", "l_discount", (F.col("l_tax") <= 0.04).alias("AD_leverage"), (F.col("l_tax") > 0.07).alias("AD_density"))
     own_target = records.target_by_unit(rows, "price", {"price": "l_extendedprice", "share": "l_discount"})
     return records.in_order(records.titled(records.domain_columns(own_target, ["leverage"]), [("l_orderkey", "Order"), ("line", None), ("property", None), ("AD_leverage", None), ("AD_density", None)]), "Order", "line")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items' flags as runs, one results document each in a folder of its own, read again."""
+    p = own.predictions(spark, sf_dir).withColumn("set", F.when(F.col("id") % 5 == 0, "Test").when(F.col("id") % 5 == 1, "CV_Training").otherwise("External"))
+    by_set = p.groupBy("grp", "set").agg(F.round(F.avg(F.abs(F.col("exp") - F.col("pred"))), 3).alias("mae"))
+    of = lambda s: F.map_from_entries(F.collect_list(F.when(F.col("set") == s, F.struct(F.lit(f"MAE_{s}"), "mae"))))
+    details = F.struct(F.lit(False).alias("is_binary"), F.when(F.col("grp") != "R", F.array(F.lit("quantity"), F.lit("discount"))).alias("embedding")).alias("model_details")
+    blocks = by_set.groupBy("grp").agg(of("Test").alias("test_stats"), of("CV_Training").alias("cv_stats"), of("External").alias("ext_stats"))
+    documents = blocks.select("grp", F.to_json(F.struct(details, F.struct("test_stats", "cv_stats", F.when(F.col("grp") != "N", F.col("ext_stats")).alias("ext_stats")).alias("model_statistics"))).alias("document"))
+    at = tables.shared_dir(spark)
+    documents.write.partitionBy("grp").text(at)
+    return tables.read_runs(spark, f"{at}/*/part-*", summaries.RUN_SCHEMA)
+
+
+@query(f"""with p as (select *, case when id % 5 = 0 then 't' when id % 5 = 1 then 'c' else 'e' end as s from ({PREDICTIONS_SQL})),
+ m as (select grp, s, round(avg(abs(exp - pred)), 3) as mae from p group by all)
+ select 'grp=' || grp as run, 'MAE' as metric, max(mae) filter (s = 't') as test, max(mae) filter (s = 'c') as training_cv, max(mae) filter (s = 'e' and grp <> 'N') as external,
+  case when grp <> 'R' then 2 end as n_variables, case when grp <> 'R' then 'quantity, discount' end as embedding from m group by grp""")
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results documents of runs, written, found again by pattern, and summed up in a row each."""
+    return summaries.run_summary(_runs(spark, sf_dir))
+
+
+@query("""with p as (select p_retailprice as x, p_size % 2 as part from part), e as (select greatest(round(floor(min(x)), -2) - 10, 0) as lo, round(ceil(max(x)), -2) + 10 as hi from p),
+ b as (select part, least(floor((x - lo) / 10), (hi - lo) / 10 - 1)::int as bin, lo from p, e where x between lo and hi)
+ select cast(part as int) as part, bin, lo + 10.0 * bin as low, lo + 10.0 * bin + 10 as high, count(*) as n from b group by all""")
+def bins_of_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices in the bins of a surface tension, shared by parts of odd and of even size."""
+    rows = table(spark, sf_dir, "part").select("p_retailprice", (F.col("p_size") % 2).cast("int").alias("part"))
+    return summaries.histogram_by_rule(rows, "p_retailprice", "Surface Tension", "dyn/cm", "part")
+
+
+def _split_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders as points, market segments as datasets, two splittings of all orders, and those splittings' names."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    points = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("point_id"), F.length("c_mktsegment").alias("dataset_id"), F.col("o_custkey").alias("structure"), F.col("o_totalprice").alias("property"))
+    datasets = customer.select(F.length("c_mktsegment").alias("dataset_id"), F.concat(F.lit("of "), F.length("c_mktsegment").cast("string")).alias("name")).distinct()
+    splits = orders.select(F.col("o_orderkey").alias("point_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("splitting_id"), F.when(F.col("o_orderkey") % (k + 4) == 0, 1).otherwise(0).alias("split_num")) for k in (1, 2)])).alias("s")).select("point_id", "s.*")
+    names = spark.createDataFrame([(1, "hold-out"), (2, "fold")], "splitting_id int, name string")
+    return points, datasets, splits, names
+
+
+_IN_SEGMENT = "select o_orderkey as point_id, o_custkey as structure, o_totalprice as property from orders join customer on c_custkey = o_custkey where length(c_mktsegment) = 9"
+
+
+@query(f"""with p as ({_IN_SEGMENT}), v as (select distinct l_orderkey as k from lineitem where l_quantity > 45)
+ select point_id, structure, property, case when point_id % 5 = 0 then 'test' else 'training' end as part, point_id % 5 = 0 as is_test from p where structure in (select k from v)""")
+def parts_of_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parts of a named splitting of a named dataset, of structures that have descriptors."""
+    values = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("structure"))
+    members = relational.members_of_split(*_split_tables(spark, sf_dir), "of 9", "hold-out", values)
+    training, test = relational.both_parts(members)
+    both = training.withColumn("part", F.lit("training")).unionByName(test.withColumn("part", F.lit("test")))
+    marked = both.join(relational.test_structures(members).withColumn("t", F.lit(True)), "structure", "left")
+    return marked.select("point_id", "structure", "property", "part", (F.coalesce("t", F.lit(False)) & (F.col("part") == "test")).alias("is_test"))
+
+
+@query(f"with p as ({_IN_SEGMENT}) select structure as id, property as exp, round(c_acctbal / 2, 4) as pred from p join customer on c_custkey = structure where structure % 3 = 1")
+def external_of_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's predictions in one splitting for the structures of a named dataset."""
+    points, datasets, *_ = _split_tables(spark, sf_dir)
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("structure"), (F.col("c_custkey") % 3).alias("model_id"), F.explode(F.array(F.lit(1), F.lit(43))).alias("splitting_id"), F.col("c_acctbal").alias("x"))
+    p = p.select("structure", "model_id", "splitting_id", (F.col("x") * F.when(F.col("splitting_id") == 43, 0.5).otherwise(9.0)).alias("pred"))
+    return rounded(relational.external_predictions(p, points, datasets, 1, 43, "of 9"), 4, "pred")
+
+
+@query("""with o as (select o_orderkey as id, o_custkey as pt, o_orderkey % 5 = 0 as held from orders),
+ f as (select id, (row_number() over (order by md5('42|' || id), id) - 1) % 5 as fold from o where not held),
+ b as (select id, case when held then 1 else 0 end as split_num, 1 as splitting_id from o union all select id, case when fold = k then 1 else 0 end, 2 + k from f, range(5) t(k))
+ select distinct pt as point_id, split_num::bigint as split_num, splitting_id::bigint as splitting_id, 'builder' as created_by, 'builder' as updated_by, true as same_time from b join o using (id)""")
+def blueprint_cloned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hold-out and the folds of its training part, as rows of a second dataset's points (the customers)."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("point_id"), F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0).alias("split_num"))
+    inner = split.assignments(split.inner_folds(orders.select("id", "split_num"), 5))
+    rows = relational.cloned_blueprint(relational.split_blueprint(orders, inner), orders, "builder", F.current_timestamp())
+    return rows.select("point_id", "split_num", "splitting_id", "created_by", "updated_by", (F.col("created_at") == F.col("updated_at")).alias("same_time"))
+
+
+@query("""select l_orderkey as id, to_json({'total': case when count(*) < 3 then sum(l_quantity)::int end, 'lines': list({'line': l_linenumber, 'tax': case when l_linenumber % 2 = 0 then round(l_tax, 2) end} order by l_linenumber, l_tax)})::varchar as json from lineitem group by 1""")
+def safe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as JSON; numbers that are none, however deep, as null."""
+    tax = F.when(F.col("l_linenumber") % 4 == 1, float("nan")).when(F.col("l_linenumber") % 2 == 1, float("inf")).otherwise(F.round("l_tax", 2))
+    lines = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.round("l_tax", 2).alias("o"), tax.alias("tax"))))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.when(F.count(F.lit(1)) < 3, F.sum("l_quantity").cast("int")).alias("total"), lines.alias("lines"))
+    shaped = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(x["line"], x["tax"])))
+    kinds = {f.name: f.dataType for f in shaped.schema}
+    safe = shaped.select("id", *[tables.json_safe(F.col(c), kinds[c]).alias(c) for c in ("total", "lines")])
+    return safe.select("id", F.to_json(F.struct("total", "lines"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+@query("""with c as (select c_custkey as id, c_name as name, c_mktsegment as segment, floor(c_acctbal)::int as bal from customer),
+ n as (select *, row_number() over (partition by o_custkey, o_orderkey % 2 order by o_orderkey) as rank from orders),
+ g as (select o_custkey as id, list({'rank': rank, 'neighbour': o_orderkey} order by rank) filter (o_orderkey % 2 = 0) as tr, list({'rank': rank, 'neighbour': o_orderkey} order by rank) filter (o_orderkey % 2 = 1) as te from n where rank <= 3 group by 1)
+ select c.id, to_json({'chemicalIdentifiers': {'name': name, 'segment': segment}, 'modelDetails': {'modelName': 'balance', 'nFeatures': 2}, 'modelResults': {
+  'experimentalValueUnitsModel': case when c.id % 4 = 0 then bal end, 'experimentalValueUnitsDisplay': case when c.id % 4 = 0 then bal * 10 end, 'experimentalValueSet': case when c.id % 4 = 0 then 'Training' end,
+  'predictionValueUnitsModel': case when c.id % 7 <> 0 then bal + 1 end, 'unitsModel': 'm', 'predictionValueUnitsDisplay': case when c.id % 7 <> 0 then (bal + 1) * 10 end, 'unitsDisplay': 'dm',
+  'predictionError': case when c.id % 7 = 0 then 'no descriptors' end, 'adEstimates': case when c.id % 7 = 0 then [] else [{'method': 'density', 'conclusion': case when c.id % 2 = 0 then 'Inside' else 'Outside' end, 'reason': 'by remainder'}, {'method': 'leverage', 'conclusion': 'Inside', 'reason': 'always'}] end},
+  'neighborResultsTraining': tr, 'neighborResultsPrediction': te})::varchar as report from c left join g using (id)""")
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as query rows: a whole report each, with two domain measures and the first orders of either parity as neighbours."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.floor("c_acctbal").cast("int").alias("bal"))
+    bad = F.col("id") % 7 == 0
+    results = c.select("id", (F.col("bal") + 1).alias("pred"), F.when(bad, "no descriptors").alias("error"))
+    experiments = c.filter("id % 4 = 0").select("id", F.col("bal").alias("exp"), F.lit("Training").alias("set"))
+    density = c.filter(~bad).select("id", F.lit("density").alias("method"), F.when(F.col("id") % 2 == 0, "Inside").otherwise("Outside").alias("conclusion"), F.lit("by remainder").alias("reason"))
+    estimates = density.unionByName(c.filter(~bad).select("id", F.lit("leverage").alias("method"), F.lit("Inside").alias("conclusion"), F.lit("always").alias("reason")))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "Training").otherwise("Test").alias("set"), F.col("o_orderkey").alias("neighbour"))
+    near = orders.withColumn("rank", F.row_number().over(Window.partitionBy("id", "set").orderBy("neighbour"))).filter("rank <= 3")
+    details = F.struct(F.lit("balance").alias("modelName"), F.lit(2).alias("nFeatures"))
+    return summaries.prediction_reports(results, c.drop("bal"), experiments, estimates, near, details, ("m", "dm"), lambda x: x * 10)

@@ -67,9 +67,44 @@ def read_runs(spark: SparkSession, pattern: str, schema: str | None = None) -> D
     return df.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A database table; filters on it are pushed down."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def read_jdbc(spark: SparkSession, url: str, table: str, partition: str | None = None, parts: int = 8, predicates: Sequence[str] | None = None, **options: str) -> DataFrame:
+    """A database table; filters on it are pushed down.
+
+    partition: a column of numbers or times by whose range the table is read in `parts` connections;
+    its ends are asked of the database first. Rows that lack it are read by the first of them.
+    predicates: conditions that part the table instead, one connection each. Without either, one.
+    """
+    if predicates is not None:
+        return spark.read.jdbc(url, table, predicates=list(predicates), properties=dict(options))
+
+    def reader(**more: str) -> DataFrame:
+        return spark.read.format("jdbc").options(url=url, **options, **more).load()
+
+    if partition is None:
+        return reader(dbtable=table)
+    ends = reader(query=f"select min({partition}) as lo, max({partition}) as hi from {table}").first()
+    if ends[0] is None:
+        return reader(dbtable=table)
+    return reader(dbtable=table, partitionColumn=partition, lowerBound=str(ends[0]), upperBound=str(ends[1]), numPartitions=str(parts))
+
+
+def append_jdbc(df: DataFrame, url: str, table: str, batch: int = 1000, connections: int = 8, **options: str) -> None:
+    """Appends to a database table, `batch` rows a statement over at most `connections` connections.
+
+    Each partition is one transaction; a partition that is run again after a lost executor may have
+    been committed before, so append to a staging table, or one whose key makes repeats an error.
+    """
+    own = df if df.rdd.getNumPartitions() <= connections else df.coalesce(connections)
+    own.write.format("jdbc").mode("append").options(url=url, dbtable=table, batchsize=str(batch), **options).save()
+
+
+def read_with_descriptors(spark: SparkSession, rows_path: str, descriptors_path: str, key: str) -> DataFrame:
+    """A file of rows with the descriptors of another file by key; a row without any is left out, a key that the second file holds twice is an error."""
+    rows, values = read_delimited(spark, rows_path), read_delimited(spark, descriptors_path)
+    if (twice := values.groupBy(key).count().filter("count > 1").first()) is not None:
+        raise ValueError(f"{key} {twice[key]!r} has more than one row of descriptors")
+    clash = [c for c in values.columns if c != key and c in rows.columns]
+    return rows.join(values.drop(*clash), key)
 
 
 def query(spark: SparkSession, sql: str, **args: object) -> DataFrame:
@@ -111,6 +146,24 @@ def to_json_rows(df: DataFrame, omit_nulls: bool = True) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": str(omit_nulls).lower()}).alias("json"))
 
 
+def json_safe(value: Column, kind: T.DataType) -> Column:
+    """The value with NaN and infinities as null, at any depth of arrays, maps and structs."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: json_safe(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[json_safe(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
+def to_safe_json(df: DataFrame, omit_nulls: bool = True) -> DataFrame:
+    """`to_json_rows` of rows whose numbers JSON can hold."""
+    return to_json_rows(df.select(*[json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]), omit_nulls)
+
+
 def process_new(done: DataFrame, rows: DataFrame, key: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work over the rows whose key isn't in `done`, each key once."""
     return work(rows.dropDuplicates([key]).join(done.select(key), key, "left_anti"))
