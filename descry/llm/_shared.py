@@ -73,15 +73,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def level_of(count: str) -> Column:
+    """A count without its bits after the eight leading ones, so there are some thousand levels at any size."""
+    shift = F.greatest(F.length(F.bin(count)) - 8, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", F.col(count), shift), shift)
+
+
 def most_frequent(counts: DataFrame, word: str, count: str, most: int) -> list[Row]:
     """The `most` rows of largest count (ties by word), in that order; counts should be a written table, as it is read twice.
 
-    A histogram first says which counts are large enough (by their eight leading bits, so it has some
-    thousand levels at any size); tasks then answer with rows of those only, not with `most` rows each.
+    A histogram first says which counts are large enough; tasks then answer with rows of those only, not with `most` rows each.
     """
-    shift = F.greatest(F.length(F.bin(count)) - 8, F.lit(0))
-    level = F.call_function("shiftleft", F.call_function("shiftright", F.col(count), shift), shift)
-    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
+    levels = counts.groupBy(level_of(count).alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
     held, least = 0, 0
     for r in levels:
         held, least = held + r["n"], r["level"]
@@ -90,6 +93,18 @@ def most_frequent(counts: DataFrame, word: str, count: str, most: int) -> list[R
     return counts.filter(F.col(count) >= least).orderBy(F.desc(count), word).limit(most).collect()
 
 
+def most_frequent_bytes(counts: DataFrame, word: str, count: str, most_bytes: int) -> list[Row]:
+    """Rows of the largest counts, by count and then word, as many whole levels of counts as have words of `most_bytes` UTF-8 bytes in all or less."""
+    levels = counts.groupBy(level_of(count).alias("level")).agg(F.sum(F.octet_length(word)).alias("n")).orderBy(F.desc("level")).collect()
+    held, least = 0, None
+    for r in levels:
+        held += r["n"]
+        if held > most_bytes:
+            break
+        least = r["level"]
+    return [] if least is None else counts.filter(F.col(count) >= least).orderBy(F.desc(count), word).collect()
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The column's UTF-8 bytes; null is empty."""
     col = batch.column(batch.schema.get_field_index(column))

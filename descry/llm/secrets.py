@@ -3,13 +3,16 @@
 The programme finds the cheapest way to spell a value as dictionary words, dates, repeats, keyboard
 walks and brute-force spans; costs are logarithms (base 10) of guesses and add up over the segments.
 Dictionary words are the common passwords, then the words of the corpus itself by the number of
-documents that hold them outside of credential values: in lower case, letters only, in LEAST_DOCS
-documents or more, the MOST_WORDS most frequent (20 letters at most each, so some 4 MB are sent).
+documents that hold them outside of credential values: in lower case, letters only, of any length,
+in `min_docs` documents or more. They are sent to the tasks, so the rarest are left out, by whole
+levels of their counts, where all together would measure over WORD_BYTES. Repeats are of blocks of
+any length that are no repeats themselves.
 A value after a credential name that costs at least `min_log10_guesses` is a finding of kind
 "guess"; one that people or machines would guess sooner (a placeholder, a word with a year) is not.
 
 Null text: as empty, no findings. Null doc_id: kept. Repeated rows: one result each. Extra columns
-are not used. Very long values cost time in about proportion to their length.
+are not used. Very long values cost time in about proportion to their length times its logarithm squared
+(repeats) and the number of lengths that words have.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from descry.llm._shared import most_frequent, written
+from descry.llm._shared import most_frequent_bytes, written
 
 #: Fixed by the contract. `assign` ignores case in ASCII letters only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -49,12 +53,23 @@ COMMON = (
     "autumn love god sun shine star iloveyou football baseball princess shadow super man bat michael "
     "jordan hunter killer trust no one server prod dev stage data base xxxx insert value string"
 ).split()
-WORD_COST = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(COMMON))}
-LONGEST = 20
-#: Characters of a block that a guesser tries repeated; a word with signs for letters costs so much more.
-BLOCK, LEET_COST = 16, 0.6
-#: Documents that make a word; words sent to the tasks.
-LEAST_DOCS, MOST_WORDS = 5, 50_000
+
+
+class Words(dict):
+    """Guesses (log10) by word, and the lengths that words have, from short to long."""
+
+    def __init__(self, costs: dict[str, float]):
+        super().__init__(costs)
+        self.lengths = sorted({len(w) for w in costs})
+
+
+WORD_COST = Words({w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(COMMON))})
+#: A word with signs for letters costs so much more.
+LEET_COST = 0.6
+#: Documents that make a word; bytes of all words that are sent to the tasks.
+LEAST_DOCS, WORD_BYTES = 5, 2 << 20
+#: Pairs of places that are compared at a time in the search for repeats.
+PAIRS = 1 << 20
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEXT = {(a, b) for r in ROWS for a, b in [*zip(r, r[1:]), *zip(r[1:], r)]} | {(a, b) for x, y in zip(ROWS, ROWS[1:]) for i, a in enumerate(y) for b in x[i : i + 2]}  # noqa: B905
@@ -72,13 +87,13 @@ def brute_cost(c: str) -> float:
     return math.log10(64)
 
 
-def word_costs(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
+def word_costs(docs: DataFrame, text_col: str = "text", min_docs: int = LEAST_DOCS, most_bytes: int = WORD_BYTES) -> Words:
     """Guesses (log10) of the common passwords and of the words of docs, by rank."""
     prose = F.lower(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), f"(?i){CONTEXT.pattern}", " "))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).filter(f"length(w) between 2 and {LONGEST}")
-    counts = written(words.groupBy("w").count().filter(F.col("count") >= LEAST_DOCS), "document-frequencies")
-    ranked = most_frequent(counts, "w", "count", MOST_WORDS)
-    return {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys([*WORD_COST, *(r["w"] for r in ranked)]))}
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).filter("length(w) >= 2")
+    counts = written(words.groupBy("w").count().filter(F.col("count") >= min_docs), "document-frequencies")
+    ranked = most_frequent_bytes(counts, "w", "count", most_bytes)
+    return Words({w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys([*WORD_COST, *(r["w"] for r in ranked)]))})
 
 
 def word_cost_of(value: str, low: str, plain: str, a: int, e: int, word_cost: dict[str, float]) -> float | None:
@@ -130,12 +145,52 @@ class Starts:
         return best
 
 
-def guess_cost(value: str, word_cost: dict[str, float] = WORD_COST) -> float:
+def repeats(low: str) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the longest stretches in which each character equals the one a period earlier, two periods long or more, by their least period; periods of one character left out.
+
+    Names of the substrings of 1, 2, 4 ... characters, until none occurs twice, give how far two places agree
+    to both sides; a stretch of period p holds two neighbours of the places 0, p, 2p ....
+    """
+    n = len(low)
+    names = [np.unique(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)[1]]
+    while 2 * (size := 1 << len(names) - 1) <= n and names[-1].max() + 1 < len(names[-1]):
+        of = names[-1].astype(np.int64)
+        names.append(np.unique(of[:-size] * n + of[size:], return_inverse=True)[1].astype(np.int32))
+    if names[-1].max(initial=-1) + 1 == len(names[-1]):
+        names.pop()
+    longest = min(n // 2, (1 << len(names)) - 1)
+    found: dict[tuple[int, int], int] = {}
+    p = 1
+    while p <= longest:
+        more = max(1, min(PAIRS * p // n, p, longest - p + 1))  # so that about PAIRS places are compared
+        periods = np.arange(p, p + more)
+        each = (n - 1) // periods
+        of = np.repeat(periods, each)
+        i = of * (np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each))
+        ahead, back = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+        for k in range(len(names) - 1, -1, -1):
+            name, size = names[k], 1 << k
+            a, b = i + ahead, i + of + ahead
+            fits = b < len(name)
+            fits[fits] = name[a[fits]] == name[b[fits]]
+            ahead += size * fits
+            a = i - back - size
+            fits = a >= 0
+            fits[fits] = name[a[fits]] == name[(a + of)[fits]]
+            back += size * fits
+        long = ahead + back >= of
+        for x in zip((i - back)[long].tolist(), (i + of + ahead)[long].tolist(), of[long].tolist(), strict=True):
+            found.setdefault(x[:2], x[2])  # by growing periods: the first is the least, all others are multiples of it
+        p += more
+    return [(a, b, p) for (a, b), p in found.items() if p > 1]
+
+
+def guess_cost(value: str, word_cost: Words = WORD_COST) -> float:
     """log10 of the guesses that the cheapest segmentation of value takes: the minimum over all segmentations.
 
     Two states at each place: the cheapest way there that ends inside a brute-force span, which the
     next character may lengthen, and the cheapest that does not. Segments that repeat a character or
-    a block of up to BLOCK characters, and walks, are offered from every start of their run.
+    a block (of any length, itself no repeat), and walks, are offered from every start of their run.
     """
     n = len(value)
     low = value.lower() if value.isascii() else "".join(x if len(x := c.lower()) == 1 else c for c in value)
@@ -144,8 +199,8 @@ def guess_cost(value: str, word_cost: dict[str, float] = WORD_COST) -> float:
     same = Starts(repeat_cost)
     # 0.3 a key is taken off the start and put back at the end, so that what is left grows ever more slowly.
     walk = Starts(lambda k: 0.5 * math.log10(k))
-    period_run = [0] * (BLOCK + 1)  # for each block size: characters before here that equal the one a block earlier
-    copies: list[list[Starts]] = [[Starts(lambda k, size=size: repeat_cost(k // size + 1)) for _ in range(size)] for size in range(BLOCK + 1)]
+    due = sorted(((a + 2 * p, b, p) for a, b, p in repeats(low)), reverse=True) if n > 3 else []  # the next one last
+    under_way: list[tuple[int, int, dict[int, Starts]]] = []  # end and period of a stretch; starts of copies by their place in the period
     for i in range(n):
         e = i + 1
         brute[e] = min(brute[i], closed[i] + SEGMENT) + brute_cost(value[i])
@@ -161,20 +216,23 @@ def guess_cost(value: str, word_cost: dict[str, float] = WORD_COST) -> float:
             if (low[e - 3], low[e - 2]) in NEXT and (low[e - 2], low[i]) in NEXT:
                 walk.add(e - 3, best[e - 3] - 0.3 * (e - 3))
                 options.append(walk.least(e) + math.log10(47) + 0.3 * (e - 1))
-        for a in range(max(0, e - LONGEST), e - 1):
-            if (c := word_cost_of(value, low, plain, a, e, word_cost)) is not None:
-                options.append(best[a] + c)
+        for size in word_cost.lengths:
+            if size > e:
+                break
+            if (c := word_cost_of(value, low, plain, e - size, e, word_cost)) is not None:
+                options.append(best[e - size] + c)
         for size in range(4, 11):
             if size <= e and DATE.fullmatch(value, e - size, e):
                 options.append(best[e - size] + date_cost(size))
-        for size in range(2, min(BLOCK, i) + 1):
-            period_run[size] = period_run[size] + 1 if low[i] == low[i - size] else 0
-            of = copies[size][e % size]
-            if period_run[size] < size:
-                of.held = []
-            else:
-                of.add(e - size, best[e - size])
-                options.append(of.least(e))
+        if under_way:
+            under_way = [x for x in under_way if x[0] >= e]
+        while due and due[-1][0] == e:
+            under_way.append((*due.pop()[1:], {}))
+        for _, p, copies in under_way:
+            if (of := copies.get(e % p)) is None:
+                of = copies[e % p] = Starts(lambda k, p=p: repeat_cost(k // p + 1))
+            of.add(e - p, best[e - p])
+            options.append(of.least(e))
         closed[e] = min(options, default=math.inf) + SEGMENT
         best[e] = min(closed[e], brute[e])
     return best[n]
@@ -192,7 +250,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, min_log10: float = MIN_LOG10_GUESSES, word_cost: dict[str, float] = WORD_COST) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, min_log10: float = MIN_LOG10_GUESSES, word_cost: Words = WORD_COST) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the values in credential context that are hard to guess."""
     low = text.lower()
     if not any(h in low for h in HINTS):
@@ -204,14 +262,14 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10_guesses: float = MIN_LOG10_GUESSES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10_guesses: float = MIN_LOG10_GUESSES, min_docs: int = LEAST_DOCS) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans and n_guess of each row's whole text.
 
     spans: kind:start:end in code points, end exclusive, by start then kind. The span of a fixed
     pattern is its whole match; that of a guess is the value.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(word_costs(docs, text_col))
+    sent = docs.sparkSession.sparkContext.broadcast(word_costs(docs, text_col, min_docs))
     own = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("n_guess", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

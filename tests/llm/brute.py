@@ -113,7 +113,7 @@ def guess_cost(v, costs):
     def segment(a, e):
         k = e - a
         out = [sum(map(costs.brute_cost, v[a:e]))]
-        if 2 <= k <= costs.LONGEST and (c := costs.word_cost_of(v, low, plain, a, e, costs.WORD_COST)) is not None:
+        if (c := costs.word_cost_of(v, low, plain, a, e, costs.WORD_COST)) is not None:
             out.append(c)
         if k >= 3 and len(set(low[a:e])) == 1:
             out.append(costs.brute_cost(v[a]) + costs.repeat_cost(k))
@@ -121,8 +121,8 @@ def guess_cost(v, costs):
             out.append(costs.walk_cost(k))
         if costs.DATE.fullmatch(v, a, e):
             out.append(costs.date_cost(k))
-        for p in range(2, costs.BLOCK + 1):  # copies of the block that ends at a
-            if a >= p and k % p == 0 and all(low[x] == low[x - p] for x in range(a, e)):
+        for p in range(2, a + 1):  # copies of the block that ends at a, itself no repeat
+            if k % p == 0 and (low[a - p : a] * 2).find(low[a - p : a], 1) == p and all(low[x] == low[x - p] for x in range(a, e)):
                 out.append(costs.repeat_cost(k // p + 1))
         return min(out) + costs.SEGMENT
 

@@ -74,6 +74,29 @@ def test_guess_cost_is_the_minimum(value):
     assert secrets.guess_cost(value) == pytest.approx(brute.guess_cost(value, secrets)) if value.isascii() else secrets.guess_cost(value) > 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc", max_size=40), st.text(alphabet="abcdefgh7", max_size=30), st.integers(1, 4))
+def test_repeats_and_their_cost_for_blocks_of_any_length(head, block, times):
+    value = head + block * times
+    want = {}
+    for p in range(1, len(value) // 2 + 1):
+        start = 0
+        for x in range(len(value) - p + 1):
+            if x == len(value) - p or value[x] != value[x + p]:
+                if x - start >= p:
+                    want.setdefault((start, x + p), p)
+                start = x + 1
+    assert sorted(secrets.repeats(value)) == sorted((a, b, p) for (a, b), p in want.items() if p > 1)
+    assert secrets.guess_cost(value) == pytest.approx(brute.guess_cost(value, secrets))
+
+
+def test_guess_cost_has_no_longest_word_or_block():
+    once = "Xq7vR2mLpZ9tKdWsA"
+    assert secrets.guess_cost(once * 2) < secrets.guess_cost(once) + 1
+    long = secrets.Words({"incomprehensibilities": 1.0})
+    assert secrets.guess_cost("incomprehensibilities", long) < 2 and secrets.guess_cost("x" * 100_000 + "y") < 10
+
+
 def test_guess_spans_follow_the_cost(spark, docs, rows):
     """Spans of the method: all values in credential context that cost the threshold or more, by the plain programme."""
     costs = secrets.word_costs(docs)
