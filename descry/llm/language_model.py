@@ -536,7 +536,8 @@ def mixed(read: DataFrame, start: GatedLM) -> GatedLM:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pickle.dumps({k: v / n for k, v in total.items()})], pa.binary())], names=["n", "model"])
 
-    models = read.select("learn", "payload").mapInArrow(fit, "n long, model binary").repartition(SUMS)
+    # Added in the order of the partitions that made them, not in that of their arrival, so that sums are the same in each run.
+    models = read.select("learn", "payload").mapInArrow(fit, "n long, model binary").withColumn("part", F.spark_partition_id()).repartition(SUMS, "part").sortWithinPartitions("part")
     out, n, total = GatedLM(start.n, start.counts), 0, None
     for r in models.mapInArrow(add, "n long, model binary").toLocalIterator():
         p = pickle.loads(bytes(r["model"]))

@@ -30,6 +30,36 @@ def test_language_model_reads_and_predicts_all_words(spark):
     assert len(outputs) > 20 and max(outputs) == language_model.RARE + len(few.rare_n) + 4
 
 
+def test_language_model_scores_are_the_saved_models_token_by_token(spark, monkeypatch):
+    """The job's score of each text, made anew from its model: one token at a time, a state from nothing for each text."""
+    rng, saved = np.random.default_rng(4), []
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 90)) if x < 5000) for _ in range(300)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6, "doc_id")
+    real = language_model.mixed
+    monkeypatch.setattr(language_model, "mixed", lambda read, start: saved.append((read, real(read, start))) or saved[-1][1])
+    run = lambda: {r["doc_id"]: r["score"] for r in language_model.score(docs, block_bytes=4000, least=5).collect()}
+    got = run()
+    read, lm = saved[0]
+    p, n, want = {k: v.astype("f8") for k, v in lm.p.items()}, lm.h, {}
+    log_share = lambda z, i: z[i] - np.log(np.exp(z).sum())
+    for r in read.collect():
+        sizes, tokens = unpack(bytes(r["payload"]))
+        at = 0
+        for i, size, rare in zip(r["id"], sizes.tolist(), r["rare"], strict=True):
+            h, before, total = np.zeros(n), language_model.END, 0.0
+            for t in tokens[at : at + size].tolist():
+                x = p["x"][before]
+                f = 1 / (1 + np.exp(-(h @ p["f"] + x[:n] + p["bf"])))
+                h = (1 - f) * h + f * np.tanh((f * h) @ p["c"] + x[n:])
+                k = lm.class_of[t]
+                a, b = lm.cuts[k], lm.cuts[k + 1]
+                total += log_share(h @ p["cls"] + p["bc"], k) + log_share(p["out"][a:b] @ h + p["bo"][a:b], t - a)
+                before = t
+            want[i], at = total / np.log(10) + rare, at + size
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 * (1 + abs(want[i])) for i in want)
+    assert run() == got
+
+
 def test_licenses_in_consecutive_bare_notices(spark):
     for name, notice in licenses.TEMPLATES.items():
         texts = [*[notice] * 5, "Words that stand before. " + notice, notice + " And after it.", notice + " " + notice]
