@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,13 @@ BLOCK_BYTES = 8 << 20
 BUCKETS_EACH = 2
 
 
-def blocks(docs: DataFrame, words_of: Callable[[list], Iterator[list]], keys: list[str], text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, words_of: Callable[[list], Iterator[list] | pa.ListArray], keys: list[str], text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (block, bucket, keys, payload) of two kinds.
 
     bucket -1, one a block: the key columns of its documents as arrays, and packed (words in each
     document, all words' numbers, bucket of each number). Others: the block's distinct words of that
     bucket, packed, in the order of their numbers. words_of: gives the words (bytes or str) of each
-    of a list of texts (None for null).
+    of a list of texts (None for null), one list after the other or all lists as an Arrow array of lists of bytes.
     """
     n_buckets = BUCKETS_EACH * shuffle_partitions(docs.sparkSession)
     key_fields = [T.StructField(k, T.ArrayType(docs.schema[k].dataType)) for k in keys]
@@ -69,12 +70,17 @@ def blocks(docs: DataFrame, words_of: Callable[[list], Iterator[list]], keys: li
             types[:] = [batch.column(i).type for i in range(len(keys))]
             columns = [batch.column(i).to_pylist() for i in range(len(keys))]
             texts = batch.column(len(keys)).to_pylist()
-            for i, found in enumerate(words_of(texts)):
+            at = 0
+            for i, text in enumerate(texts):
+                held += len(text or "")
+                if held < block_bytes and i + 1 < len(texts):
+                    continue
                 for col, out in zip(columns, ids, strict=True):
-                    out.append(col[i])
-                counts.append(len(found))
-                numbers.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                held += len(texts[i] or "")
+                    out += col[at : i + 1]
+                for n, found in numbered(words_of(texts[at : i + 1]), words):
+                    counts += n
+                    numbers.append(found)
+                at = i + 1
                 if held >= block_bytes:
                     yield from close(block, ids, counts, numbers, words)
                     block, held = block + 1, 0
@@ -87,6 +93,24 @@ def blocks(docs: DataFrame, words_of: Callable[[list], Iterator[list]], keys: li
     return docs.select(*keys, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
+def numbered(found: Iterator[list] | pa.ListArray, words: dict) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Words in each of some texts, and the numbers that `words` gives them in order of their first places."""
+    if isinstance(found, pa.ListArray):
+        each = found.flatten().dictionary_encode()
+        _, offsets, data = each.dictionary.buffers()
+        ends = np.frombuffer(offsets, np.int32, len(each.dictionary) + 1).tolist() if len(each.dictionary) else []
+        data, seq = data.to_pybytes() if ends else b"", each.indices.to_numpy()
+        new = [data[a:b] for a, b in pairwise(ends)]
+        if words:
+            seq = np.fromiter(map(words.__getitem__, new), np.int32, len(new))[seq]
+        else:
+            words.update(zip(new, range(len(new)), strict=True))
+        yield found.value_lengths().fill_null(0).to_pylist(), seq
+        return
+    for x in found:
+        yield [len(x)], np.fromiter(map(words.__getitem__, x), np.int32, len(x))
+
+
 def places(bucket: np.ndarray) -> dict[int, np.ndarray]:
     """For each bucket, the numbers of its words in the order they were packed."""
     by = np.argsort(bucket, kind="stable")

@@ -2,7 +2,9 @@
 
 from collections import Counter
 
+import brute
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from descry.llm import language_model, licenses, secrets
@@ -60,6 +62,36 @@ def test_language_model_scores_are_the_saved_models_token_by_token(spark, monkey
     assert run() == got
 
 
+def test_words_split_by_arrow_are_those_of_a_plain_split(spark):
+    """Arrow makes no object for each token; the blocks are those of plain lists, with ends of blocks anywhere."""
+    rng = np.random.default_rng(9)
+    odd = [None, "", " ", "\x0b\x0c", " Ab\tab \x0bAB\x0cc\rc\nC ", "\x1cd\x85e\xa0f\u2003\u0130 \xc4", "\x00 \x00", "x"]
+    texts = [*odd, *(" ".join(f"W{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 60))) for _ in range(200)), *odd]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    find, lower = brute.WS.findall, brute.LOWER
+    plain = lambda ts: ([w.encode() for w in find((t or "").translate(lower))] for t in ts)
+    assert isinstance(language_model.words_of(texts), pa.ListArray)
+    for size in (1, 700, 1 << 20):
+        got, want = (sorted((r["block"], r["bucket"], r["id"] or [], bytes(r["payload"])) for r in blocks(rows, f, ["id"], "text", size).collect()) for f in (language_model.words_of, plain))
+        assert got == want and sum(len(r[2]) for r in got) == len(texts)
+    assert len({r[0] for r in got}) == 1
+
+
+def test_sums_of_rows_and_steps_in_parts():
+    rng = np.random.default_rng(7)
+    for n in (9, 50, 70_000):
+        keys, rows = rng.integers(0, n, 400), rng.normal(size=(400, 6))
+        want = np.zeros((n, 6))
+        np.add.at(want, keys, rows)
+        own, got = language_model.sums_by(keys, rows, n)
+        assert own.tolist() == sorted(set(keys.tolist())) and np.allclose(got, want[own])
+    p, g2, g = rng.normal(size=(3, 3, language_model.PART))
+    g2 = g2 * g2
+    want, sums = p - 0.1 * g / np.sqrt(g2 + g * g), g2 + g * g
+    language_model.descend(p, g2, g.copy(), 0.1)
+    assert np.allclose(p, want) and np.allclose(g2, sums)
+
+
 def test_licenses_in_consecutive_bare_notices(spark):
     for name, notice in licenses.TEMPLATES.items():
         texts = [*[notice] * 5, "Words that stand before. " + notice, notice + " And after it.", notice + " " + notice]
