@@ -17,12 +17,13 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from descry.llm._shared import pack, pack_words, shuffle_partitions
+from descry.llm._shared import CHUNK, pack, pack_words, shuffle_partitions
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -69,21 +70,21 @@ def blocks(docs: DataFrame, words_of: Callable[[list], Iterator[list] | pa.ListA
         for batch in batches:
             types[:] = [batch.column(i).type for i in range(len(keys))]
             columns = [batch.column(i).to_pylist() for i in range(len(keys))]
-            texts = batch.column(len(keys)).to_pylist()
-            at = 0
-            for i, text in enumerate(texts):
-                held += len(text or "")
-                if held < block_bytes and i + 1 < len(texts):
+            texts = batch.column(len(keys))
+            at, since, lengths = 0, held, pc.utf8_length(texts).fill_null(0).to_pylist()
+            for i, length in enumerate(lengths):
+                held += length
+                if held < min(block_bytes, since + CHUNK) and i + 1 < len(lengths):
                     continue
                 for col, out in zip(columns, ids, strict=True):
                     out += col[at : i + 1]
-                for n, found in numbered(words_of(texts[at : i + 1]), words):
+                for n, found in numbered(words_of(texts.slice(at, i + 1 - at).to_pylist()), words):
                     counts += n
                     numbers.append(found)
-                at = i + 1
+                at, since = i + 1, held
                 if held >= block_bytes:
                     yield from close(block, ids, counts, numbers, words)
-                    block, held = block + 1, 0
+                    block, held, since = block + 1, 0, 0
                     ids, counts, numbers, words = fresh()
                     words.default_factory = words.__len__
         if counts:

@@ -272,10 +272,13 @@ def laid_out(sizes: np.ndarray, n_lanes: int, steps: int) -> Iterator[tuple[np.n
     """
     first = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(len(sizes))
-    rows = [np.concatenate([np.arange(first[d], first[d] + sizes[d]) for d in rng.permutation(lane)]) for lane in lanes(sizes, n_lanes)]
-    rows.sort(key=len, reverse=True)
-    length = np.array([len(r) for r in rows])
-    begin, rows = np.cumsum(length) - length, np.concatenate(rows)
+    dealt = [rng.permutation(lane) for lane in lanes(sizes, n_lanes)]
+    length = np.array([sizes[x].sum() for x in dealt])
+    by = np.argsort(-length, kind="stable")
+    length, docs = length[by], np.concatenate([dealt[i] for i in by.tolist()])
+    begin, each = np.cumsum(length) - length, sizes[docs]
+    rows = np.repeat((first[docs] - np.cumsum(each) + each).astype(np.int32 if length.sum() < 1 << 31 else np.int64), each)
+    rows += np.arange(len(rows), dtype=rows.dtype)
     t = 0
     while t < length[0]:
         active = int((length > t).sum())
